@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, rlz, simhash
+from . import bpe, packing, resample, rlz, rules, simhash
 from .common import table
 
 
@@ -27,6 +27,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", "gumbel_key", F.lit(True).alias("kept"))
+
+
 def op6_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.remove(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -38,6 +47,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_rules": op3_rules,
+    "op4_resample": op4_resample,
     "op6_rlz": op6_rlz,
     "op10_bpe": op10_bpe,
 }
