@@ -7,13 +7,17 @@ for each distinct word of a batch instead of once for each occurrence.
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -103,3 +107,103 @@ def mix(x: np.ndarray) -> np.ndarray:
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """For each word, the row it belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+class IdCache:
+    """Token ids of strings, learned from ``learn`` (strings to lists of ids) once and then found by a 128-bit hash in
+    sorted arrays, some 50 bytes a string. The arrays are emptied when they would hold more than ``most`` strings."""
+
+    def __init__(self, learn: Callable[[list[str]], list[list[int]]], most: int = 2_000_000):
+        self.learn, self.most = learn, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = self.check = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _add(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = []
+        for i in range(0, len(strings), 8192):
+            made = self.learn(strings[i : i + 8192])
+            sizes += map(len, made)
+            new = np.fromiter(chain.from_iterable(made), np.uint32, sum(map(len, made)))
+            while self.used + len(new) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            self.flat[self.used : self.used + len(new)] = new
+            self.used += len(new)
+        size = np.array(sizes, np.int32)
+        stop = self.used - int(size.sum()) + np.cumsum(size, dtype=np.int64)
+        return stop - size, size
+
+    def of(self, distinct: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(begin in ``flat``, size) of the ids of each of the distinct strings."""
+        if len(self.key) + len(distinct) > self.most:
+            self.clear()
+        strings = distinct if isinstance(distinct, list) else distinct.to_pylist()
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), ">u8").astype(np.uint64).reshape(-1, 2)
+        key, check = both[:, 0].copy(), both[:, 1].copy()
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        known = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
+        new = np.flatnonzero(~known)
+        begin, size = np.empty(len(key), np.int64), np.empty(len(key), np.int32)
+        begin[known], size[known] = self.begin[at[known]], self.size[at[known]]
+        if len(new):
+            begin[new], size[new] = self._add([strings[i] for i in new.tolist()])
+            by = new[np.argsort(key[new])]
+            place = np.searchsorted(self.key, key[by])
+            self.key, self.check, self.begin, self.size = (np.insert(old, place, x[by]) for old, x in ((self.key, key), (self.check, check), (self.begin, begin), (self.size, size)))
+        return begin, size
+
+    def gather(self, offsets: np.ndarray, begin: np.ndarray, size: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row offsets into the ids, and the ids, of rows of strings of which each has ``size`` ids from ``begin`` on. With
+        ``end``, each row's ids are followed by that one."""
+        within = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        from_ = np.arange(within[-1]) - np.repeat(within[:-1] - begin, size)
+        starts = within[offsets]
+        if end is None:
+            return starts, self.flat[from_]
+        rows = np.diff(starts)
+        starts = starts + np.arange(len(offsets))
+        out = np.full(starts[-1], end, np.uint32)
+        out[np.arange(within[-1]) + np.repeat(np.arange(len(rows)), rows)] = self.flat[from_]
+        return starts, out
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a folder's address and the path there; Hadoop's spellings of a scheme are known to Arrow by plain ones."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    uri = re.sub(r"^file:/+|^/+", "file:///", uri)
+    return pafs.FileSystem.from_uri(uri)
+
+
+def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of named arrays, put in place when complete, so that a task may be run again or twice."""
+    store, base = filesystem(folder)
+    store.create_dir(base, recursive=True)
+    head, at = {}, 0
+    for k, x in arrays.items():
+        head[k] = [x.dtype.str, len(x), at]
+        at += -(-x.nbytes // 64) * 64
+    text = json.dumps(head).encode()
+    text += b" " * (-(len(text) + 8) % 64)
+    hidden = f"{base}/_writing-{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as f:
+        f.write(len(text).to_bytes(8, "little") + text)
+        for x in arrays.values():
+            f.write(memoryview(np.ascontiguousarray(x)).cast("B") if len(x) else b"")
+            f.write(bytes(-x.nbytes % 64))
+    store.move(hidden, f"{base}/{name}")
+
+
+def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file: mapped into memory where the folder is mounted, read otherwise."""
+    store, base = filesystem(folder)
+    if isinstance(store, pafs.LocalFileSystem):
+        data = np.memmap(f"{base}/{name}", np.uint8, "r")
+    else:
+        with store.open_input_file(f"{base}/{name}") as f:
+            data = np.frombuffer(f.read(), np.uint8)
+    size = int.from_bytes(data[:8].tobytes(), "little")
+    head, body = json.loads(data[8 : 8 + size].tobytes()), data[8 + size :]
+    return {k: body[at : at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head.items()}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, stage, words
+from .common import IdCache, slices, stage, words
 
 
 @dataclass(frozen=True)
@@ -139,26 +139,21 @@ def _score(left: np.ndarray, need: np.ndarray, cap: np.ndarray, weight: np.ndarr
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
+def word_ids(path: str) -> IdCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    library = Tokenizer.from_file(path)
+    return IdCache(lambda words: [e.ids for e in library.encode_batch(words, add_special_tokens=False)])
 
 
 def encode(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets into the ids, and the ids (uint32), of each whole text with the end token after it. The vocabulary
     drops white space before it splits, so each distinct word is encoded once."""
     offsets, codes, distinct = words(texts)
-    made = _tokenizer(path).encode_batch(distinct.to_pylist(), add_special_tokens=False)
-    sizes = np.array([len(e.ids) for e in made] + [1], np.int64)
-    flat = np.fromiter((i for e in made for i in e.ids), np.uint32, int(sizes[:-1].sum()))
-    flat, begin = np.append(flat, np.uint32(end)), np.cumsum(sizes) - sizes
-    codes = np.insert(codes, offsets[1:], len(made))
-    size = sizes[codes]
-    stop = np.cumsum(size)
-    ids = flat[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - begin[codes], size)]
-    return np.concatenate([[0], stop])[offsets + np.arange(len(offsets))], ids
+    known = word_ids(path)
+    begin, size = known.of(distinct)
+    return known.gather(offsets, begin[codes], size[codes], end)
 
 
 def pieces(docs: DataFrame, path: str, longest: int = 4096, end: int = 1, ids: bool = False) -> DataFrame:
