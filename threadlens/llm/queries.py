@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, packing, resample, rlz, rules, simhash, warc
+from . import bpe, kdtree, ngram_lm, packing, resample, rlz, rules, simhash, warc
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.learn_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), full=False)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_rlz": op6_rlz,
     "op8_kdtree": op8_kdtree,
+    "op9_ngram_trie": op9_ngram_trie,
     "op10_bpe": op10_bpe,
 }
 

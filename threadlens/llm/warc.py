@@ -27,12 +27,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stage
+from .common import filesystem, scratch_path, stage
 
 VERSION = b"WARC/1.1"
 LEAST_BYTES = 0
@@ -141,13 +140,6 @@ def scan(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data) - bad, reason)
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store of a folder's address; Hadoop's spellings of a scheme are known to Arrow under the plain one."""
-    uri = re.sub(r"^s3[an]://", "s3://", uri)
-    uri = re.sub(r"^file:/+", "file:///", uri)
-    return pafs.FileSystem.from_uri(uri)
-
-
 def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``pages`` (page_id, url, html) as (page_id, url, payload, payload_digest, refers_to, is_revisit)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
