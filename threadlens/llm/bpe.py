@@ -7,8 +7,8 @@ strings of the ids as bytes and reads them as UTF-8 (malformed parts become U+FF
 
 Texts are encoded by chunk, a chunk being a space and what follows up to the next: where every chunk starts and ends
 with something other than white space, no pre-token crosses from one to the next. Each distinct chunk is encoded once
-for each task's memory of ``remember`` chunks, which is emptied when full. Other texts, and those with an added token's
-string in them, are pre-split as a whole, with only their pre-tokens remembered.
+for as long as a worker's memory holds it (a bounded number of chunks). Other texts, and those with an added token's
+string in them, are pre-split as a whole.
 
 Defined cases: null text is empty; an empty text has no tokens; rows are independent, so repeated rows, ties and further
 columns change nothing (columns named like the added ones are replaced). An empty table gives no rows.
@@ -24,11 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import IdCache, slices
 
 #: The library's pre-tokenizer pattern; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,9 +59,12 @@ class ByteBPE:
         self.strings |= {i: s.encode() for s, i in self.added.items()}
         self.find = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.odd_space = regex.compile(r"^\s|\s$").search
         self.remember = remember
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        every = [self.strings.get(i, b"") for i in range(max(self.strings) + 1)]
+        self.string_size = np.array([len(x) for x in every], np.int64)
+        self.string_begin = np.cumsum(self.string_size) - self.string_size
+        self.string_flat = np.frombuffer(b"".join(every), np.uint8)
+        self.cache = IdCache(lambda strings: [self.encode(s) for s in strings], most=1_500_000)
         self.tokens: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -117,28 +121,51 @@ class ByteBPE:
     def decode(self, ids: list[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = self.encode(chunk)
-        return np.array(ids, "<u4").tobytes(), self.decode_bytes(ids)
-
     def round_trip(self, text: str) -> tuple[bytes, bytes]:
         """The ids as little-endian unsigned 32-bit integers, and the bytes that decoding concatenates."""
-        chunks = text.split(" ")
-        chunks[1:] = [" " + c for c in chunks[1:]]
-        known, ids, back = self.chunks, [], []
-        for chunk in chunks:
-            if (got := known.get(chunk)) is None:
-                if chunk in ("", " ") or self.odd_space(chunk[chunk[0] == " " :]) or (self.added and any(s in text for s in self.added)):
-                    every = self.encode(text)
-                    return np.array(every, "<u4").tobytes(), self.decode_bytes(every)
-                if len(known) >= self.remember:
-                    known.clear()
-                got = self._chunk(chunk)
-                if len(chunk) < 64:
-                    known[chunk] = got
-            ids.append(got[0])
-            back.append(got[1])
-        return b"".join(ids), b"".join(back)
+        ids = self.encode(text)
+        return np.array(ids, "<u4").tobytes(), self.decode_bytes(ids)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row offsets into the ids, and the ids, of each whole text (null: none)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.split_pattern(texts, " ")
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        codes, strings = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        odd = np.fromiter((not s or s[0].isspace() or s[-1].isspace() or any(a in s for a in self.added) for s in strings), bool, len(strings))
+        odd_row = np.diff(np.concatenate([[0], np.cumsum(odd[codes])])[offsets]) > 0
+        # a text's first chunk has no space before it; odd texts are encoded as a whole instead
+        own = np.unique(codes[offsets[:-1][~odd_row]])
+        whole = texts.filter(pa.array(odd_row)).to_pylist()
+        begin, size = self.cache.of([" " + s for s in strings] + [strings[i] for i in own.tolist()])
+        first = offsets[:-1]
+        n = len(strings)
+        used = codes.copy()
+        used[first[~odd_row]] = n + np.searchsorted(own, codes[first[~odd_row]])
+        size = np.append(size, 0)
+        begin = np.append(begin, 0)
+        used[np.repeat(odd_row, np.diff(offsets))] = len(size) - 1
+        starts, ids = self.cache.gather(offsets, begin[used], size[used])
+        if not whole:
+            return starts, ids
+        parts, it = np.split(ids, starts[1:-1]), iter(whole)
+        parts = [np.array(self.encode(next(it)), np.uint32) if o else p for o, p in zip(odd_row.tolist(), parts)]
+        return np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.concatenate(parts)
+
+    def decode_column(self, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row offsets into the bytes, and the bytes, of rows of ids."""
+        size = self.string_size[ids]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        return stop[starts], self.string_flat[np.arange(stop[-1]) - np.repeat(stop[:-1] - self.string_begin[ids], size)]
+
+
+def _valid(text: memoryview) -> bool:
+    try:
+        str(text, "utf-8")
+        return True
+    except UnicodeDecodeError:
+        return False
 
 
 @lru_cache(2)
@@ -156,22 +183,21 @@ def encode(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
         bpe = codec(path)
         for batch in batches:
             for part in slices(batch):
-                n, h, d, ids, texts = [], [], [], [], []
-                for text in part.column("text"):
-                    raw, back = bpe.round_trip(text.as_py() or "")
-                    n.append(len(raw) // 4)
-                    h.append(hashlib.sha256(raw).hexdigest())
-                    try:
-                        back.decode()
-                    except UnicodeDecodeError:
-                        back = back.decode("utf-8", "replace").encode()
-                    d.append(hashlib.sha256(back).hexdigest())
+                starts, found = bpe.column(part.column("text"))
+                at, back = bpe.decode_column(starts, found)
+                raw, back = memoryview(found.astype("<u4", copy=False)).cast("B"), memoryview(back)
+                h, d, texts = [], [], []
+                for a, b, x, y in zip((4 * starts).tolist(), (4 * starts[1:]).tolist(), at.tolist(), at[1:].tolist()):
+                    h.append(hashlib.sha256(raw[a:b]).hexdigest())
+                    text = back[x:y]
+                    if not _valid(text):
+                        text = bytes(text).decode("utf-8", "replace").encode()
+                    d.append(hashlib.sha256(text).hexdigest())
                     if full:
-                        ids.append(np.frombuffer(raw, "<u4").astype(np.int64))
-                        texts.append(back)
-                extra = [pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())]
+                        texts.append(bytes(text))
+                extra = [pa.array(np.diff(starts)), pa.array(h, pa.string()), pa.array(d, pa.string())]
                 if full:
-                    extra += [pa.array(ids, pa.list_(pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())]
+                    extra += [pa.LargeListArray.from_arrays(pa.array(starts), pa.array(found.astype(np.int64))).cast(pa.list_(pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full]
                 yield pa.record_batch([*(part.column(c) for c in through), *extra], names=[*through, *names])
 
