@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, ngram_lm, packing, resample, rlz, rules, simhash, warc
+from . import bpe, kdtree, ngram_lm, packing, pii, resample, rlz, rules, simhash, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.remove(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_resample": op4_resample,
     "op5_warc": op5_warc,
     "op6_rlz": op6_rlz,
+    "op7_tagger": op7_tagger,
     "op8_kdtree": op8_kdtree,
     "op9_ngram_trie": op9_ngram_trie,
     "op10_bpe": op10_bpe,

@@ -51,7 +51,7 @@ def _vote(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp: long) for every row of ``docs``."""
+    """(doc_id, fp: long, text_hash) for every row of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -64,9 +64,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                         out.append(_vote(np.fromiter((digest(b"%b %b %b" % x, 42) for x in zip(w, w[1:], w[2:])), np.uint64, len(w) - 2)))
                     else:
                         out.append(fingerprint(b" ".join(w), shingle))
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(np.array(out, np.uint64).view(np.int64)), batch.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, "doc_id long, fp long, text_hash long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -160,13 +160,29 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
     return dealt.repartition("turn", "block", "pair").select("turn", "fp").mapInArrow(work, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``: the smallest doc_id reachable over links of at most
-    ``budget`` differing bits."""
+def _rooted(docs: DataFrame, shingle: int, budget: int) -> DataFrame:
+    """(doc_id, fp, text_hash, root, component_id) for every row of ``docs``; root: a fingerprint of the group."""
     fps = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), budget)).select(F.col("node").alias("fp"), "root")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stage(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    return fps.join(named, "fp")
+
+
+def groups(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``: the smallest doc_id reachable over links of at most
+    ``budget`` differing bits."""
+    return _rooted(docs, shingle, budget).select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) -> DataFrame:
+    """One row of ``docs`` for each group: that of the smallest id (of several, that of the smallest text hash; of
+    repeated rows, any). A group without ids keeps the row of the smallest text hash."""
+    own = _rooted(docs, shingle, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    id_key = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_null": F.col("doc_id").isNull()}
+    kept = own.groupBy("root", "doc_id").agg(F.min("text_hash").alias("_text")).withColumns(id_key).select("_id", "_null", "_text")
+    keys = ["_id", "_null", "_text"]
+    # the join leaves its result dealt and sorted by the keys, so that dropping repeated rows takes no further shuffle
+    return docs.withColumns(id_key | {"_text": F.xxhash64("text")}).join(kept, keys).dropDuplicates(keys).select(*docs.columns)
