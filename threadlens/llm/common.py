@@ -54,25 +54,26 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(keep: int = 0) -> None:
-    """Delete the scratch tables made so far, but for the last ``keep``. Call it when results that read them are stored."""
-    while len(_scratch) > keep:
-        spark, path = _scratch.pop(0)
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception as e:  # the session that made it may be gone
-            if "Connection refused" not in str(e) and "NoneType" not in str(e):
-                raise
+def scratch_count() -> int:
+    return len(_scratch)
+
+
+def release(start: int = 0) -> None:
+    """Delete the scratch tables made from the ``start``-th on. Call it when the results that read them are stored."""
+    for spark, path in _scratch[start:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _scratch[start:]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch whose texts take about ``most`` bytes; a longer text is a slice by itself."""
+    """Consecutive parts of a batch whose texts take about ``most`` bytes; a longer text is a part by itself. Parts are
+    copies: some Arrow kernels (ascii_lower) misread arrays that start within another."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     cut, start = np.cumsum(size) // most, 0
     for end in [*(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]:
         if end > start:
-            yield batch.slice(start, end - start)
+            yield batch if end - start == batch.num_rows else batch.take(pa.array(np.arange(start, end)))
         start = end
 
 

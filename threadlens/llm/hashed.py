@@ -92,22 +92,33 @@ def score(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
     return sums(offsets, ratio[found].astype(np.float64)) / np.sqrt(np.maximum(1, np.diff(offsets)))
 
 
-def model(docs: DataFrame, labels: DataFrame, held: int = 5, most_held: int = 20_000, clean_loss: float = 0.005) -> tuple[np.ndarray, float]:
-    """(log ratio by bucket, threshold), from all of ``docs`` as the raw corpus and those labelled quality 1 and toxic 0
-    as the trusted target. One labelled document in ``held`` (by hash of its id) is kept out of the target counts; the
-    threshold is the ``clean_loss`` quantile of the scores of at most ``most_held`` trusted ones of these, and at most
-    zero. Without labels every ratio and the threshold are zero."""
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("_good")).where("_good")
+def bounded_sample(ids: DataFrame, most: int, salt: int) -> DataFrame:
+    """About ``most`` rows of ``ids`` (doc_id) by hash, and surely no more than twice as many, or all of fewer."""
+    n = ids.count()
+    if n > most:
+        ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return ids.limit(2 * most)
+
+
+def model(docs: DataFrame, labels: DataFrame, held: int = 5, most_target: int = 100_000, most_held: int = 20_000, clean_loss: float = 0.005) -> tuple[np.ndarray, float]:
+    """(log ratio by bucket, threshold), from all of ``docs`` as the raw corpus and, as the trusted target, those labelled
+    quality 1 and toxic 0: a sample of about ``most_target`` ids, whose size bound lets it be broadcast. One labelled
+    document in ``held`` (by hash of its id) is kept out of the target counts; the threshold is the ``clean_loss`` quantile
+    of the scores of about ``most_held`` trusted ones of these, and at most zero. Without labels every ratio and the
+    threshold are zero."""
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_good")).where("_good").select("doc_id")
     out = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(held)) == 0
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left").withColumn("_raw", F.lit(True)).withColumn("_target", F.coalesce("_good", F.lit(False)) & ~out)
+    chosen, aside = bounded_sample(good.where(~out), most_target, 13), bounded_sample(good.where(out), most_held, 12)
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("_target", F.lit(True))), "doc_id", "left").withColumn("_raw", F.lit(True))
     target, raw = counts(marked, ["_target", "_raw"])
     ratio = log_ratio(target, raw).astype(np.float32)
-    sample = marked.where(F.col("_good") & out).select("text", F.xxhash64("doc_id", F.lit(12)).alias("_o")).orderBy("_o").limit(most_held).drop("_o")
+    sample = docs.select("doc_id", "text").join(F.broadcast(aside), "doc_id").select("text")
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array(score(batch.column("text"), shared.value))], names=["score"])
+            for part in slices(batch):
+                yield pa.record_batch([pa.array(score(part.column("text"), shared.value))], names=["score"])
 
-    got = np.sort(sample.mapInArrow(work, "score double").toArrow()["score"].to_numpy())  # at most most_held numbers
+    got = np.sort(sample.mapInArrow(work, "score double").toArrow()["score"].to_numpy())  # about most_held numbers
     return ratio, min(0.0, float(got[int(clean_loss * len(got))])) if len(got) else 0.0

@@ -32,7 +32,7 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resample.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = resample.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
     return found.select("doc_id", "log_weight", "gumbel_key", F.lit(True).alias("kept"))
 
 

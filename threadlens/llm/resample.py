@@ -62,15 +62,15 @@ def kth_key(keys: DataFrame, column: str, k: int) -> int | None:
     return prefix
 
 
-def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, clean_loss: float = 0.005, seed: int = 1) -> DataFrame:
-    """The sampled rows of ``docs`` with log_weight and gumbel_key."""
+def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, clean_loss: float = 0.005, seed: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """The sampled rows of ``docs`` (of it ``columns``, by default all) with log_weight and gumbel_key."""
     docs = docs.drop("log_weight", "gumbel_key", "_key")
     ratio, threshold = model(docs, labels, clean_loss=clean_loss)
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
     keyed = weights(docs, ratio).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
     # a fixed-point form of the key, so that its order is that of non-negative longs
     keyed = keyed.withColumn("_key", F.least(F.lit(1 << 62), F.greatest(F.lit(0), ((F.col("gumbel_key") + F.lit(float(1 << 21))) * float(1 << 40)).cast("long"))))
-    keyed = stage(keyed, "resample")
+    keyed = stage(keyed.select(*(columns or docs.columns), "log_weight", "gumbel_key", "_key"), "resample")
     if k is None:
         k = keyed.where(F.col("log_weight") >= threshold).count()
     least = kth_key(keyed.select("_key"), "_key", k) if k > 0 else None

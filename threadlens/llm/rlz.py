@@ -143,7 +143,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     keyed = _keyed(docs)
     parsed = stage(_parse(keyed, window, seed), "pieces")
     blocks = parsed.groupBy("seed").agg(F.count("*").alias("c"), F.min("piece").alias("low"), F.max("piece").alias("high")).where("c > 1")
-    known = stage(parsed.join(blocks.select("seed", (F.col("low") == F.col("high")).alias("alike")), "seed"), "known")
+    # stored first: a join of two plain exchanges is one whose hot seeds Spark can split
+    blocks = stage(blocks.select("seed", (F.col("low") == F.col("high")).alias("alike")), "blocks")
+    known = stage(parsed.join(blocks, "seed"), "known")
     distinct = (
         known.where("not alike").groupBy("seed", "piece")
         .agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("_k1", "_k2", "start", "n")))
@@ -154,7 +156,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     )
     asked = distinct.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "n", "seed", "c")).alias("at"))
     checked = stage(_windows(keyed.select("_k1", "_k2", "text").join(asked, ["_k1", "_k2"]), window), "windows")
-    again = checked.groupBy("seed", "w").agg(F.sum("c").alias("t")).where("t > 1").select("seed", "w")
+    again = stage(checked.groupBy("seed", "w").agg(F.sum("c").alias("t")).where("t > 1").select("seed", "w"), "again")
     ends = checked.where("c = 1").join(again, ["seed", "w"], "left_semi").select("_k1", "_k2", F.col("p").alias("start"), F.lit(1).cast("short").alias("n"))
     spans = factors.union(ends).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
     return keyed.join(spans, ["_k1", "_k2"], "left").drop("_k1", "_k2")
