@@ -3,6 +3,7 @@ decomposition and case folding and is an Arrow-batched UDF over the text's disti
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.types import StringType
 from . import lexicon as L
 from . import patterns as P
 
+_EDGE = re.compile(r"^[^\w(\[]+|[^\w)\]]+$")
 LETTERS_2 = r"[\p{L}]{2}"
 
 
@@ -192,16 +194,21 @@ def case_score(c: Column) -> Column:
     return F.when(F.size(w) == 0, -1).when(is_upper(c), 0).when(lower, 1).when(F.forall(w, starts_upper), 3).otherwise(2)
 
 
-def title_clean(c: Column) -> Column:
-    """A title without the punctuation left at its ends, unbalanced closing brackets included."""
-    t = F.regexp_replace(F.trim(c), r"(?U)^[^\w(\[]+|[^\w)\]]+$", "")
-    for _ in range(3):
-        for close, open_ in ((")", "("), ("]", "[")):
-            more = F.char_length(F.regexp_replace(t, f"[^\\{close}]", "")) > F.char_length(F.regexp_replace(t, f"[^\\{open_}]", ""))
-            t = F.when(F.endswith(t, F.lit(close)) & more, F.rtrim(F.left(t, F.char_length(t) - 1))).otherwise(t)
+def _title_clean_one(text: str | None) -> str | None:
+    if text is None:
+        return None
+    t = _EDGE.sub("", text.strip())
+    while t and t[-1] in ")]" and t.count(t[-1]) > t.count("(" if t[-1] == ")" else "["):
+        t = t[:-1].rstrip()
     return t
 
 
+@F.pandas_udf(StringType())
+def title_clean(texts: pd.Series) -> pd.Series:
+    """A title without the punctuation left at its ends, unbalanced closing brackets included."""
+    return texts.map(_title_clean_one)
+
+
 def bare_title(c: Column) -> Column:
     """What is folded for the group key."""
     return F.regexp_replace(title_clean(c), "['’]", "")
