@@ -7,6 +7,7 @@ for each distinct word of a batch instead of once for each occurrence.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import tempfile
@@ -90,10 +91,64 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     return offsets, np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
 
+#: Odd multipliers, one for each seed.
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+_LONG = 256
+
+
+_power_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 of i below n or more; one table a base, which grows."""
+    if base not in _power_tables or len(_power_tables[base][0]) < n:
+        size = 1 << max(10, n.bit_length())
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _power_tables[base] = np.cumprod(up), np.cumprod(down)
+    return _power_tables[base]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should not hold its last one's."""
+    _power_tables.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+class Rolling:
+    """Polynomial hashes modulo 2**64 of any range of a sequence of numbers, from one prefix sum."""
+
+    def __init__(self, h: np.ndarray, base: int = _BASES[0]):
+        self.up, down = _powers(base, len(h) + 1)
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * down[: len(h)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.up[np.maximum(end - 1, 0)]
+
+    def every(self, k: int) -> np.ndarray:
+        n = max(0, len(self.sums) - k)
+        return (self.sums[k:] - self.sums[:n]) * self.up[k - 1 : k - 1 + n]
+
+
 def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
-    """XXH64 of each string, as uint64."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    """A 64-bit hash of each string (independent ones by seed 0, 1, 2): a polynomial of its bytes and length, mixed; XXH64
+    for strings of more than 256 bytes, which could be built to collide."""
+    if not len(distinct):
+        return np.zeros(0, np.uint64)
+    distinct = distinct.cast(pa.large_string())
+    _, offsets, data = distinct.buffers()
+    at = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    out = mix(mix(Rolling(raw.astype(np.uint64) + np.uint64(1), _BASES[seed]).of(at[:-1], at[1:])) + np.diff(at).astype(np.uint64))
+    for i in np.flatnonzero(np.diff(at) > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i + 1]].tobytes(), seed)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -201,7 +256,7 @@ def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
     """The arrays of a file: mapped into memory where the folder is mounted, read otherwise."""
     store, base = filesystem(folder)
     if isinstance(store, pafs.LocalFileSystem):
-        data = np.memmap(f"{base}/{name}", np.uint8, "r")
+        data = np.asarray(np.memmap(f"{base}/{name}", np.uint8, "r"))  # a plain view of the mapping
     else:
         with store.open_input_file(f"{base}/{name}") as f:
             data = np.frombuffer(f.read(), np.uint8)

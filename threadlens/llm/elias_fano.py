@@ -80,19 +80,26 @@ class EliasFano:
         """The values at these indices."""
         return ((self._select1(i) - i) << self.low_bits) | self.lows(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of the first value that is not below each of ``x`` (n if there is none)."""
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the first value that is not below each of ``x`` (n if there is none), and whether it is equal."""
         if not self.n:
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         most = 64 * len(self.high) - self.n - 1  # zeros there are
         beyond = high > most - 1
         high = np.minimum(high, most - 1)
+        end = self._select0(high) - high
+        # the values of the high part before: in ascending queries, mostly the same words of the bit vector
         lo = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)
-        hi = self._select0(high) - high
-        while (open_ := np.flatnonzero(lo < hi)).size:
+        hi = end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while open_.size:
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.lows(mid) < low[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        return np.where(beyond, self.n, lo)
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        equal = (lo < end) & ~beyond
+        some = np.flatnonzero(equal)
+        equal[some] = self.lows(lo[some]) == low[some]
+        return np.where(beyond, self.n, lo), equal

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import hashes, load_arrays, save_arrays, scratch_path, slices, stage, words
+from .common import give_back, hashes, load_arrays, mix, save_arrays, scratch_path, slices, stage, words
 
 ADD = 0.1
 DISCOUNT = 0.75
@@ -49,9 +49,11 @@ STEP = 1 / 4096
 #: The end token's string; no word can be equal to it.
 END = "\n"
 #: Nodes of a shard, about.
-SHARD = 2_000_000
+SHARD = 500_000
 #: Rows of counts a task gathers before it passes them on.
-GATHER = 4_000_000
+GATHER = 1_000_000
+#: Bytes of text that are worked on together.
+SLICE = 4 << 20
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -139,34 +141,45 @@ class Model:
             out[m] = -STEP * self._file(level.files[s], Shard).prob[node[m] - level.base[s]]
         return out
 
-    def children(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Nodes of level k, or -1, of (context, word) in ascending order; successor search among the context's children."""
-        level, out = self.levels[k - 1], np.full(len(context), -1, np.int64)
-        if not level.files or not len(context):
+    def children(self, k: int, key: np.ndarray, base: int) -> np.ndarray:
+        """Nodes of level k, or -1, of ascending keys (context * base + place); successor search among the context's
+        children."""
+        level, out = self.levels[k - 1], np.full(len(key), -1, np.int64)
+        if not level.files or not len(key):
             return out
-        # ranges of (context, word): numbers below 2**53 in both parts compare as complex numbers do
-        shard = np.searchsorted(level.context + 1j * level.word, context + 1j * word, "right") - 1
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            s = int(shard[a])
-            if s < 0:
-                continue
-            part = self._file(level.files[s], Shard)
-            m = a + np.flatnonzero(context[a:b] < part.first + part.contexts)
-            if not len(m):
+        cut = np.append(np.searchsorted(key, level.context * base + level.word), len(key))
+        for s, name in enumerate(level.files):
+            a, b = int(cut[s]), int(np.searchsorted(key[: cut[s + 1]], (level.last[s] + 1) * base))
+            if a >= b:
                 continue
-            one, inverse = np.unique(context[m], return_inverse=True)
-            lo, hi, base = part.bounds(one)
-            x = base[inverse] + word[m]
-            at = part.values.find(x)
-            inside = at < hi[inverse]
-            inside[inside] &= part.values.access(at[inside]) == x[inside]
-            out[m[inside]] = level.base[s] + at[inside]
+            part = self._file(name, Shard)
+            own = key[a:b] // base
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            inverse = np.cumsum(new) - 1
+            lo, hi, offset = part.bounds(own[new])
+            at, equal = part.values.find(offset[inverse] + key[a:b] - own * base)
+            inside = equal & (at < hi[inverse])
+            out[a:b][inside] = level.base[s] + at[inside]
+        return out
+
+    def weights(self, k: int, context: np.ndarray) -> np.ndarray:
+        """log10 back-off weights of contexts (nodes of level k - 1), zero for those without stored children."""
+        level, out = self.levels[k - 1], np.zeros(len(context))
+        if not level.files:
+            return out
+        shard = np.searchsorted(level.last, context)
+        for s, name in enumerate(level.files):
+            m = np.flatnonzero(shard == s)
+            if len(m):
+                part = self._file(name, Shard)
+                own = context[m] - part.first
+                inside = own >= 0
+                out[m[inside]] = -STEP * part.backoff[own[inside]]
         return out
 
-    def spans(self, k: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first child's node of level k, log10 back-off weight) of ascending distinct contexts; (0, 0) without children."""
-        level, first, weight = self.levels[k - 1], np.zeros(len(context), np.int64), np.zeros(len(context))
+    def firsts(self, k: int, context: np.ndarray) -> np.ndarray:
+        """The first child's node of level k of ascending distinct contexts; zero without children."""
+        level, first = self.levels[k - 1], np.zeros(len(context), np.int64)
         seen = np.zeros(len(context), bool)
         for s, name in enumerate(level.files):
             a, b = np.searchsorted(context, level.context[s]), np.searchsorted(context, level.last[s], "right")
@@ -177,9 +190,8 @@ class Model:
             # a context that goes on from an earlier shard has its first child there
             new = (lo < hi) & ~seen[a:b]
             first[a:b][new] = level.base[s] + lo[new]
-            weight[a:b][new] = -STEP * part.backoff[own[new] - part.first]
             seen[a:b] |= new
-        return first, weight
+        return first
 
 
 _models: dict[str, Model] = {}
@@ -202,6 +214,9 @@ class Tokens:
     ids: np.ndarray
     counts: np.ndarray
     first: np.ndarray
+    codes: np.ndarray
+    known: np.ndarray  # the id of each code
+    logs: np.ndarray  # log10 of P1 of each code
 
 
 def tokens(texts: pa.Array, model: Model) -> Tokens:
@@ -212,7 +227,7 @@ def tokens(texts: pa.Array, model: Model) -> Tokens:
     offsets = offsets + np.arange(len(offsets))
     first = np.zeros(len(codes), bool)
     first[offsets[:-1]] = True
-    return Tokens(offsets, ids[codes], counts[codes], first)
+    return Tokens(offsets, ids[codes], counts[codes], first, codes, ids, np.log10(model.p1(counts)))
 
 
 def climb(model: Model, t: Tokens, visit=None) -> list[np.ndarray]:
@@ -229,9 +244,15 @@ def climb(model: Model, t: Tokens, visit=None) -> list[np.ndarray]:
         context, place = context[at], nodes[-1][at]
         if k > 2 and len(at):
             # the shorter n-gram's place among the children of its own context, which ends one token earlier
-            parent = nodes[-2][at - 1]
-            one, inverse = np.unique(parent, return_inverse=True)
-            place = place - model.spans(k - 1, one)[0][inverse]
+            if k == 3:
+                one = np.argsort(t.known)
+                first = np.zeros(len(t.known), np.int64)
+                some = one[t.known[one] >= 0]
+                first[some] = model.firsts(2, t.known[some])
+                place = place - first[t.codes[at - 1]]
+            else:
+                one, inverse = np.unique(nodes[-2][at - 1], return_inverse=True)
+                place = place - model.firsts(k - 1, one)[inverse]
         if visit:
             visit(k, context, place, nodes[-1][at])
         if k > len(model.levels):
@@ -239,9 +260,11 @@ def climb(model: Model, t: Tokens, visit=None) -> list[np.ndarray]:
         base = model.levels[k - 2].widest
         if model.levels[k - 2].size * base >= 1 << 62:
             raise ValueError(f"level {k} needs wider keys than 64 bits")
-        key, inverse = np.unique(context * base + place, return_inverse=True)
-        found = np.full(len(t.ids), -1, np.int64)
-        found[at] = model.children(k, key // base, key % base)[inverse] if len(key) else found[at]
+        key = context * base + place
+        order = np.argsort(key)
+        found, key = np.full(len(t.ids), -1, np.int64), key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        found[at[order]] = model.children(k, key[new], base)[np.cumsum(new) - 1]
         nodes.append(found)
     return nodes
 
@@ -266,38 +289,81 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 
 
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct keys of (key, n[, lower]) parts with the sums of n."""
-    key, at, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
-    return key, n, *(np.concatenate([p[2] for p in parts])[at] for _ in range(len(parts[0]) - 2))
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], count, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of (key, n[, lower]) parts, with the sums of n."""
+    key = np.concatenate([p[0] for p in parts])
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(np.concatenate([p[1] for p in parts])[order], start) if len(key) else key
+    return key[start], n, *(np.concatenate([p[i] for p in parts])[order[start]] for i in range(2, len(parts[0])))
+
+
+BLOBS = "bucket int, key binary, n binary, lower binary"
+
+
+def _blobs(parts: tuple[np.ndarray, ...], buckets: int) -> pa.RecordBatch:
+    """Counts (key, n[, lower]) in ascending order of keys as one row a bucket: arrays go through the shuffle as they are,
+    keys as differences."""
+    bucket = (mix(parts[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    some, start = np.unique(bucket[order], return_index=True)
+    key, *rest = (p[order] for p in parts)
+    cut = list(zip(start.tolist(), [*start[1:].tolist(), len(key)]))
+    difference = np.concatenate([key[:1], np.diff(key)])
+    difference[start] = key[start]
+    columns = [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (difference, rest[0].astype(np.uint32) if rest[0].max(initial=0) < 1 << 32 else rest[0])]
+    lower = pa.array([rest[1][a:b].tobytes() for a, b in cut] if len(rest) > 1 else [None] * len(cut), pa.binary())
+    return pa.record_batch([pa.array(some.astype(np.int32)), *columns, lower], names=["bucket", "key", "n", "lower"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], count, buckets: int) -> Iterator[pa.RecordBatch]:
     """``count`` of each slice, summed over a task as far as GATHER rows go."""
     held, rows = [], 0
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             held.append(count(part.column("text")))
             rows += len(held[-1][0])
             if rows >= GATHER:
-                held = [_merge(held)]
-                if 2 * (rows := len(held[0][0])) > GATHER:
-                    yield pa.record_batch([pa.array(x) for x in held[0]], names=names)
-                    held, rows = [], 0
+                yield _blobs(_merge(held) if len(held) > 1 else held[0], buckets)
+                held, rows = [], 0
     if held:
-        yield pa.record_batch([pa.array(x) for x in _merge(held)], names=names)
+        yield _blobs(_merge(held), buckets)
+    held = None
+    give_back()
+
+
+def _summed(training: DataFrame, count, names: list[str], least: int) -> DataFrame:
+    """Counts by key over all texts, of ``least`` or more: each task's own sums, dealt by bucket of the key. There are two
+    buckets for each task that reads, so a bucket holds about half of what one task has counted, at any size."""
+    buckets = max(64, 2 * training.rdd.getNumPartitions())
+    parts = training.select("text").mapInArrow(lambda it: _gathered(it, count, buckets), BLOBS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for batch in batches:
+            for bucket, key, n, lower in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "n", "lower"))):
+                key = np.cumsum(np.frombuffer(key, np.int64))
+                part = (key, np.frombuffer(n, np.uint32 if len(n) == 4 * len(key) else np.int64).astype(np.int64))
+                held.setdefault(bucket, []).append(part + ((np.frombuffer(lower, np.int64),) if lower is not None else ()))
+        for bucket in sorted(held):
+            got = _merge(held.pop(bucket))
+            keep = got[1] >= least
+            yield pa.record_batch([pa.array(x[keep]) for x in got], names=names)
+        give_back()
+
+    return parts.repartition("bucket").mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 def _count_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets, codes, distinct = words(texts, lower=True)
     h = np.append(hashes(distinct), np.uint64(xxhash.xxh64_intdigest(END))).view(np.int64)
-    return h, np.append(np.bincount(codes, minlength=len(h) - 1), len(offsets) - 1)
+    n, order = np.append(np.bincount(codes, minlength=len(h) - 1), len(offsets) - 1), np.argsort(h)
+    return h[order], n[order]
 
 
 def _first_level(training: DataFrame, folder: str) -> tuple[Level, int]:
     """Level 1, and the number of training tokens."""
-    found = training.select("text").mapInArrow(lambda it: _gathered(it, _count_words, ["h", "n"]), "h long, n long")
-    counts = stage(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 0"), "words")
+    counts = stage(_summed(training, _count_words, ["h", "n"], 1), "words")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     run = uuid.uuid4().hex[:8]
 
@@ -327,25 +393,29 @@ def _next_level(training: DataFrame, spec: tuple, discount: float, least: int) -
         return found[0]
 
     names = ["key", "n", "lower"] if k > 2 else ["key", "n"]
-    got = training.select("text").mapInArrow(lambda it: _gathered(it, count, names), ", ".join(f"{c} long" for c in names))
-    summed = got.groupBy("key").agg(F.sum("n").alias("n"), *([F.first("lower").alias("lower")] if k > 2 else [])).where(F.col("n") >= least)
+    summed = _summed(training, count, names, least)
     place = F.col("key") % base
     counts = stage(summed.select(F.expr(f"key div {base}").alias("context"), place.alias("place"), "n", (F.col("lower") if k > 2 else place).alias("lower")), "counts")
-    total = counts.count()
+    by_context = counts.groupBy("context").agg(F.count("*").alias("children"), F.sum(F.col("n") - F.lit(float(discount))).alias("mass"))
+    # contexts of so many children are few: ten a shard at most
+    large = F.when(F.col("children") > SHARD // 10, F.struct("context", "mass"))
+    total, widest, hot = by_context.agg(F.coalesce(F.sum("children"), F.lit(0)), F.max("children"), F.collect_list(large)).first()
     if not total:
         return Level([], *(np.zeros(0, np.int64) for _ in range(4)), 0, 1)
-    mass = stage(counts.groupBy("context").agg(F.sum(F.col("n") - F.lit(float(discount))).alias("mass"), F.count("*").alias("children")), "mass")
-    widest = mass.agg(F.max("children")).first()[0]
+    hot = dict(hot)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (got := _whole(batches)) is None:
             return
         model, name = _model(spec), f"{run}-{k}-{TaskContext.get().partitionId():06d}"
-        context, place, n, lower, mass = (got[c].to_numpy() for c in ("context", "place", "n", "lower", "mass"))
+        context, place, n, lower = (got[c].to_numpy() for c in ("context", "place", "n", "lower"))
         start = np.flatnonzero(np.concatenate([[True], np.diff(context) != 0]))
         own, size = context[start], np.diff(np.append(start, len(context)))
         uses = model.counts(k - 1, own)
-        backoff = np.maximum(1 - mass[start] / uses, 1e-9)
+        mass = np.add.reduceat(n - discount, start)
+        for i in np.flatnonzero(np.isin(own, list(hot))).tolist():
+            mass[i] = hot[int(own[i])]
+        backoff = np.maximum(1 - mass / uses, 1e-9)
         prob = np.maximum(n - discount, 0) / np.repeat(uses, size) + np.repeat(backoff, size) * 10 ** model.probs(k - 1, lower)
         first, last = int(own[0]), int(own[-1])
         pointers, weights = np.zeros(last - first + 2, np.int64), np.zeros(last - first + 1, np.uint16)
@@ -358,8 +428,12 @@ def _next_level(training: DataFrame, spec: tuple, discount: float, least: int) -
         arrays |= {f"v_{c}": x for c, x in elias_fano.encode(values, int(top.sum())).items()}
         save_arrays(folder, name, arrays)
         yield _line(name, len(n), first, int(place[0]), last)
+        del got, context, place, n, lower, prob, values, pointers, arrays
+        give_back()
 
-    dealt = counts.join(mass.select("context", "mass"), "context").repartitionByRange(max(1, -(-total // SHARD)), "context", "place")
+    # a context's children go to one shard, but for those of many children, which are dealt by place
+    spread = F.when(F.col("context").isin(*hot), F.col("place")).otherwise(0) if hot else F.lit(0)
+    dealt = counts.withColumn("spread", spread).repartitionByRange(max(1, -(-total // SHARD)), "context", "spread")
     return _listed(dealt.sortWithinPartitions("context", "place").mapInArrow(work, LINE), widest)
 
 
@@ -375,19 +449,17 @@ def train(training: DataFrame, order: int = 3, least: int = 2, discount: float =
 
 def log_probs(model: Model, t: Tokens) -> np.ndarray:
     """log10 probability of each token given those before it in its row."""
-    out, nodes = np.log10(model.p1(t.counts)), climb(model, t)
+    out, nodes = t.logs[t.codes], climb(model, t)
     for k in range(2, len(nodes) + 1):
         context = np.full(len(out), -1, np.int64)
         context[1:] = nodes[k - 2][:-1]
         context[t.first] = -1
         back = np.flatnonzero((context >= 0) & (nodes[k - 1] < 0))
         if len(back):
-            one, inverse = np.unique(context[back], return_inverse=True)
-            out[back] += model.spans(k, one)[1][inverse]
+            out[back] += model.weights(k, context[back])
         has = np.flatnonzero(nodes[k - 1] >= 0)
         if len(has):
-            one, inverse = np.unique(nodes[k - 1][has], return_inverse=True)
-            out[has] = model.probs(k, one)[inverse]
+            out[has] = model.probs(k, nodes[k - 1][has])
     return out
 
 
@@ -397,12 +469,14 @@ def score(docs: DataFrame, spec: tuple) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             model = _model(spec)
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 t = tokens(part.column("text"), model)
                 add = lambda x: np.add.reduceat(x, t.offsets[:-1]) if len(x) else x  # noqa: E731  every row has a token
                 columns = [part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(np.diff(t.offsets)), pa.array(add((t.counts > 0).astype(np.int64)))]
-                columns += [pa.array(np.full(part.num_rows, model.total, np.int64)), pa.array(add(np.log10(model.p1(t.counts)))), pa.array(add(log_probs(model, t)))]
+                columns += [pa.array(np.full(part.num_rows, model.total, np.int64)), pa.array(add(t.logs[t.codes])), pa.array(add(log_probs(model, t)))]
                 yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                del t, columns
+        give_back()
 
     return docs.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

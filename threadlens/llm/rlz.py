@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -34,37 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mix, rows_of, slices, stage, words
+from .common import Rolling, hashes, mix, rows_of, slices, stage, words
 
 WINDOW = 35
 SEED = 8
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-class Rolling:
-    """Polynomial hashes modulo 2**64 of any range of words, from one prefix sum."""
-
-    def __init__(self, h: np.ndarray):
-        size = 1 << max(10, int(len(h) + 1).bit_length())
-        up, down = _powers(size)
-        self.up = up
-        self.sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * down[: len(h)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.up[end - 1]
-
-    def every(self, k: int) -> np.ndarray:
-        n = max(0, len(self.sums) - k)
-        return (self.sums[k:] - self.sums[:n]) * self.up[k - 1 : k - 1 + n]
 
 
 def leftmost_minimum(x: np.ndarray, width: int) -> np.ndarray:
