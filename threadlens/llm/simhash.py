@@ -143,7 +143,8 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
         for k in range(BLOCKS):
             x = fp[turn == k]
             s = np.uint64(width * k)
-            keys = np.sort((x << s) | (x >> (np.uint64(64) - s)) if k else x)
+            # a fingerprint of a hot block comes once for each pair of parts
+            keys = np.unique((x << s) | (x >> (np.uint64(64) - s)) if k else x)
             i, j = trie_links(keys, budget=budget, fixed=width)
             root = local_roots(len(keys), i, j)
             back = (keys >> s) | (keys << (np.uint64(64) - s)) if k else keys
