@@ -45,6 +45,11 @@ def fold_ascii(c: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda, an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(c: Column) -> Column:
     """The words of a collapsed text; none for an empty one."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
@@ -69,6 +74,10 @@ def is_question(c: Column) -> Column:
 
 def trim_words(words: Column, junk) -> Column:
     """``words`` from the first to the last that is not junk, joined by a space."""
+    return let(words, lambda w: _trimmed(w, junk))
+
+
+def _trimmed(words: Column, junk) -> Column:
     at = F.filter(F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>")), lambda i: ~junk(F.get(words, i - 1)))
     return F.when(F.size(at) == 0, "").otherwise(F.array_join(F.slice(words, F.get(at, F.lit(0)), F.try_element_at(at, F.lit(-1)) - F.get(at, F.lit(0)) + 1), " "))
 
@@ -100,6 +109,10 @@ def trigrams(c: Column) -> Column:
 
 def ngrams(words: Column, most: int) -> Column:
     """All runs of 1 to ``most`` words as (n, at, gram)."""
+    return let(words, lambda w: _ngrams(w, most))
+
+
+def _ngrams(words: Column, most: int) -> Column:
     size = F.size(words)
     return F.when(size > 0, F.flatten(F.transform(
         F.sequence(F.lit(1), F.least(F.lit(most), size)),

@@ -94,6 +94,7 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
 #: Odd multipliers, one for each seed.
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _LONG = 256
+_PART = 1 << 17
 
 
 _power_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -145,8 +146,14 @@ def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     at = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     at = at - at[0]
-    out = mix(mix(Rolling(raw.astype(np.uint64) + np.uint64(1), _BASES[seed]).of(at[:-1], at[1:])) + np.diff(at).astype(np.uint64))
-    for i in np.flatnonzero(np.diff(at) > _LONG).tolist():
+    size, out = np.diff(at), np.zeros(len(distinct), np.uint64)
+    # in parts, so that the table of powers stays small
+    cut = [0, *(np.flatnonzero(np.diff(at[:-1] // _PART)) + 1).tolist(), len(distinct)]
+    for i, j in zip(cut, cut[1:]):
+        if at[j] - at[i] <= 2 * _PART:
+            part = Rolling(raw[at[i] : at[j]].astype(np.uint64) + np.uint64(1), _BASES[seed]).of(at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
+            out[i:j] = mix(mix(part) + size[i:j].astype(np.uint64))
+    for i in np.flatnonzero(size > _LONG).tolist():
         out[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i + 1]].tobytes(), seed)
     return out
 

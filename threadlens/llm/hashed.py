@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mix, slices, words
+from .common import give_back, hashes, mix, slices, words
 
 WORDS = 1 << 20
 PAIRS = 1 << 18
@@ -50,6 +50,7 @@ def counts(docs: DataFrame, weights: list[str]) -> np.ndarray:
                 for i, w in enumerate(weights):
                     on = np.repeat(np.asarray(part.column(w).fill_null(False)), size)
                     total[i] += np.bincount(found[on], minlength=BUCKETS)
+        give_back()
         some = np.flatnonzero(total.any(0))
         yield pa.record_batch([pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in total)], names=["bucket", *(f"n{i}" for i in range(len(weights)))])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import give_back, slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 96
@@ -368,7 +368,7 @@ def reconcile(text: str, starts: list[int], paths: np.ndarray, sure: np.ndarray,
     return out
 
 
-def added_spans(texts: list[str], bases: list[list[Span]], tagger: Tagger, most: int = 512) -> list[list[Span]]:
+def added_spans(texts: list[str], bases: list[list[Span]], tagger: Tagger, most: int = 256) -> list[list[Span]]:
     asked = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
     paths, sure = np.zeros((len(asked), WINDOW), np.int64), np.zeros((len(asked), WINDOW), np.float32)
     for a in range(0, len(asked), most):
@@ -405,6 +405,7 @@ def _map(docs: DataFrame, columns: list[str], schema: str, make, tagger: Tagger
                     base[i], every[i] = b, sorted(b + a, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
                 names, arrays = make(part, base, every)
                 yield pa.record_batch([*(part.column(c) for c in columns), *arrays], names=[*columns, *names])
+        give_back()
 
     return docs.mapInArrow(work, schema)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, hashes, mix, rows_of, slices, stage, words
+from .common import Rolling, give_back, hashes, mix, rows_of, slices, stage, words
 
 WINDOW = 35
 SEED = 8
@@ -84,6 +84,7 @@ def _parse(keyed: DataFrame, window: int, seed: int) -> DataFrame:
                 row = np.searchsorted(offsets, start, "right") - 1
                 keys = (part.column(c).take(pa.array(row)) for c in ("_k1", "_k2"))
                 yield pa.record_batch([_signed(gram), _signed(whole), *keys, pa.array((start - offsets[row]).astype(np.int32)), pa.array(n.astype(np.int16))], names=["seed", "piece", "_k1", "_k2", "start", "n"])
+        give_back()
 
     return keyed.select("_k1", "_k2", "text").mapInArrow(work, "seed long, piece long, _k1 long, _k2 long, start int, n short")
 
@@ -104,6 +105,7 @@ def _windows(asked: DataFrame, window: int) -> DataFrame:
                 w = mix(Rolling(hashes(distinct, 2)[codes]).of(begin, begin + window)) if len(each) else np.zeros(0, np.uint64)
                 keys = (part.column(k).take(pa.array(row[each])) for k in ("_k1", "_k2"))
                 yield pa.record_batch([pa.array(gram[each]), _signed(w), *keys, pa.array(p.astype(np.int32)), pa.array(c[each])], names=["seed", "w", "_k1", "_k2", "p", "c"])
+        give_back()
 
     return asked.select("_k1", "_k2", "text", "at").mapInArrow(work, "seed long, w long, _k1 long, _k2 long, p int, c long")
 

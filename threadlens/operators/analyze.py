@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.lineage import settled
 from ..functions.similarity import indel
 from . import aliases, discover, extract, metadata
 from .catalogue import Catalogue
@@ -85,15 +86,15 @@ def _parts(comments: DataFrame, cat: Catalogue, freq: DataFrame, meta: DataFrame
         pick = lambda c, t: (F.col(c) if c else F.lit(None)).cast(t)
         return df.select("video_id", F.lit(name).alias("part"), F.col(ord_).cast("long").alias("ord"), F.col(title).alias("title"), pick(source, "string").alias("source"), pick(confidence, "double").alias("confidence"), pick(commenters, "long").alias("commenters"), pick(likes, "long").alias("likes"), pick(of, "string").alias("of"))
 
-    stated = discover.discover(comments, freq).cache()
+    stated = settled(discover.discover(comments, freq))
     found = mentions if mentions is not None else extract.mentions(comments, cat, freq)
-    known = found.groupBy("video_id", "canonical").agg(F.count_distinct(F.coalesce("author", F.lit(""))).alias("commenters"), F.min("seq").alias("seq")).cache()
+    known = found.groupBy("video_id", "canonical").agg(F.count_distinct(F.coalesce("author", F.lit(""))).alias("commenters"), F.min("seq").alias("seq")).transform(settled)
     other = aliases.stated(comments).withColumn("at", F.col("ord.seq") * 1_000_000 + F.col("ord.frame_no") * 1000 + F.col("ord.match_no"))
     rows = part(stated, "stated", "rank", "title", commenters="commenters", likes="likes")
     rows = rows.union(part(known, "known", "seq", "canonical", commenters="commenters")).union(part(other, "alias", "at", "name", source="kind"))
     titles = stated.select("video_id", "title").union(known.select("video_id", "canonical"))
     if meta is not None:
-        metas = metadata.candidates(meta, cat, freq).cache()
+        metas = settled(metadata.candidates(meta, cat, freq))
         rows = rows.union(part(metas.withColumnRenamed("text", "title"), "meta", "ord", "title", source="source", confidence="confidence"))
         titles = titles.union(metas.select("video_id", "text"))
     listed = titles.distinct().join(aliases.of_catalogue(titles, cat), "title").withColumnRenamed("title", "of")
@@ -102,7 +103,7 @@ def _parts(comments: DataFrame, cat: Catalogue, freq: DataFrame, meta: DataFrame
 
 def analyze(comments: DataFrame, cat: Catalogue, freq: DataFrame, meta: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """(video_id, rank, title, confidence, sources, commenters, likes, alternates): each video's answers, best first."""
-    rows = _parts(comments, cat, freq, meta, mentions).withColumn("folded", T.fold(F.col("title"))).withColumn("of", T.fold(F.col("of")))
+    rows = settled(_parts(comments, cat, freq, meta, mentions)).withColumn("folded", T.fold(F.col("title"))).withColumn("of", T.fold(F.col("of")))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "ord"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.lineage import settled
 from . import words
 from .rank import histogram
 
@@ -105,7 +106,7 @@ def discover(comments: DataFrame, freq: DataFrame, least_strong: int = 1) -> Dat
     from .cluster import with_leader
 
     body = bodies(comments).cache()
-    led = with_leader(hits(body, freq), "video_id", "folded", ["late", "seq", "frame_no", "match_no"]).cache()
+    led = settled(with_leader(settled(hits(body, freq)), "video_id", "folded", ["late", "seq", "frame_no", "match_no"]))
     found = summarise(led, body, least_strong)
     best = W.partitionBy("video_id").orderBy(F.desc("strength"), F.desc("commenters"), F.desc("likes"), "first")
     return found.withColumn("rank", F.row_number().over(best)).drop("first")

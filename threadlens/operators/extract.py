@@ -14,6 +14,7 @@ from ..functions import lexicon as L
 from ..functions import patterns as P
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.lineage import settled
 from . import words
 from .catalogue import Catalogue
 
@@ -137,10 +138,10 @@ def mentions(comments: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
     and title, the first candidate that passes."""
     body = cleaned(comments)
     spans = T.with_span_key(candidates(body, cat)).cache()
-    found = spans.join(resolve(spans, cat, freq), "key").cache()
+    found = settled(spans.join(resolve(spans, cat, freq), "key"))
     context = body.select(*COMMENT, "id", "author", "body", "words")
     pairs = found.select(*COMMENT, "key").distinct().join(context, COMMENT)
-    weighed = words.with_ambiguity(evidence(pairs, freq), freq, "key")
+    weighed = settled(words.with_ambiguity(evidence(pairs, freq), freq, "key"))
     ready = found.select(*COMMENT, "key", "branch", "pos", "canonical", "method", "score").join(weighed, [*COMMENT, "key"])
     one = W.partitionBy(*COMMENT, "canonical").orderBy("branch", "pos", "key")
     out = accepted(ready).withColumn("_n", F.row_number().over(one)).where("_n = 1").join(cat.titles.select("canonical", "kind"), "canonical")

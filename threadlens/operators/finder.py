@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.lineage import settled
 from . import discover, metadata, titledb
 
 PROBES = 6
@@ -83,8 +84,8 @@ def confirmed(candidates: DataFrame, meta: DataFrame, cache: DataFrame) -> DataF
 def find(answers: DataFrame, comments: DataFrame, meta: DataFrame, cat, freq: DataFrame, cache: DataFrame) -> DataFrame:
     """(video_id, title, shown, confidence, note, step, status, also): one row for each video with an acceptable answer.
     ``answers`` as from ``analyze``."""
-    labels = metadata.labelled(meta).cache()
-    metas = metadata.candidates(meta, cat, freq).cache()
+    labels = settled(metadata.labelled(meta))
+    metas = settled(metadata.candidates(meta, cat, freq))
     music = about_songs(answers, comments).withColumnRenamed("name", "title")
     own = answers.join(music, ["video_id", "title"], "left_anti").withColumn("folded", T.fold(F.col("title")))
     has = lambda p: F.exists("sources", lambda s: F.startswith(s, F.lit(p)))
@@ -95,7 +96,7 @@ def find(answers: DataFrame, comments: DataFrame, meta: DataFrame, cat, freq: Da
     # a labelled name that differs ends the first step at the first answer that is not sure
     conflict = (F.col("confidence") != "high") & F.col("labels").isNotNull() & ~F.array_contains("labels", F.col("folded"))
     stop = F.max((F.col("spoken") & (conflict | (F.col("confidence") == "low"))).cast("int")).over(W.partitionBy("video_id").orderBy("rank"))
-    own = own.withColumn("stopped", stop)
+    own = settled(own.withColumn("stopped", stop))
     base = ["video_id", "title", "confidence", "commenters", "in_meta", "alternates"]
     none = [F.lit("medium").alias("confidence"), F.lit(0).cast("long").alias("commenters"), F.lit(True).alias("in_meta"), F.array().cast("array<struct<name: string, kind: string>>").alias("alternates")]
     low = own.where("spoken and confidence = 'low'").withColumn("_n", F.row_number().over(W.partitionBy("video_id").orderBy("rank"))).where("_n <= 2")
@@ -111,7 +112,7 @@ def find(answers: DataFrame, comments: DataFrame, meta: DataFrame, cat, freq: Da
     every = steps[0]
     for s in steps[1:]:
         every = every.unionByName(s)
-    checked = confirmed(every, meta, cache)
+    checked = confirmed(settled(every), meta, cache)
     probe = F.row_number().over(W.partitionBy("video_id").orderBy("step", "ord"))
     ok, no = F.col("status") == "confirmed", F.coalesce(F.col("status") == "contradicted", F.lit(False))
     good = F.when(F.col("step") == 1, ~no | (F.col("confidence") == "high")).when(F.col("step") == 3, ok).when(F.col("step") == 4, ok & (F.col("probe") <= PROBES)).otherwise(~no)

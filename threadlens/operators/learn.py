@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.lineage import settled
 from ..functions.similarity import indel
 from . import report, words
 from .catalogue import Catalogue
@@ -20,10 +21,10 @@ def learned(sweep: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
     a = a.where(has("comments") & ((F.col("commenters") >= 3) | (has("metadata") & (F.col("commenters") >= 2))))
     a = T.with_group_key(a.withColumn("name", T.title_clean(F.col("title"))), "name", "key").where("char_length(key) >= 3").where(F.size(F.split("key", " ")) <= 7)
     common = a.select("key").distinct().join(freq.withColumnRenamed("word", "key"), "key").where("zipf >= 3.0 and instr(key, ' ') = 0").select("key")
-    a = words.with_ambiguity(a.join(common, "key", "left_anti"), freq, "name").where("ambiguity < 5.0").cache()
+    a = words.with_ambiguity(a.join(common, "key", "left_anti"), freq, "name").where("ambiguity < 5.0").transform(settled)
     names = a.groupBy("key", "name").agg(F.count("*").alias("n"))
     total = names.groupBy("key").agg(F.sum("n").alias("videos"), F.sum("n").alias("commenters"), F.lit(False).alias("confirmed"), F.lit(None).cast("map<string,bigint>").alias("entities"))
-    pairs = report.merge_pairs(total).join(total.select(F.col("key").alias("a"), "videos"), "a")
+    pairs = report.merge_pairs(settled(total)).join(total.select(F.col("key").alias("a"), "videos"), "a")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         videos = dict(zip(pdf["a"], pdf["videos"]))
@@ -37,7 +38,7 @@ def learned(sweep: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
                 into |= {o: k for o in order[i + 1 :] if o not in into and len(o) >= 6 and o in near.get(k, ()) and indel(k, o) >= 90}
         return pd.DataFrame(list(into.items()), columns=["key", "into"])
 
-    into = pairs.groupBy(F.lit(1)).applyInPandas(work, "key string, into string")
+    into = pairs.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(work, "key string, into string")
     joined = lambda df: df.join(into, "key", "left").withColumn("key", F.coalesce("into", "key")).drop("into")
     names = joined(names).groupBy("key", "name").agg(F.sum("n").alias("n"))
     new = names.join(cat.alias.select("key"), "key", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.lineage import settled
 from . import titledb, words
 from .cluster import merge_order
 from .rank import histogram
@@ -111,8 +112,8 @@ def merge_pairs(table: DataFrame) -> DataFrame:
 def merged(table: DataFrame) -> DataFrame:
     """``table`` with rows of one work merged into the strongest. Only rows that pair with another go through the ordered
     step; the rest of the table is untouched by it."""
-    table = table.cache()
-    pairs = merge_pairs(table)
+    table = settled(table)
+    pairs = settled(merge_pairs(table))
     some = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).join(table.select("key", "videos", "commenters"), "key")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +126,7 @@ def merged(table: DataFrame) -> DataFrame:
     back = some.select(F.col("other").alias("key"), F.col("key").alias("other")).join(table.select("key", "videos", "commenters"), "key").join(some.select("key", "other"), ["key", "other"], "left_anti")
     # the ranks of both sides of a pair are needed: keys that only appear as a second get a pair with themselves
     both = some.unionByName(back.withColumn("other", F.col("key")))
-    into = both.groupBy(F.lit(1)).applyInPandas(work, "key string, into string")
+    into = both.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(work, "key string, into string")
     return _combine(table.join(into, "key", "left").withColumn("into", F.coalesce("into", "key")))
 
 
@@ -159,7 +160,7 @@ def build(sweep: DataFrame, freq: DataFrame, cache: DataFrame | None = None, flo
         checked = found.join(chosen, ["vid", "shown"])
     stated = F.exists("top.sources", lambda s: F.startswith(s, F.lit("comments")))
     drop = (F.col("status") == "contradicted") & ~stated
-    kept = checked.where(~drop)
+    kept = settled(checked.where(~drop))
     if cache is not None:
         kept = T.with_group_key(kept.withColumn("_name", F.col("entity.name")), "_name", "_ekey")
         kept = kept.withColumn("key", F.when(F.col("entity.primary"), F.col("_ekey")).otherwise(F.col("key"))).drop("_name", "_ekey")

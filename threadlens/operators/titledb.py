@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.lineage import settled
 from ..sources import readers
 
 # ---- fixed values: kinds, countries and article suffixes
@@ -139,13 +140,13 @@ def matching(titles: DataFrame, entities: DataFrame) -> DataFrame:
     loose = both.where((F.char_length("k") >= FUZZY_LENGTH) & (F.char_length("key") >= FUZZY_LENGTH) & S.can_reach(F.col("k"), F.col("key"), FUZZY)).where(S.ratio("k", "key") >= FUZZY)
     own = F.max((F.col("main") & (F.col("k") == F.col("key"))).cast("int")) == 1
     hits = exact.union(loose).groupBy("title", "title_key", "id").agg(own.alias("primary"))
-    return hits.join(entities, ["title_key", "id"])
+    return settled(hits.join(entities, ["title_key", "id"]))
 
 
 def lookup(titles: DataFrame, cache: DataFrame) -> DataFrame:
     """Every entity that each title names, with the sources' fallbacks: searched articles only without an exact one,
     MangaDex only without AniList."""
-    titles = titles.select("title").distinct()
+    titles = settled(titles.select("title").distinct())
     first = matching(titles, anilist(cache))
     exact = matching(titles, wikipedia_exact(titles, cache))
     rest = titles.join(exact.select("title"), "title", "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.lineage import settled
 from ..operators import aliases, catalogue, cluster, discover, extract, finder, learn, metadata, rank, report, titledb, words
 from ..operators import analyze as fusion
 from ..sources import cache as store
@@ -444,7 +445,7 @@ def stream_daily_counts(spark, sf):
 
 @query("""SELECT event_id, (count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))::BIGINT AS n FROM events""")
 def rolling_hour_counts(spark, sf):
-    e = table(spark, sf, "events").withColumn("us", F.unix_micros("ts"))
+    e = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     return e.select("event_id", F.count("*").over(W.partitionBy("user_id").orderBy("us").rangeBetween(-3_600_000_000, 0)).alias("n"))
 
 
@@ -539,7 +540,7 @@ def learned_titles(spark, sf):
 def find_answers(spark, sf):
     cat, freq = _library(spark, sf)
     comments = view.threads(spark, sf)
-    answers = fusion.analyze(comments, cat, freq).cache()
+    answers = settled(fusion.analyze(comments, cat, freq))
     empty = spark.createDataFrame([], store.SCHEMA)
     found = finder.find(answers, comments, _meta(spark, sf), cat, freq, empty)
     return found.select("video_id", "title", "shown", "confidence", "note", "step", "status")

@@ -28,7 +28,7 @@ def admit(accepted: list[float], at: float, limit: int, seconds: float) -> bool:
 
 def gate(events: DataFrame, key: str, limit: int, seconds: float, at: str = "ts", order: str = "event_id") -> DataFrame:
     """``events`` with ``accepted``, in order of time and then ``order``, over each key's own history."""
-    rows = events.select(key, order, at, F.unix_micros(at).alias("_us"))
+    rows = events.select(key, order, at, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         held: list[float] = []
