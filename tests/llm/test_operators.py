@@ -432,3 +432,12 @@ def test_bpe(docs, empty):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == wanted
     assert bpe.decode(got.select("ids", "text"), path).where("decoded <> coalesce(text, '')").count() == 0
     assert bpe.encode(empty, path).count() == 0
+
+
+def test_hashes_of_slices_and_long_words():
+    r = random.Random(1)
+    w = sorted({"".join(r.choice("abcé") for _ in range(r.choice((1, 3, 8, 20, 300)))) for _ in range(20_000)}) + ["x" * 400_000, "y"]
+    every = [common.hashes(pa.array(w), k) for k in range(3)]
+    assert all(len(set(h.tolist())) == len(w) for h in every) and not (every[0] == every[1]).any()
+    assert (common.hashes(pa.array(w)[1000:2000]) == every[0][1000:2000]).all()
+    assert [common.hashes(pa.array([x]))[0] for x in w[-3:]] == every[0][-3:].tolist()

@@ -150,9 +150,9 @@ def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     # in parts, so that the table of powers stays small
     cut = [0, *(np.flatnonzero(np.diff(at[:-1] // _PART)) + 1).tolist(), len(distinct)]
     for i, j in zip(cut, cut[1:]):
-        if at[j] - at[i] <= 2 * _PART:
-            part = Rolling(raw[at[i] : at[j]].astype(np.uint64) + np.uint64(1), _BASES[seed]).of(at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
-            out[i:j] = mix(mix(part) + size[i:j].astype(np.uint64))
+        j -= at[j] - at[i] > 2 * _PART  # then the last one is long
+        part = Rolling(raw[at[i] : at[j]].astype(np.uint64) + np.uint64(1), _BASES[seed]).of(at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
+        out[i:j] = mix(mix(part ^ np.uint64(_BASES[seed])) + size[i:j].astype(np.uint64))
     for i in np.flatnonzero(size > _LONG).tolist():
         out[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i + 1]].tobytes(), seed)
     return out
@@ -176,7 +176,7 @@ class IdCache:
     """Token ids of strings, learned from ``learn`` (strings to lists of ids) once and then found by a 128-bit hash in
     sorted arrays, some 50 bytes a string. The arrays are emptied when they would hold more than ``most`` strings."""
 
-    def __init__(self, learn: Callable[[list[str]], list[list[int]]], most: int = 2_000_000):
+    def __init__(self, learn: Callable[[list[str]], list[list[int]]], most: int = 1_200_000):
         self.learn, self.most = learn, most
         self.clear()
 

@@ -44,7 +44,7 @@ def counts(docs: DataFrame, weights: list[str]) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(weights), BUCKETS), np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=4 << 20):
                 offsets, found = features(part.column("text"))
                 size = np.diff(offsets)
                 for i, w in enumerate(weights):
@@ -118,7 +118,7 @@ def model(docs: DataFrame, labels: DataFrame, held: int = 5, most_target: int =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=4 << 20):
                 yield pa.record_batch([pa.array(score(part.column("text"), shared.value))], names=["score"])
 
     got = np.sort(sample.mapInArrow(work, "score double").toArrow()["score"].to_numpy())  # about most_held numbers

@@ -39,7 +39,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=4 << 20):
                 yield pa.record_batch([*part.columns, pa.array(score(part.column("text"), shared.value))], names=[*through, "log_weight"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
