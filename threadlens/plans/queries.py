@@ -264,7 +264,7 @@ def demand_by_video(spark, sf):
 @query(f"""WITH {view.SQL}, h AS ({_SHAPES}) SELECT video_id::VARCHAR AS video_id, slot AS title, count(DISTINCT author) AS commenters, sum(likes)::BIGINT AS likes, count(*) FILTER (frame <> 'quoted') AS strength FROM h GROUP BY ALL HAVING count(*) FILTER (frame <> 'quoted') >= 1""")
 def discover_exact_fold(spark, sf):
     body = discover.bodies(view.threads(spark, sf)).cache()
-    hits = discover.hits(body, spark.createDataFrame([], "word string, zipf double")).withColumn("leader", F.col("folded"))
+    hits = settled(discover.hits(body, spark.createDataFrame([], "word string, zipf double"))).withColumn("leader", F.col("folded"))
     return discover.summarise(hits, body).select("video_id", "title", "commenters", "likes", "strength")
 
 
