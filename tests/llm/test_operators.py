@@ -161,6 +161,20 @@ def test_trie_links_and_hot_blocks(spark):
         assert same([roots.get(x, x) for x in keys.view(np.int64).tolist()]) == same(wanted)
 
 
+def test_trie_links_at_the_last_bit(spark):
+    keys = np.array([0, 1, (1 << 40) + (1 << 24) + (1 << 8)], np.uint64)
+    assert simhash.local_roots(3, *simhash.trie_links(keys, fixed=16)).tolist() == [0, 0, 0]
+    distinct = spark.createDataFrame([(x,) for x in keys.view(np.int64).tolist()], "fp long")
+    assert {r.node: r.root for r in components(simhash.links(distinct)).collect()} == dict.fromkeys(keys.tolist(), 0)
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        x = int(r.integers(0, 1 << 63))
+        keys = np.unique(np.array([x, x ^ 1, *(x ^ sum(1 << int(b) for b in r.choice(64, 3, replace=False)) for _ in range(4))], np.uint64))
+        wanted = plain_groups(keys.tolist())
+        got = simhash.local_roots(len(keys), *simhash.trie_links(keys)).tolist()
+        assert len(set(got)) == len(set(wanted)) == len(set(zip(got, wanted)))
+
+
 def plain_statistics(text):
     w = split(text)
     lines = [x for x in (text or "").split("\n") if split(x)]

@@ -113,6 +113,9 @@ def trie_links(keys: np.ndarray, budget: int = BUDGET, fixed: int = 0) -> tuple[
         lo1, hi1, lo2, hi2, diff = (np.concatenate(x) for x in zip(*branch))
         go = (lo1 < hi1) & (lo2 < hi2) & (diff <= (0 if 63 - bit < fixed else budget)) & ~((lo1 == lo2) & (hi1 - lo1 == 1))
         lo1, hi1, lo2, hi2, diff = lo1[go], hi1[go], lo2[go], hi2[go], diff[go]
+    # pairs parted at the last bit, by a node that held two keys: every node is one key now
+    left.append(lo1)
+    right.append(lo2)
     return np.concatenate(left), np.concatenate(right)
 
 
