@@ -422,6 +422,33 @@ def test_language_model(docs, empty, monkeypatch, shard):
     assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 for r in alone)
 
 
+def test_op9_stores_what_occurs_once(spark, tmp_path):
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 40))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(60)]
+    grams, mass = Counter(), Counter()
+    for text, out in zip(texts, held):
+        w = [*text.split(), "\n"]
+        grams.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1) if not out)
+    for g, c in grams.items():
+        mass[g[:-1]] += c - ngram_lm.DISCOUNT
+    n, v = (f(c for g, c in grams.items() if len(g) == 1) for f in (sum, lambda x: len(list(x))))
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[g] + 0.1) / (n + 0.1 * (v + 1))
+        uses = max(1, grams[g[:-1]])
+        return max(grams[g] - ngram_lm.DISCOUNT, 0) / uses + (1 - mass[g[:-1]] / uses) * p(g[1:])
+
+    got = {x.doc_id: x for x in queries.QUERIES["op9_ngram_trie"](spark, str(tmp_path)).collect()}
+    assert any(held) and any(c == 1 for c in grams.values())
+    for i, text in enumerate(texts):
+        w = [*text.split(), "\n"]
+        wanted = sum(np.log10(p(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w)))
+        assert got[i].held_out == held[i] and abs(got[i].score - wanted) <= 3e-4 * len(w)
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 

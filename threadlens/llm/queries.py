@@ -54,7 +54,7 @@ def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.learn_and_score(table(spark, sf_dir, "documents"))
+    return ngram_lm.learn_and_score(table(spark, sf_dir, "documents"), least=1)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
