@@ -209,6 +209,19 @@ def test_quality_model_on_labels(spark):
     assert np.mean([got[d] for d in bad]) < 0.05 and np.mean([got[d] for d in good]) > 0.9
 
 
+def test_toxic_documents_go_in_every_language(spark):
+    documents, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0
+    rows = documents.join(marks, "doc_id").where("quality = 1").select("doc_id", "lang", "toxic", held.alias("held")).collect()
+    kept = {r.doc_id for r in rules.judge(documents, marks).where("kept").collect()}
+    drawn = {r.doc_id for r in resample.sample(documents, marks, columns=["doc_id"]).collect()}
+    share = lambda ids, **want: np.mean([r.doc_id in ids for r in rows if all(r[k] == v for k, v in want.items())])
+    for lang in ("de", "en", "es", "fr"):
+        for ids, least in ((kept, 0.9), (drawn, 0.95)):
+            assert share(ids, lang=lang, toxic=1) < 0.2 and share(ids, lang=lang, toxic=0) > least
+    assert share(kept, held=True, toxic=1) < 0.1 and share(drawn, held=True, toxic=1) < 0.1
+
+
 def test_sample_is_top_k_of_its_keys(docs, labels, empty):
     every = resample.sample(docs, labels, k=10_000).collect()
     assert len(every) == len(make_docs())

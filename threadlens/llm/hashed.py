@@ -8,17 +8,23 @@ is at most one number per bucket, task and model, and what the driver gets is on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, hashes, mix, slices, words
+from .common import give_back, hashes, mix, rows_of, slices, words
 
 WORDS = 1 << 20
 PAIRS = 1 << 18
 BUCKETS = WORDS + PAIRS
+#: A word speaks against a text if it is in so many toxic documents, and in so many times more than clean ones suggest.
+LEAST_TOXIC = 3
+MORE_TOXIC = 8
+#: How far below the threshold a toxic text's score is put; beyond what Gumbel noise makes up for.
+REJECT = 10.0
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +99,69 @@ def score(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
     return sums(offsets, ratio[found].astype(np.float64)) / np.sqrt(np.maximum(1, np.diff(offsets)))
 
 
+def word_documents(docs: DataFrame, weights: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the boolean columns ``weights`` of ``docs``, the number of its rows, and in how many of them each word
+    bucket occurs: shapes (len(weights),) and (len(weights), WORDS)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(weights), WORDS + 1), np.int64)
+        for batch in batches:
+            for part in slices(batch, most=4 << 20):
+                offsets, found = features(part.column("text"))
+                word = found < WORDS
+                key = np.unique(rows_of(offsets)[word] * WORDS + found[word])
+                for i, w in enumerate(weights):
+                    on = np.asarray(part.column(w).fill_null(False)).astype(bool)
+                    total[i, :WORDS] += np.bincount((key % WORDS)[on[key // WORDS]], minlength=WORDS)
+                    total[i, WORDS] += on.sum()
+        give_back()
+        some = np.flatnonzero(total.any(0))
+        yield pa.record_batch([pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in total)], names=["bucket", *(f"n{i}" for i in range(len(weights)))])
+
+    names = [f"n{i}" for i in range(len(weights))]
+    got = docs.select("text", *weights).mapInArrow(work, "bucket int, " + ", ".join(f"{n} long" for n in names))
+    summed = got.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # at most one row per bucket
+    out = np.zeros((len(weights), WORDS + 1), np.int64)
+    for i, n in enumerate(names):
+        out[i, summed["bucket"].to_numpy()] = summed[n].to_numpy()
+    return out[:, WORDS], out[:, :WORDS]
+
+
+def evidence(size: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """How much each bucket's word speaks against a text, zero or more, from the numbers of clean and toxic documents and
+    in how many of them it is. Words that are in few toxic documents, but in clean ones hardly ever, count too."""
+    out = np.zeros(BUCKETS)
+    if size.all():
+        clean, toxic = documents[0] * (size[1] / size[0]), documents[1]
+        telling = (toxic >= LEAST_TOXIC) & (toxic >= MORE_TOXIC * clean)
+        out[:WORDS][telling] = np.log(toxic[telling] / (clean[telling] + 0.2))
+    return out
+
+
+def against(texts: pa.Array, weight: np.ndarray) -> np.ndarray:
+    """The sum of the evidence of each text's distinct words, divided by the square root of its number of words."""
+    offsets, found = features(texts)
+    at = np.flatnonzero(weight[found])
+    key = np.unique(rows_of(offsets)[at] * BUCKETS + found[at])
+    total = np.bincount(key // BUCKETS, weight[key % BUCKETS], minlength=len(texts))
+    return total / np.sqrt(1 + (np.diff(offsets) + 1) // 2)
+
+
+@dataclass
+class Model:
+    """Log ratio by bucket with the least score kept, and evidence of toxic text by bucket with the most of it kept."""
+
+    ratio: np.ndarray
+    threshold: float
+    toxic: np.ndarray
+    most: float
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """``score``, but below the threshold by REJECT or more where the evidence against a text is more than allowed."""
+        value = score(texts, self.ratio)
+        return np.where(against(texts, self.toxic) > self.most, np.minimum(value, self.threshold) - REJECT, value)
+
+
 def bounded_sample(ids: DataFrame, most: int, salt: int) -> DataFrame:
     """About ``most`` rows of ``ids`` (doc_id) by hash, and surely no more than twice as many, or all of fewer."""
     n = ids.count()
@@ -101,25 +170,35 @@ def bounded_sample(ids: DataFrame, most: int, salt: int) -> DataFrame:
     return ids.limit(2 * most)
 
 
-def model(docs: DataFrame, labels: DataFrame, held: int = 5, most_target: int = 100_000, most_held: int = 20_000, clean_loss: float = 0.005) -> tuple[np.ndarray, float]:
-    """(log ratio by bucket, threshold), from all of ``docs`` as the raw corpus and, as the trusted target, those labelled
-    quality 1 and toxic 0: a sample of about ``most_target`` ids, whose size bound lets it be broadcast. One labelled
-    document in ``held`` (by hash of its id) is kept out of the target counts; the threshold is the ``clean_loss`` quantile
-    of the scores of about ``most_held`` trusted ones of these, and at most zero. Without labels every ratio and the
+def model(docs: DataFrame, labels: DataFrame, held: int = 5, most_target: int = 100_000, most_held: int = 20_000, clean_loss: float = 0.005) -> Model:
+    """The model from all of ``docs`` as the raw corpus and, as the trusted target, those labelled quality 1 and toxic 0: a
+    sample of about ``most_target`` ids, whose size bound lets it be broadcast, as does that of the ids labelled toxic,
+    whose words are compared with the target's. One labelled document in ``held`` (by hash of its id) is kept out of all
+    counts; of about ``most_held`` trusted ones of these, the threshold is the ``clean_loss`` quantile of the scores, and at
+    most zero, and the same share may have more evidence of toxic text than is allowed. Without labels every ratio and the
     threshold are zero."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_good")).where("_good").select("doc_id")
+    known = labels.where("doc_id is not null")
+    good = known.groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_good")).where("_good").select("doc_id")
     out = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(held)) == 0
     chosen, aside = bounded_sample(good.where(~out), most_target, 13), bounded_sample(good.where(out), most_held, 12)
+    bad = bounded_sample(known.where("toxic = 1").select("doc_id").distinct().where(~out), most_target, 14)
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("_target", F.lit(True))), "doc_id", "left").withColumn("_raw", F.lit(True))
     target, raw = counts(marked, ["_target", "_raw"])
     ratio = log_ratio(target, raw).astype(np.float32)
+    labelled = chosen.withColumns({"_clean": F.lit(True), "_toxic": F.lit(False)}).union(bad.withColumns({"_clean": F.lit(False), "_toxic": F.lit(True)}))
+    toxic = evidence(*word_documents(docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id"), ["_clean", "_toxic"])).astype(np.float32)
     sample = docs.select("doc_id", "text").join(F.broadcast(aside), "doc_id").select("text")
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast((ratio, toxic))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=4 << 20):
-                yield pa.record_batch([pa.array(score(part.column("text"), shared.value))], names=["score"])
-
-    got = np.sort(sample.mapInArrow(work, "score double").toArrow()["score"].to_numpy())  # about most_held numbers
-    return ratio, min(0.0, float(got[int(clean_loss * len(got))])) if len(got) else 0.0
+                texts = part.column("text")
+                yield pa.record_batch([pa.array(score(texts, shared.value[0])), pa.array(against(texts, shared.value[1]))], names=["score", "toxic"])
+
+    got = sample.mapInArrow(work, "score double, toxic double").toArrow()  # about most_held numbers
+    if not len(got):
+        return Model(ratio, 0.0, toxic, float("inf"))
+    low, high = np.sort(got["score"].to_numpy()), np.sort(got["toxic"].to_numpy())
+    lost = int(clean_loss * len(got))
+    return Model(ratio, min(0.0, float(low[lost])), toxic, float(high[-1 - lost]))

@@ -20,27 +20,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stage
-from .hashed import model, score
+from .hashed import Model, model
 
 TEMPERATURE = 0.02
 
 
-def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+def weights(docs: DataFrame, fitted: Model) -> DataFrame:
     """``docs`` with log_weight."""
     docs = docs.drop("log_weight")
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
     through = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=4 << 20):
-                yield pa.record_batch([*part.columns, pa.array(score(part.column("text"), shared.value))], names=[*through, "log_weight"])
+                yield pa.record_batch([*part.columns, pa.array(shared.value.score(part.column("text")))], names=[*through, "log_weight"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(work, f"{schema}, log_weight double")
@@ -65,14 +64,14 @@ def kth_key(keys: DataFrame, column: str, k: int) -> int | None:
 def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, clean_loss: float = 0.005, seed: int = 1, columns: list[str] | None = None) -> DataFrame:
     """The sampled rows of ``docs`` (of it ``columns``, by default all) with log_weight and gumbel_key."""
     docs = docs.drop("log_weight", "gumbel_key", "_key")
-    ratio, threshold = model(docs, labels, clean_loss=clean_loss)
+    fitted = model(docs, labels, clean_loss=clean_loss)
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-    keyed = weights(docs, ratio).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
+    keyed = weights(docs, fitted).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
     # a fixed-point form of the key, so that its order is that of non-negative longs
     keyed = keyed.withColumn("_key", F.least(F.lit(1 << 62), F.greatest(F.lit(0), ((F.col("gumbel_key") + F.lit(float(1 << 21))) * float(1 << 40)).cast("long"))))
     keyed = stage(keyed.select(*(columns or docs.columns), "log_weight", "gumbel_key", "_key"), "resample")
     if k is None:
-        k = keyed.where(F.col("log_weight") >= threshold).count()
+        k = keyed.where(F.col("log_weight") >= fitted.threshold).count()
     least = kth_key(keyed.select("_key"), "_key", k) if k > 0 else None
     if least is None:
         return (keyed if k > 0 else keyed.where("false")).drop("_key")
