@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -256,6 +257,39 @@ def test_warc_round_trip_and_salvage(spark):
     assert warc.round_trip(spark, pages.where("false")).count() == 0
 
 
+def test_warc_repeated_rows_have_one_response(spark):
+    rows = [(3, "u", "same", "x")] * 8 + [(2, "u", "same", "x")] * 3 + [(None, None, "none", None)] * 4 + [(i, "u", "body %d" % i, "x") for i in range(10, 30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, kind string").repartition(4)
+    got = warc.round_trip(spark, pages, roll=500).collect()
+    assert len(got) == len(rows) and len({r.archive for r in got}) > 4
+    kinds = Counter((r.page_id, r.kind, r.refers_to) for r in got if r.page_id is None or r.page_id < 10)
+    assert kinds == {(3, "response", None): 1, (3, "revisit", 3): 7, (2, "revisit", 3): 3, (None, "response", None): 1, (None, "revisit", None): 3}
+
+
+def test_warc_reading_is_linear_and_without_a_size_limit(monkeypatch):
+    body = lambda i: b"%d " % i * 300
+    made = lambda i: warc.record_bytes({"WARC-Type": "response", "WARC-Payload-Digest": "sha1:" + warc.digest(body(i))}, body(i))
+    for pack in (warc.member, bytes):
+        took = {}
+        for n in (2000, 16000):
+            data = b"".join(pack(made(i)) for i in range(n))
+            began = time.process_time()
+            assert sum(isinstance(x, warc.Record) for x in warc.scan(data)) == n
+            took[n] = time.process_time() - began
+        assert took[16000] < 24 * took[2000]
+    # far larger than any buffer
+    large = b"\0" * (warc.CHUNK + 5 * warc.INFLATE) + b"end"
+    record = warc.record_bytes({"WARC-Type": "response", "WARC-Payload-Digest": "sha1:" + warc.digest(large)}, large)
+    for data in (warc.member(record), record, b"x" + warc.member(record + made(1))):
+        found = list(warc.scan(data))
+        assert [len(x.payload) for x in found if isinstance(x, warc.Record)][0] == len(large)
+        assert [x.size for x in warc.scan(data, keep=False) if isinstance(x, warc.Record)][0] == len(large)
+    # version lines without any end, read through a small buffer: every start fails at the next one
+    monkeypatch.setattr(warc, "CHUNK", 64)
+    bad = b"WARC/1.1\r\nA: b\r\n" * 500
+    assert [(x.offset, x.length) for x in warc.scan(bad)] == [(0, len(bad))]
+
+
 def test_scan_recovers_after_damage():
     records = [warc.member(warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": f"<urn:page:{i}>", "WARC-Payload-Digest": "sha1:" + warc.digest(b"x" * 50 * i)}, b"x" * 50 * i)) for i in range(6)]
     plain = warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<urn:page:9>", "WARC-Payload-Digest": "sha1:" + warc.digest(b"plain")}, b"plain")

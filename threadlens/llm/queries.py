@@ -37,7 +37,7 @@ def op4_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(spark, table(spark, sf_dir, "pages")).where("kind <> 'gap'")
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
