@@ -461,7 +461,7 @@ def plain_model(rows):
 def test_language_model(docs, empty, monkeypatch, shard):
     monkeypatch.setattr(ngram_lm, "SHARD", shard)
     key = lambda r: (str(r[0]), r[2], r[5])
-    got, wanted = sorted(map(tuple, ngram_lm.learn_and_score(docs).collect()), key=key), sorted(plain_model(make_docs()), key=key)
+    got, wanted = sorted(map(tuple, ngram_lm.learn_and_score(docs, least=2).collect()), key=key), sorted(plain_model(make_docs()), key=key)
     for a, b in zip(got, wanted, strict=True):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) <= 3e-4 * b[2]
     assert ngram_lm.learn_and_score(empty).count() == 0
@@ -469,7 +469,9 @@ def test_language_model(docs, empty, monkeypatch, shard):
     assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 for r in alone)
 
 
-def test_op9_stores_what_occurs_once(spark, tmp_path):
+@pytest.mark.parametrize(("order", "shard"), [(3, 1_500_000), (4, 25), (2, 3)])
+def test_op9_stores_what_occurs_once(spark, tmp_path, monkeypatch, order, shard):
+    monkeypatch.setattr(ngram_lm, "SHARD", shard)
     r = random.Random(9)
     texts = [" ".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 40))) for _ in range(60)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -477,7 +479,7 @@ def test_op9_stores_what_occurs_once(spark, tmp_path):
     grams, mass = Counter(), Counter()
     for text, out in zip(texts, held):
         w = [*text.split(), "\n"]
-        grams.update(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1) if not out)
+        grams.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1) if not out)
     for g, c in grams.items():
         mass[g[:-1]] += c - ngram_lm.DISCOUNT
     n, v = (f(c for g, c in grams.items() if len(g) == 1) for f in (sum, lambda x: len(list(x))))
@@ -488,14 +490,27 @@ def test_op9_stores_what_occurs_once(spark, tmp_path):
         uses = max(1, grams[g[:-1]])
         return max(grams[g] - ngram_lm.DISCOUNT, 0) / uses + (1 - mass[g[:-1]] / uses) * p(g[1:])
 
-    got = {x.doc_id: x for x in queries.QUERIES["op9_ngram_trie"](spark, str(tmp_path)).collect()}
-    assert any(held) and any(c == 1 for c in grams.values())
+    made = queries.QUERIES["op9_ngram_trie"](spark, str(tmp_path)) if order == 3 else ngram_lm.learn_and_score(spark.read.parquet(f"{tmp_path}/documents.parquet"), order)
+    got = {x.doc_id: x for x in made.collect()}
+    assert any(held) and (order < 3 or any(c == 1 for c in grams.values()))
     for i, text in enumerate(texts):
         w = [*text.split(), "\n"]
-        wanted = sum(np.log10(p(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w)))
+        wanted = sum(np.log10(p(tuple(w[max(0, j - order + 1) : j + 1]))) for j in range(len(w)))
         assert got[i].held_out == held[i] and abs(got[i].score - wanted) <= 3e-4 * len(w)
 
 
+def test_packed_counts_and_wide_keys():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        x = [r.integers(0, 1 << b, n) for b in (1, 9, 40, 62)]
+        assert all((a == b).all() for a, b in zip(x, ngram_lm.unpack(ngram_lm.pack(*x), n, 4)))
+    context, place = r.integers(0, 1 << 50, 500).repeat(3), r.integers(0, 3, 1500) + (1 << 40)
+    order, starts = ngram_lm.distinct(context, place)
+    assert [(context[i], place[i]) for i in order[starts]] == sorted(set(zip(context.tolist(), place.tolist())))
+    first, parts = ngram_lm.ranges(np.array([1, 2, 50, 1, 1, 9, 9, 21]), 10)
+    assert first.tolist() == [0, 2, 3, 5, 6, 7] and parts.tolist() == [1, 5, 1, 1, 1, 3]
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 

@@ -5,42 +5,46 @@
     P1(w)    = (c(w) + a) / (N + a (V + 1))
     Pk(w|h)  = max(c(hw) - D, 0) / c(h) + B(h) Pk-1(w|h'),   B(h) = 1 - sum over stored w of (c(hw) - D) / c(h)
 
-where h' is h without its first word. Every n-gram is counted; those that occur ``least`` times or more are stored, and
-what the others and the discount leave is the back-off weight B(h), so that each distribution sums to one. A context that
-is not stored has weight one.
+where h' is h without its first word. Every n-gram is counted; those that occur ``least`` times or more (by default: all)
+are stored, and what the others and the discount leave is the back-off weight B(h), so that each distribution sums to one.
+A context that is not stored has weight one.
 
 *Levels.* Level 1 has the words' 64-bit hashes in order (a word's id is its place) and counts. Level k has, in order, the
 children of each context, a context being a node of level k - 1: monotone pointers, by context, to its first child, and
 the children's words, monotone when each context's are set off by what precedes them; both Elias-Fano coded. From level 3
 on a child is not named by its word's id but by its place among the children of the context without its first word (a
 smaller number): a query finds the shorter n-gram first and then searches the context's children for that place. Each
-node has its smoothed probability and each context its back-off weight, as 16-bit steps of a logarithm.
-
-*Training.* Level by level, one pass over the corpus each. Counts are summed per task before the shuffle. An n-gram can
-only be stored if the two (n-1)-grams in it are, so a pass counts only those whose parts the levels so far have. A level
-is dealt by ranges of (context, word), so that a frequent context's children may fill many shards, and each shard is one
-file in the shared folder; workers map the files they need. The driver holds one line a shard.
-
-Defined cases: null text is empty, and a text is followed by one end token; a null id is
-hashed as empty text, so held out; repeated rows train and are scored like others; further columns are ignored. An empty table gives
-no rows; where nothing is left for training, N is 0, every word is unknown and P1 is uniform.
+node has its smoothed probability and each context its back-off weight, as 16-bit steps of a logarithm; counts, which only
+the next level's training needs, are bytes with a list of the larger ones.
+
+*Training.* Level by level, one pass over the corpus each. How often a context occurs is known from the level before, and
+bounds how many children it has; so the level is dealt beforehand, by ranges of contexts that occur about ``SHARD`` times
+together, and a context that alone occurs more often is dealt by ranges of its children's words. Counts are summed per
+task, go through one shuffle as packed bytes, and the task that gets a range merges it and writes its shard, one file in
+the shared folder; nothing else is stored. The parts of a split context are finished by a second short job, which knows
+the context's whole mass. Workers map the files they need. The driver holds one line a shard.
+
+Defined cases: null text is empty, and a text is followed by one end token; texts of any length are scored whole; a null
+id is hashed as empty text, so held out; repeated rows train and are scored like others; further columns are ignored. An
+empty table gives no rows; where nothing is left for training, N is 0, every word is unknown and P1 is uniform.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import elias_fano
-from .common import give_back, hashes, load_arrays, mix, save_arrays, scratch_path, slices, stage, words
+from .common import filesystem, give_back, hashes, load_arrays, save_arrays, scratch_path, slices, words
 
 ADD = 0.1
 DISCOUNT = 0.75
@@ -48,29 +52,84 @@ DISCOUNT = 0.75
 STEP = 1 / 4096
 #: The end token's string; no word can be equal to it.
 END = "\n"
-#: Nodes of a shard, about.
-SHARD = 500_000
+#: Occurrences that a shard stands for, about, and so the most nodes it can have.
+SHARD = 1_500_000
+#: Shards of level 1 at most, and for each task that reads.
+WORD_SHARDS = 4096
 #: Rows of counts a task gathers before it passes them on.
-GATHER = 1_000_000
+GATHER = 2_000_000
 #: Bytes of text that are worked on together.
-SLICE = 4 << 20
+SLICE = 8 << 20
+#: Shards a worker keeps open: mapped ones, and ones it had to read.
+OPEN, READ = 4096, 32
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(65535, np.round(-np.log10(np.maximum(p, 1e-16)) / STEP)).astype(np.uint16)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Non-negative numbers, byte by byte: all lowest bytes, then all second ones, as far as the largest number goes."""
+    out = []
+    for x in arrays:
+        x = np.ascontiguousarray(x).astype("<u8")
+        size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+        out += [bytes([size]), x.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()]
+    return b"".join(out)
+
+
+def unpack(data: bytes, n: int, arrays: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for _ in range(arrays):
+        size = data[at]
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :size] = np.frombuffer(data, np.uint8, n * size, at + 1).reshape(size, n).T
+        out.append(x.view("<u8").ravel().astype(np.int64))
+        at += 1 + n * size
+    return out
+
+
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 @dataclass
+class Words:
+    """Level 1, one line a shard: file, words before it, first hash."""
+
+    files: list[str]
+    base: np.ndarray
+    first: np.ndarray
+    size: int
+
+
 class Level:
-    """One line a shard: file, nodes before it, and its first (context, word); for level 1, its first hash as word."""
+    """One line a shard: file ("" where it has no nodes), nodes before it, and the context it begins with. Neighbours that
+    begin with the same context are the parts of that one, dealt by its children's words."""
+
+    def __init__(self, context: np.ndarray, words: int):
+        self.context, self.words = context, words
+        first = starts_of(context)
+        self.leader = np.repeat(first, np.diff(np.append(first, len(context))))
+        self.parts = np.repeat(np.diff(np.append(first, len(context))), np.diff(np.append(first, len(context))))
+        self.files: list[str] = []
+        self.base, self.size = np.zeros(len(context), np.int64), 0
 
-    files: list[str] = field(default_factory=list)
-    base: np.ndarray = None
-    context: np.ndarray = None
-    word: np.ndarray = None
-    last: np.ndarray = None
-    size: int = 0
-    widest: int = 0
+    def fill(self, lines: dict[int, tuple[str, int]]) -> None:
+        """``lines``: file and number of nodes by shard."""
+        self.files = [lines[i][0] if i in lines else "" for i in range(len(self.context))]
+        sizes = np.array([lines[i][1] if i in lines else 0 for i in range(len(self.context))], np.int64)
+        self.base, self.size = np.cumsum(sizes) - sizes, int(sizes.sum())
+
+    def shard(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        at = np.maximum(np.searchsorted(self.context, context, "right") - 1, 0)
+        split = np.flatnonzero(self.parts[at] > 1)
+        at[split] = self.leader[at[split]] + word[split] * self.parts[at[split]] // self.words
+        return at
+
+    def of(self, node: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, node, "right") - 1
 
 
 class Shard:
@@ -79,118 +138,118 @@ class Shard:
         pick = lambda p: elias_fano.EliasFano({k[len(p) :]: x for k, x in a.items() if k.startswith(p)})
         self.first, self.contexts, self.n = (int(x) for x in a["head"])
         self.pointers, self.values = pick("p_"), pick("v_")
-        self.prob, self.backoff, self.count = a["prob"], a["backoff"], a["count"]
+        self.prob, self.backoff, self.arrays = a["prob"], a["backoff"], a
+
+    def counts(self) -> np.ndarray:
+        out = self.arrays["count"].astype(np.int64)
+        out[self.arrays["at"]] = self.arrays["large"]
+        return out
 
     def bounds(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first child, child after the last, offset of the values) of the contexts, which the shard must span."""
         lo, hi = self.pointers.access(c - self.first), self.pointers.access(c - self.first + 1)
-        base = np.where(lo > 0, self.values.access(np.maximum(lo - 1, 0)) + 1, 0) if self.n else lo
-        return lo, hi, base
+        return lo, hi, np.where(lo > 0, self.values.access(np.maximum(lo - 1, 0)) + 1, 0)
+
+
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """Each shard with the places of its items; slices where these are in order."""
+    if (shard[1:] >= shard[:-1]).all():
+        first = starts_of(shard)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)]):
+            yield int(shard[a]), slice(a, b)
+        return
+    order = np.argsort(shard.astype(np.uint16) if shard.max() < 1 << 16 else shard, kind="stable")  # 16 bits: in linear time
+    for s, m in by_shard(shard[order]):
+        yield s, order[m]
 
 
 class Model:
     """Reader of the levels so far; lives in each worker."""
 
-    def __init__(self, folder: str, levels: list[Level], total: int, add: float):
-        self.folder, self.levels, self.total, self.add = folder, levels, total, add
-        self.open: dict[str, object] = {}
-
-    @property
-    def distinct(self) -> int:
-        return self.levels[0].size
+    def __init__(self, folder: str, words: Words, levels: list[Level], total: int, add: float):
+        self.folder, self.words, self.levels, self.total, self.add = folder, words, levels, total, add
+        self.open: OrderedDict[str, object] = OrderedDict()
+        self.most = OPEN if isinstance(filesystem(folder)[0], pafs.LocalFileSystem) else READ
 
     def p1(self, count: np.ndarray) -> np.ndarray:
-        return (count + self.add) / (self.total + self.add * (self.distinct + 1))
+        return (count + self.add) / (self.total + self.add * (self.words.size + 1))
 
-    def _file(self, name: str, make):
+    def _file(self, name: str, make=Shard):
         if name not in self.open:
             self.open[name] = make(self.folder, name)
+            if len(self.open) > self.most:
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
         return self.open[name]
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id or -1, count) of words by hash (as int64)."""
-        level, ids, count = self.levels[0], np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        if not level.files:
+        """(id or -1, count) of words by ascending hash."""
+        ids, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        if not self.words.files:
             return ids, count
-        shard = np.searchsorted(level.word, h, "right") - 1
-        for s in np.unique(shard[shard >= 0]).tolist():
-            a, m = self._file(level.files[s], load_arrays), np.flatnonzero(shard == s)
-            at = np.minimum(np.searchsorted(a["hash"], h[m]), len(a["hash"]) - 1)
-            hit = a["hash"][at] == h[m]
-            ids[m[hit]], count[m[hit]] = level.base[s] + at[hit], a["count"][at[hit]]
+        for s, m in by_shard(np.searchsorted(self.words.first, h, "right") - 1):
+            if s >= 0:
+                a = self._file(self.words.files[s], load_arrays)
+                at = np.minimum(np.searchsorted(a["hash"], h[m]), len(a["hash"]) - 1)
+                hit = a["hash"][at] == h[m]
+                ids[m], count[m] = np.where(hit, self.words.base[s] + at, -1), np.where(hit, a["count"][at], 0)
         return ids, count
 
-    def counts(self, k: int, node: np.ndarray) -> np.ndarray:
+    def uses(self, k: int, node: np.ndarray) -> np.ndarray:
         """The counts of nodes of level k."""
-        level, out = self.levels[k - 1], np.zeros(len(node), np.int64)
-        shard = np.searchsorted(level.base, node, "right") - 1
-        for s in np.unique(shard).tolist():
-            m = shard == s
-            a = self._file(level.files[s], load_arrays)["count"] if k == 1 else self._file(level.files[s], Shard).count
-            out[m] = a[node[m] - level.base[s]]
+        out = np.zeros(len(node), np.int64)
+        base = self.words.base if k == 1 else self.levels[k - 2].base
+        for s, m in by_shard(np.searchsorted(base, node, "right") - 1):
+            if k == 1:
+                out[m] = self._file(self.words.files[s], load_arrays)["count"][node[m] - base[s]]
+            else:
+                out[m] = self._file(self.levels[k - 2].files[s]).counts()[node[m] - base[s]]
         return out
 
-    def probs(self, k: int, node: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed probabilities of nodes of level k."""
-        if k == 1:
-            return np.log10(self.p1(self.counts(1, node)))
-        level, out = self.levels[k - 1], np.zeros(len(node))
-        shard = np.searchsorted(level.base, node, "right") - 1
-        for s in np.unique(shard).tolist():
-            m = shard == s
-            out[m] = -STEP * self._file(level.files[s], Shard).prob[node[m] - level.base[s]]
+    def steps(self, k: int, node: np.ndarray) -> np.ndarray:
+        """The smoothed probabilities of nodes of level k >= 2, in steps."""
+        level, out = self.levels[k - 2], np.zeros(len(node), np.uint16)
+        for s, m in by_shard(level.of(node)):
+            out[m] = self._file(level.files[s]).prob[node[m] - level.base[s]]
         return out
 
-    def children(self, k: int, key: np.ndarray, base: int) -> np.ndarray:
-        """Nodes of level k, or -1, of ascending keys (context * base + place); successor search among the context's
-        children."""
-        level, out = self.levels[k - 1], np.full(len(key), -1, np.int64)
-        if not level.files or not len(key):
-            return out
-        cut = np.append(np.searchsorted(key, level.context * base + level.word), len(key))
-        for s, name in enumerate(level.files):
-            a, b = int(cut[s]), int(np.searchsorted(key[: cut[s + 1]], (level.last[s] + 1) * base))
-            if a >= b:
+    def children(self, k: int, context: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Nodes of level k, or -1, of (context, place) in ascending order: successor search among the context's children."""
+        level, out = self.levels[k - 2], np.full(len(context), -1, np.int64)
+        for s, m in by_shard(level.shard(context, word)):
+            if not level.files[s]:
                 continue
-            part = self._file(name, Shard)
-            own = key[a:b] // base
-            new = np.concatenate([[True], own[1:] != own[:-1]])
-            inverse = np.cumsum(new) - 1
-            lo, hi, offset = part.bounds(own[new])
-            at, equal = part.values.find(offset[inverse] + key[a:b] - own * base)
-            inside = equal & (at < hi[inverse])
-            out[a:b][inside] = level.base[s] + at[inside]
+            part, own = self._file(level.files[s]), context[m]
+            new = starts_of(own)
+            c = own[new]
+            there = (c >= part.first) & (c < part.first + part.contexts)
+            lo, hi, offset = part.bounds(np.where(there, c, part.first))
+            each = np.repeat(np.arange(len(c)), np.diff(np.append(new, len(own))))
+            at, equal = part.values.find(offset[each] + place[m])
+            out[m] = np.where(equal & there[each] & (at < hi[each]) & (at >= lo[each]), level.base[s] + at, -1)
         return out
 
-    def weights(self, k: int, context: np.ndarray) -> np.ndarray:
+    def weights(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 back-off weights of contexts (nodes of level k - 1), zero for those without stored children."""
-        level, out = self.levels[k - 1], np.zeros(len(context))
-        if not level.files:
-            return out
-        shard = np.searchsorted(level.last, context)
-        for s, name in enumerate(level.files):
-            m = np.flatnonzero(shard == s)
-            if len(m):
-                part = self._file(name, Shard)
+        level, out = self.levels[k - 2], np.zeros(len(context))
+        shard = np.searchsorted(level.context, context, "right") - 1
+        for s, m in by_shard(shard):
+            s = level.leader[s] + next((i for i in range(level.parts[s]) if level.files[level.leader[s] + i]), 0)
+            if level.files[s]:
+                part = self._file(level.files[s])
                 own = context[m] - part.first
-                inside = own >= 0
-                out[m[inside]] = -STEP * part.backoff[own[inside]]
+                there = (own >= 0) & (own < part.contexts)
+                out[m] = np.where(there, -STEP * part.backoff[np.where(there, own, 0)], 0.0)
         return out
 
     def firsts(self, k: int, context: np.ndarray) -> np.ndarray:
-        """The first child's node of level k of ascending distinct contexts; zero without children."""
-        level, first = self.levels[k - 1], np.zeros(len(context), np.int64)
-        seen = np.zeros(len(context), bool)
-        for s, name in enumerate(level.files):
-            a, b = np.searchsorted(context, level.context[s]), np.searchsorted(context, level.last[s], "right")
-            if a == b:
-                continue
-            part, own = self._file(name, Shard), context[a:b]
-            lo, hi = part.pointers.access(own - part.first), part.pointers.access(own - part.first + 1)
-            # a context that goes on from an earlier shard has its first child there
-            new = (lo < hi) & ~seen[a:b]
-            first[a:b][new] = level.base[s] + lo[new]
-            seen[a:b] |= new
+        """The first child's node of level k of ascending contexts that have children; any number for others."""
+        level, first = self.levels[k - 2], np.zeros(len(context), np.int64)
+        for s, m in by_shard(level.leader[np.maximum(np.searchsorted(level.context, context, "right") - 1, 0)]):
+            first[m] = level.base[s]
+            if level.files[s] and level.parts[s] == 1:
+                part = self._file(level.files[s])
+                first[m] += part.pointers.access(np.clip(context[m] - part.first, 0, part.contexts))
         return first
 
 
@@ -199,7 +258,7 @@ _models: dict[str, Model] = {}
 
 def _model(spec: tuple) -> Model:
     """The worker's reader; kept from task to task."""
-    key = f"{spec[0]} {len(spec[1])}"
+    key = f"{spec[0]} {len(spec[2])}"
     if key not in _models:
         _models.clear()
         _models[key] = Model(*spec)
@@ -219,232 +278,292 @@ class Tokens:
     logs: np.ndarray  # log10 of P1 of each code
 
 
-def tokens(texts: pa.Array, model: Model) -> Tokens:
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row offsets, codes that ascend with the hash, and hashes by code; the end token is not among the codes."""
     offsets, codes, distinct = words(texts, lower=True)
-    h = np.append(hashes(distinct), np.uint64(xxhash.xxh64_intdigest(END))).view(np.int64)
+    h = np.append(hashes(distinct), np.uint64(xxhash.xxh64_intdigest(END)))
+    order = np.argsort(h)
+    place = np.empty(len(h), np.int64)
+    place[order] = np.arange(len(h))
+    return offsets, np.append(place[codes], place[-1]), h[order]
+
+
+def tokens(texts: pa.Array, model: Model) -> Tokens:
+    offsets, codes, h = _coded(texts)
     ids, counts = model.look_up(h)
-    codes = np.insert(codes, offsets[1:], len(h) - 1)
+    codes = np.insert(codes[:-1], offsets[1:], codes[-1])
     offsets = offsets + np.arange(len(offsets))
     first = np.zeros(len(codes), bool)
     first[offsets[:-1]] = True
     return Tokens(offsets, ids[codes], counts[codes], first, codes, ids, np.log10(model.p1(counts)))
 
 
+def distinct(context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order by context and place, and where in it each distinct pair begins."""
+    width = int(place.max(initial=0)) + 1
+    if (int(context.max(initial=0)) + 1) * width < 1 << 63:
+        key = context * width + place
+        order = np.argsort(key)
+        return order, starts_of(key[order])
+    order = np.lexsort((place, context))
+    new = (np.diff(context[order]) != 0) | (np.diff(place[order]) != 0)
+    return order, np.flatnonzero(np.concatenate([[True], new]))
+
+
 def climb(model: Model, t: Tokens, visit=None) -> list[np.ndarray]:
-    """For k = 1, 2, ..., the node of level k that ends at each token, or -1. ``visit(k, context, place, lower)`` gets what
-    level k's look-ups ask for: the context, the place among its children and the shorter n-gram's node, for the tokens
-    that have the last two."""
+    """For k = 1, 2, ..., the node of level k that ends at each token, or -1. ``visit(k, context, place, word, lower, order,
+    starts)`` gets what level k's look-ups ask for: of the tokens that have them, the context, the place among its children,
+    the word and the shorter n-gram's node, and how to put these in order."""
     nodes = [t.ids]
     # how many tokens of its row stand before each
     depth = np.arange(len(t.ids)) - np.repeat(t.offsets[:-1], np.diff(t.offsets))
-    for k in range(2, len(model.levels) + 2):
+    for k in range(2, len(model.levels) + 3):
+        if k > len(model.levels) + 1 and not visit:
+            break
         context = np.full(len(t.ids), -1, np.int64)
         context[1:] = nodes[-1][:-1]
         at = np.flatnonzero((context >= 0) & (nodes[-1] >= 0) & (depth >= k - 1))
-        context, place = context[at], nodes[-1][at]
+        context, lower = context[at], nodes[-1][at]
+        place = lower
         if k > 2 and len(at):
             # the shorter n-gram's place among the children of its own context, which ends one token earlier
             if k == 3:
-                one = np.argsort(t.known)
+                some = np.flatnonzero(t.known >= 0)  # ids ascend with the codes
                 first = np.zeros(len(t.known), np.int64)
-                some = one[t.known[one] >= 0]
                 first[some] = model.firsts(2, t.known[some])
                 place = place - first[t.codes[at - 1]]
             else:
                 one, inverse = np.unique(nodes[-2][at - 1], return_inverse=True)
                 place = place - model.firsts(k - 1, one)[inverse]
-        if visit:
-            visit(k, context, place, nodes[-1][at])
-        if k > len(model.levels):
+        order, starts = distinct(context, place)
+        if k > len(model.levels) + 1:
+            visit(context, place, t.ids[at], lower, order, starts)
             break
-        base = model.levels[k - 2].widest
-        if model.levels[k - 2].size * base >= 1 << 62:
-            raise ValueError(f"level {k} needs wider keys than 64 bits")
-        key = context * base + place
-        order = np.argsort(key)
-        found, key = np.full(len(t.ids), -1, np.int64), key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        found[at[order]] = model.children(k, key[new], base)[np.cumsum(new) - 1]
-        nodes.append(found)
+        one = order[starts]
+        found = model.children(k, context[one], place[one], t.ids[at[one]])
+        node = np.full(len(t.ids), -1, np.int64)
+        node[at[order]] = np.repeat(found, np.diff(np.append(starts, len(order))))
+        nodes.append(node)
     return nodes
 
 
-def _listed(lines: DataFrame, widest: int | None = None) -> Level:
-    rows = sorted(lines.collect(), key=lambda r: r["file"])  # one a shard
-    sizes = np.array([r["n"] for r in rows], np.int64)
-    first, word, last = (np.array([r[c] for r in rows], np.int64) for c in ("context", "word", "last"))
-    return Level([r["file"] for r in rows], np.cumsum(sizes) - sizes, first, word, last, int(sizes.sum()), widest or int(sizes.sum()))
+def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct (context, place) of parts (context, place, n, ...) in order, with the sums of n."""
+    if len(parts) == 1:
+        return parts[0]
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+    order, starts = distinct(columns[0], columns[1])
+    n = np.add.reduceat(columns[2][order], starts) if len(starts) else columns[2]
+    one = order[starts]
+    return columns[0][one], columns[1][one], n, *(c[one] for c in columns[3:])
 
 
-LINE = "file string, n long, context long, word long, last long"
+BLOBS = "bucket int, rows int, data binary"
 
 
-def _line(*values) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x]) for x in values], names=["file", "n", "context", "word", "last"])
+def _blobs(parts: tuple[np.ndarray, ...], bucket: np.ndarray) -> pa.RecordBatch:
+    """Counts (context, place, n, ...) in order, and the ascending shard of each, as one row a shard, contexts as differences."""
+    cut = starts_of(bucket)
+    ends = [*cut[1:].tolist(), len(bucket)]
+    gap = np.concatenate([parts[0][:1], np.diff(parts[0])])
+    gap[cut] = parts[0][cut]
+    data = [pack(gap[a:b], *(p[a:b] for p in parts[1:])) for a, b in zip(cut.tolist(), ends)]
+    return pa.record_batch([pa.array(bucket[cut].astype(np.int32)), pa.array(np.diff(np.append(cut, len(bucket))).astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "rows", "data"])
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    batches = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(batches) if batches else None
+def _gathered(batches: Iterator[pa.RecordBatch], count, deal) -> Iterator[pa.RecordBatch]:
+    """``count`` of each slice, summed over a task as far as GATHER rows go, and dealt by ``deal`` of the columns."""
 
+    def passed_on(held):
+        got = _merge(held)
+        bucket = deal(got)
+        if not (bucket[1:] >= bucket[:-1]).all():  # parts of a split context, from level 3 on
+            order = np.argsort(bucket, kind="stable")
+            got, bucket = tuple(x[order] for x in got), bucket[order]
+        return _blobs((*got[:3], *got[4:]), bucket)  # without the word
 
-def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct keys of (key, n[, lower]) parts, with the sums of n."""
-    key = np.concatenate([p[0] for p in parts])
-    order = np.argsort(key)
-    key = key[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    n = np.add.reduceat(np.concatenate([p[1] for p in parts])[order], start) if len(key) else key
-    return key[start], n, *(np.concatenate([p[i] for p in parts])[order[start]] for i in range(2, len(parts[0])))
-
-
-BLOBS = "bucket int, key binary, n binary, lower binary"
-
-
-def _blobs(parts: tuple[np.ndarray, ...], buckets: int) -> pa.RecordBatch:
-    """Counts (key, n[, lower]) in ascending order of keys as one row a bucket: arrays go through the shuffle as they are,
-    keys as differences."""
-    bucket = (mix(parts[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    some, start = np.unique(bucket[order], return_index=True)
-    key, *rest = (p[order] for p in parts)
-    cut = list(zip(start.tolist(), [*start[1:].tolist(), len(key)]))
-    difference = np.concatenate([key[:1], np.diff(key)])
-    difference[start] = key[start]
-    columns = [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (difference, rest[0].astype(np.uint32) if rest[0].max(initial=0) < 1 << 32 else rest[0])]
-    lower = pa.array([rest[1][a:b].tobytes() for a, b in cut] if len(rest) > 1 else [None] * len(cut), pa.binary())
-    return pa.record_batch([pa.array(some.astype(np.int32)), *columns, lower], names=["bucket", "key", "n", "lower"])
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], count, buckets: int) -> Iterator[pa.RecordBatch]:
-    """``count`` of each slice, summed over a task as far as GATHER rows go."""
     held, rows = [], 0
     for batch in batches:
         for part in slices(batch, most=SLICE):
             held.append(count(part.column("text")))
             rows += len(held[-1][0])
             if rows >= GATHER:
-                yield _blobs(_merge(held) if len(held) > 1 else held[0], buckets)
+                yield passed_on(held)
                 held, rows = [], 0
-    if held:
-        yield _blobs(_merge(held), buckets)
+    if rows:
+        yield passed_on(held)
     held = None
     give_back()
 
 
-def _summed(training: DataFrame, count, names: list[str], least: int) -> DataFrame:
-    """Counts by key over all texts, of ``least`` or more: each task's own sums, dealt by bucket of the key. There are two
-    buckets for each task that reads, so a bucket holds about half of what one task has counted, at any size."""
-    buckets = max(64, 2 * training.rdd.getNumPartitions())
-    parts = training.select("text").mapInArrow(lambda it: _gathered(it, count, buckets), BLOBS)
+def _shards(training: DataFrame, count, deal, shards: int, columns: int, write, schema: str) -> list:
+    """Count, shuffle once, and ``write(shard, merged columns)`` each shard; the lines that it returns."""
+    parts = training.select("text").mapInArrow(lambda it: _gathered(it, count, deal), BLOBS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        at, held = -1, []
         for batch in batches:
-            for bucket, key, n, lower in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "n", "lower"))):
-                key = np.cumsum(np.frombuffer(key, np.int64))
-                part = (key, np.frombuffer(n, np.uint32 if len(n) == 4 * len(key) else np.int64).astype(np.int64))
-                held.setdefault(bucket, []).append(part + ((np.frombuffer(lower, np.int64),) if lower is not None else ()))
-        for bucket in sorted(held):
-            got = _merge(held.pop(bucket))
-            keep = got[1] >= least
-            yield pa.record_batch([pa.array(x[keep]) for x in got], names=names)
+            for bucket, rows, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rows", "data"))):
+                if bucket != at and held:
+                    yield from write(at, _merge(held))
+                    held = []
+                at = bucket
+                gap, *rest = unpack(data, rows, columns)
+                held.append((np.cumsum(gap), *rest))
+        if held:
+            yield from write(at, _merge(held))
+        held = None
         give_back()
 
-    return parts.repartition("bucket").mapInArrow(work, ", ".join(f"{c} long" for c in names))
+    # a task has one shard at a time in memory, so that it does not matter how many it gets
+    return parts.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(work, schema).collect()  # one row a shard
 
 
-def _count_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets, codes, distinct = words(texts, lower=True)
-    h = np.append(hashes(distinct), np.uint64(xxhash.xxh64_intdigest(END))).view(np.int64)
-    n, order = np.append(np.bincount(codes, minlength=len(h) - 1), len(offsets) - 1), np.argsort(h)
-    return h[order], n[order]
+def _count_words(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    offsets, codes, h = _coded(texts)
+    n = np.bincount(codes[:-1], minlength=len(h))
+    n[codes[-1]] += len(offsets) - 1
+    some = np.flatnonzero(n)
+    # the hash in two halves, as the numbers of a context and a place are signed
+    return (h[some] >> np.uint64(32)).astype(np.int64), (h[some] & np.uint64(0xFFFFFFFF)).astype(np.int64), n[some], some
 
 
-def _first_level(training: DataFrame, folder: str) -> tuple[Level, int]:
+def _first_level(training: DataFrame, folder: str) -> tuple[Words, int]:
     """Level 1, and the number of training tokens."""
-    counts = stage(_summed(training, _count_words, ["h", "n"], 1), "words")
-    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    run = uuid.uuid4().hex[:8]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (got := _whole(batches)) is not None:
-            name, h = f"{run}-1-{TaskContext.get().partitionId():06d}", got["h"].to_numpy()
-            save_arrays(folder, name, {"hash": h, "count": got["n"].to_numpy()})
-            yield _line(name, len(h), 0, int(h[0]), 0)
+    run, shards = uuid.uuid4().hex[:8], max(1, min(WORD_SHARDS, training.rdd.getNumPartitions()))
 
-    dealt = counts.repartitionByRange(max(1, -(-distinct // SHARD)), "h").sortWithinPartitions("h")
-    return _listed(dealt.mapInArrow(work, LINE)), total
+    def write(shard: int, got: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        name, h = f"{run}-1-{shard:06d}", (got[0].astype(np.uint64) << np.uint64(32)) | got[1].astype(np.uint64)
+        save_arrays(folder, name, {"hash": h, "count": got[2].astype(np.uint32 if got[2].max() < 1 << 32 else np.int64)})
+        yield pa.record_batch([pa.array([x]) for x in (name, len(h), int(got[2].sum()))], names=["file", "n", "total"])
 
+    rows = _shards(training, _count_words, lambda got: got[0] * shards >> 32, shards, 3, write, "file string, n long, total long")
+    rows = sorted(rows, key=lambda r: r["file"])
+    sizes = np.array([r["n"] for r in rows], np.int64)
+    # shard i has the hashes from i / shards of their range on
+    first = np.array([-(-(int(r["file"][-6:]) << 32) // shards) << 32 for r in rows], np.uint64)
+    return Words([r["file"] for r in rows], np.cumsum(sizes) - sizes, first, int(sizes.sum())), sum(r["total"] for r in rows)
 
-def _next_level(training: DataFrame, spec: tuple, discount: float, least: int) -> Level:
-    k, folder, run = len(spec[1]) + 1, spec[0], uuid.uuid4().hex[:8]
-    base = spec[1][-1].widest if spec[1] else 1
-
-    def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        model, found = _model(spec), []
 
-        def visit(at_level, context, place, lower):
-            if at_level == k:
-                key, at, n = np.unique(context * base + place, return_index=True, return_counts=True)
-                found.append((key, n, lower[at]) if k > 2 else (key, n))
+def ranges(uses: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, parts) of ranges of contexts that occur ``uses`` times, of about ``most`` occurrences each; a context that
+    alone occurs more often is a range by itself, of several parts."""
+    large = uses > most
+    total = np.cumsum(np.where(large, 0, uses)) // most
+    new = np.concatenate([[True], (np.diff(total) != 0) | large[1:] | large[:-1]])
+    first = np.flatnonzero(new)
+    return first, np.where(large[first], -(-uses[first] // most), 1)
 
-        climb(model, tokens(texts, model), visit)
-        return found[0]
 
-    names = ["key", "n", "lower"] if k > 2 else ["key", "n"]
-    summed = _summed(training, count, names, least)
-    place = F.col("key") % base
-    counts = stage(summed.select(F.expr(f"key div {base}").alias("context"), place.alias("place"), "n", (F.col("lower") if k > 2 else place).alias("lower")), "counts")
-    by_context = counts.groupBy("context").agg(F.count("*").alias("children"), F.sum(F.col("n") - F.lit(float(discount))).alias("mass"))
-    # contexts of so many children are few: ten a shard at most
-    large = F.when(F.col("children") > SHARD // 10, F.struct("context", "mass"))
-    total, widest, hot = by_context.agg(F.coalesce(F.sum("children"), F.lit(0)), F.max("children"), F.collect_list(large)).first()
-    if not total:
-        return Level([], *(np.zeros(0, np.int64) for _ in range(4)), 0, 1)
-    hot = dict(hot)
+def _dealt(training: DataFrame, spec: tuple) -> Level:
+    """The shards of the next level, empty yet: ranges of contexts, none of which goes beyond a shard of the last level."""
+    folder, words_, levels = spec[:3]
+    files, base = (words_.files, words_.base) if not levels else (levels[-1].files, levels[-1].base)
+    most = SHARD
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (got := _whole(batches)) is None:
-            return
-        model, name = _model(spec), f"{run}-{k}-{TaskContext.get().partitionId():06d}"
-        context, place, n, lower = (got[c].to_numpy() for c in ("context", "place", "n", "lower"))
-        start = np.flatnonzero(np.concatenate([[True], np.diff(context) != 0]))
-        own, size = context[start], np.diff(np.append(start, len(context)))
-        uses = model.counts(k - 1, own)
-        mass = np.add.reduceat(n - discount, start)
-        for i in np.flatnonzero(np.isin(own, list(hot))).tolist():
-            mass[i] = hot[int(own[i])]
-        backoff = np.maximum(1 - mass / uses, 1e-9)
-        prob = np.maximum(n - discount, 0) / np.repeat(uses, size) + np.repeat(backoff, size) * 10 ** model.probs(k - 1, lower)
-        first, last = int(own[0]), int(own[-1])
-        pointers, weights = np.zeros(last - first + 2, np.int64), np.zeros(last - first + 1, np.uint16)
-        pointers[own - first + 1] = size
-        weights[own - first] = quantise(backoff)
-        top = place[start + size - 1] + 1
-        values = place + np.repeat(np.cumsum(top) - top, size)
-        arrays = {"head": np.array([first, last - first + 1, len(n)]), "prob": quantise(prob), "backoff": weights, "count": n.astype(np.uint32 if n.max() < 1 << 32 else np.int64)}
-        arrays |= {f"p_{c}": x for c, x in elias_fano.encode(np.cumsum(pointers), len(n) + 1).items()}
-        arrays |= {f"v_{c}": x for c, x in elias_fano.encode(values, int(top.sum())).items()}
-        save_arrays(folder, name, arrays)
-        yield _line(name, len(n), first, int(place[0]), last)
-        del got, context, place, n, lower, prob, values, pointers, arrays
-        give_back()
+        for batch in batches:
+            for name, before in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+                first, parts = ranges(load_arrays(folder, name)["count"].astype(np.int64) if not levels else Shard(folder, name).counts(), most)
+                yield pa.record_batch([pa.array(first + before), pa.array(parts)], names=["context", "parts"])
+
+    lines = [(f, int(b)) for f, b in zip(files, base) if f]
+    spark = training.sparkSession
+    rows = spark.createDataFrame(lines, "file string, base long").repartition(max(1, min(len(lines), 1000)), "file").mapInArrow(work, "context long, parts long").toArrow() if lines else None
+    context, parts = (rows[c].to_numpy() for c in ("context", "parts")) if lines else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(context)
+    return Level(np.repeat(context[order], parts[order]), words_.size)
+
+
+def _save(folder: str, name: str, model: Model, k: int, got: tuple[np.ndarray, ...], discount: float, mass: float | None, last: bool) -> None:
+    """A shard's file, from its (context, place, n, steps of the shorter n-gram's probability)."""
+    context, place, n = got[:3]
+    start = starts_of(context)
+    own, size = context[start], np.diff(np.append(start, len(context)))
+    uses = model.uses(k - 1, own)
+    total = np.add.reduceat(n - discount, start) if mass is None else np.array([mass])
+    backoff = np.maximum(1 - total / uses, 1e-9)
+    shorter = model.p1(model.uses(1, place)) if k == 2 else 10 ** (-STEP * got[3])
+    prob = np.maximum(n - discount, 0) / np.repeat(uses, size) + np.repeat(backoff, size) * shorter
+    first, contexts = int(own[0]), int(own[-1] - own[0]) + 1
+    pointers, weights = np.zeros(contexts + 1, np.int64), np.zeros(contexts, np.uint16)
+    pointers[own - first + 1] = size
+    weights[own - first] = quantise(backoff)
+    top = place[start + size - 1] + 1
+    values = place + np.repeat(np.cumsum(top) - top, size)
+    arrays = {"head": np.array([first, contexts, len(n)]), "prob": quantise(prob), "backoff": weights}
+    if not last:
+        at = np.flatnonzero(n > 255)
+        arrays |= {"count": np.minimum(n, 255).astype(np.uint8), "at": at, "large": n[at]}
+    arrays |= {f"p_{c}": x for c, x in elias_fano.encode(np.cumsum(pointers), len(n) + 1).items()}
+    arrays |= {f"v_{c}": x for c, x in elias_fano.encode(values, int(top.sum())).items()}
+    save_arrays(folder, name, arrays)
+
+
+def _next_level(training: DataFrame, spec: tuple, discount: float, least: int, last: bool) -> Level:
+    k, folder, run = len(spec[2]) + 2, spec[0], uuid.uuid4().hex[:8]
+    level = _dealt(training, spec)
+    if not len(level.context):
+        return level
+
+    def count(texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """context, place, n, word and, from level 3 on, the steps of the shorter n-gram's probability."""
+        model, found = _model(spec), []
 
-    # a context's children go to one shard, but for those of many children, which are dealt by place
-    spread = F.when(F.col("context").isin(*hot), F.col("place")).otherwise(0) if hot else F.lit(0)
-    dealt = counts.withColumn("spread", spread).repartitionByRange(max(1, -(-total // SHARD)), "context", "spread")
-    return _listed(dealt.sortWithinPartitions("context", "place").mapInArrow(work, LINE), widest)
+        def visit(context, place, word, lower, order, starts):
+            one = order[starts]
+            found.append((context[one], place[one], np.diff(np.append(starts, len(order))), word[one]))
+            if k > 2:
+                found[0] += (model.steps(k - 1, lower[one]).astype(np.int64),)
 
+        climb(model, tokens(texts, model), visit)
+        return found[0]
 
-def train(training: DataFrame, order: int = 3, least: int = 2, discount: float = DISCOUNT, add: float = ADD, folder: str | None = None) -> tuple:
-    """The model of all rows of ``training`` (text): (folder, levels, tokens, add), which ``Model`` opens."""
+    def write(shard: int, got: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        keep = got[2] >= least
+        got = got if keep.all() else tuple(x[keep] for x in got)
+        if len(got[0]):
+            name = f"{run}-{k}-{shard:09d}"
+            split = bool(level.parts[shard] > 1)
+            if split:
+                save_arrays(folder, f"{name}-raw", {str(i): x for i, x in enumerate(got)})
+            else:
+                _save(folder, name, _model(spec), k, got, discount, None, last)
+            columns = (shard, name, len(got[0]), float((got[2] - discount).sum()))
+            yield pa.record_batch([pa.array([x]) for x in columns], names=["shard", "file", "n", "mass"])
+
+    rows = _shards(training, count, lambda got: level.shard(got[0], got[3]), len(level.context), 3 + (k > 2), write, "shard long, file string, n long, mass double")
+    level.fill({r["shard"]: (r["file"], r["n"]) for r in rows})
+    split = [(r["file"], r["shard"], r["mass"]) for r in rows if level.parts[r["shard"]] > 1]
+    if split:
+        whole: dict[int, float] = {}
+        for _, shard, mass in split:
+            whole[int(level.leader[shard])] = whole.get(int(level.leader[shard]), 0.0) + mass
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, mass in zip(batch.column("file").to_pylist(), batch.column("mass").to_pylist()):
+                    raw = load_arrays(folder, f"{name}-raw")
+                    _save(folder, name, _model(spec), k, tuple(raw[str(i)] for i in range(len(raw))), discount, mass, last)
+                    yield pa.record_batch([pa.array([name])], names=["file"])
+            give_back()
+
+        parts = training.sparkSession.createDataFrame([(f, whole[int(level.leader[i])]) for f, i, _ in split], "file string, mass double")
+        parts.repartition(min(len(split), 1000), "file").mapInArrow(finish, "file string").count()
+        store, base = filesystem(folder)
+        for f, _, _ in split:
+            store.delete_file(f"{base}/{f}-raw")
+    return level
+
+
+def train(training: DataFrame, order: int = 3, least: int = 1, discount: float = DISCOUNT, add: float = ADD, folder: str | None = None) -> tuple:
+    """The model of all rows of ``training`` (text): (folder, words, levels, tokens, add), which ``Model`` opens."""
     folder = folder or scratch_path(training.sparkSession, "ngrams")
-    level, total = _first_level(training, folder)
-    levels = [level]
-    while len(levels) < order and levels[-1].size:
-        levels.append(_next_level(training, (folder, list(levels), total, add), discount, least))
-    return folder, [v for i, v in enumerate(levels) if v.size or not i], total, add
+    first, total = _first_level(training, folder)
+    levels: list[Level] = []
+    while len(levels) < order - 1 and (levels[-1] if levels else first).size:
+        levels.append(_next_level(training, (folder, first, list(levels), total, add), discount, least, len(levels) == order - 2))
+    return folder, first, [v for v in levels if v.size], total, add
 
 
 def log_probs(model: Model, t: Tokens) -> np.ndarray:
@@ -456,10 +575,10 @@ def log_probs(model: Model, t: Tokens) -> np.ndarray:
         context[t.first] = -1
         back = np.flatnonzero((context >= 0) & (nodes[k - 1] < 0))
         if len(back):
-            out[back] += model.weights(k, context[back])
+            out[back] += model.weights(k, context[back], t.ids[back])
         has = np.flatnonzero(nodes[k - 1] >= 0)
         if len(has):
-            out[has] = model.probs(k, nodes[k - 1][has])
+            out[has] = -STEP * model.steps(k, nodes[k - 1][has])
     return out
 
 
@@ -486,6 +605,6 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"))
 
 
-def learn_and_score(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame:
+def learn_and_score(docs: DataFrame, order: int = 3, least: int = 1) -> DataFrame:
     parts = split(docs)
     return score(parts, train(parts.where("not held_out"), order, least))
