@@ -53,13 +53,13 @@ STEP = 1 / 4096
 #: The end token's string; no word can be equal to it.
 END = "\n"
 #: Occurrences that a shard stands for, about, and so the most nodes it can have.
-SHARD = 1_500_000
+SHARD = 1_000_000
 #: Shards of level 1 at most, and for each task that reads.
 WORD_SHARDS = 4096
 #: Rows of counts a task gathers before it passes them on.
-GATHER = 2_000_000
+GATHER = 1_500_000
 #: Bytes of text that are worked on together.
-SLICE = 8 << 20
+SLICE = 6 << 20
 #: Shards a worker keeps open: mapped ones, and ones it had to read.
 OPEN, READ = 4096, 32
 
