@@ -53,13 +53,13 @@ STEP = 1 / 4096
 #: The end token's string; no word can be equal to it.
 END = "\n"
 #: Occurrences that a shard stands for, about, and so the most nodes it can have.
-SHARD = 1_000_000
+SHARD = 1_500_000
 #: Shards of level 1 at most, and for each task that reads.
 WORD_SHARDS = 4096
 #: Rows of counts a task gathers before it passes them on.
 GATHER = 1_500_000
 #: Bytes of text that are worked on together.
-SLICE = 6 << 20
+SLICE = 8 << 20
 #: Shards a worker keeps open: mapped ones, and ones it had to read.
 OPEN, READ = 4096, 32
 
@@ -128,9 +128,6 @@ class Level:
         at[split] = self.leader[at[split]] + word[split] * self.parts[at[split]] // self.words
         return at
 
-    def of(self, node: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.base, node, "right") - 1
-
 
 class Shard:
     def __init__(self, folder: str, name: str):
@@ -206,32 +203,32 @@ class Model:
                 out[m] = self._file(self.levels[k - 2].files[s]).counts()[node[m] - base[s]]
         return out
 
-    def steps(self, k: int, node: np.ndarray) -> np.ndarray:
-        """The smoothed probabilities of nodes of level k >= 2, in steps."""
-        level, out = self.levels[k - 2], np.zeros(len(node), np.uint16)
-        for s, m in by_shard(level.of(node)):
-            out[m] = self._file(level.files[s]).prob[node[m] - level.base[s]]
-        return out
-
-    def children(self, k: int, context: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Nodes of level k, or -1, of (context, place) in ascending order: successor search among the context's children."""
-        level, out = self.levels[k - 2], np.full(len(context), -1, np.int64)
+    def children(self, k: int, context: np.ndarray, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of (context, place) in ascending order, the nodes of level k, or -1, by successor search among the context's
+        children; and the nodes' probabilities, or else the contexts' back-off weights, in steps."""
+        level, out, steps = self.levels[k - 2], np.full(len(context), -1, np.int64), np.zeros(len(context), np.uint16)
         for s, m in by_shard(level.shard(context, word)):
+            own = context[m]
             if not level.files[s]:
+                if level.parts[s] > 1:
+                    steps[m] = self.weights(k, own)
                 continue
-            part, own = self._file(level.files[s]), context[m]
-            new = starts_of(own)
+            part, new = self._file(level.files[s]), starts_of(own)
             c = own[new]
             there = (c >= part.first) & (c < part.first + part.contexts)
-            lo, hi, offset = part.bounds(np.where(there, c, part.first))
-            each = np.repeat(np.arange(len(c)), np.diff(np.append(new, len(own))))
-            at, equal = part.values.find(offset[each] + place[m])
-            out[m] = np.where(equal & there[each] & (at < hi[each]) & (at >= lo[each]), level.base[s] + at, -1)
-        return out
-
-    def weights(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 back-off weights of contexts (nodes of level k - 1), zero for those without stored children."""
-        level, out = self.levels[k - 2], np.zeros(len(context))
+            c = np.where(there, c, part.first)
+            lo, hi, offset = part.bounds(c)
+            hi = np.where(there, hi, -1)
+            size = np.diff(np.append(new, len(own)))
+            at, equal = part.values.find(np.repeat(offset, size) + place[m])
+            hit = equal & (at < np.repeat(hi, size)) & (at >= np.repeat(lo, size))
+            out[m] = np.where(hit, level.base[s] + at, -1)
+            steps[m] = np.where(hit, part.prob[np.where(hit, at, 0)], np.repeat(np.where(there, part.backoff[c - part.first], 0), size))
+        return out, steps
+
+    def weights(self, k: int, context: np.ndarray) -> np.ndarray:
+        """Back-off weights of contexts (nodes of level k - 1) in steps, zero for those without stored children."""
+        level, out = self.levels[k - 2], np.zeros(len(context), np.uint16)
         shard = np.searchsorted(level.context, context, "right") - 1
         for s, m in by_shard(shard):
             s = level.leader[s] + next((i for i in range(level.parts[s]) if level.files[level.leader[s] + i]), 0)
@@ -239,7 +236,7 @@ class Model:
                 part = self._file(level.files[s])
                 own = context[m] - part.first
                 there = (own >= 0) & (own < part.contexts)
-                out[m] = np.where(there, -STEP * part.backoff[np.where(there, own, 0)], 0.0)
+                out[m] = np.where(there, part.backoff[np.where(there, own, 0)], 0)
         return out
 
     def firsts(self, k: int, context: np.ndarray) -> np.ndarray:
@@ -310,11 +307,12 @@ def distinct(context: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, np.flatnonzero(np.concatenate([[True], new]))
 
 
-def climb(model: Model, t: Tokens, visit=None) -> list[np.ndarray]:
-    """For k = 1, 2, ..., the node of level k that ends at each token, or -1. ``visit(k, context, place, word, lower, order,
-    starts)`` gets what level k's look-ups ask for: of the tokens that have them, the context, the place among its children,
-    the word and the shorter n-gram's node, and how to put these in order."""
-    nodes = [t.ids]
+def climb(model: Model, t: Tokens, visit=None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For k = 1, 2, ..., the node of level k that ends at each token, or -1; from k = 2 on, what ``children`` says of it in
+    steps, and whether it was asked. ``visit(context, place, word, steps, order, starts)`` gets what the next level's look-ups
+    would ask for: of the tokens that have them, the context, the place among its children, the word and the shorter n-gram's
+    probability in steps (level 3 on), and how to put these in order."""
+    nodes, values, asked = [t.ids], [np.zeros(0, np.uint16)], [np.zeros(0, bool)]
     # how many tokens of its row stand before each
     depth = np.arange(len(t.ids)) - np.repeat(t.offsets[:-1], np.diff(t.offsets))
     for k in range(2, len(model.levels) + 3):
@@ -322,9 +320,9 @@ def climb(model: Model, t: Tokens, visit=None) -> list[np.ndarray]:
             break
         context = np.full(len(t.ids), -1, np.int64)
         context[1:] = nodes[-1][:-1]
-        at = np.flatnonzero((context >= 0) & (nodes[-1] >= 0) & (depth >= k - 1))
-        context, lower = context[at], nodes[-1][at]
-        place = lower
+        has = (context >= 0) & (nodes[-1] >= 0) & (depth >= k - 1)
+        at = np.flatnonzero(has)
+        context, place = context[at], nodes[-1][at]
         if k > 2 and len(at):
             # the shorter n-gram's place among the children of its own context, which ends one token earlier
             if k == 3:
@@ -337,14 +335,16 @@ def climb(model: Model, t: Tokens, visit=None) -> list[np.ndarray]:
                 place = place - model.firsts(k - 1, one)[inverse]
         order, starts = distinct(context, place)
         if k > len(model.levels) + 1:
-            visit(context, place, t.ids[at], lower, order, starts)
+            visit(context, place, t.ids[at], values[-1][at] if k > 2 else None, order, starts)
             break
         one = order[starts]
-        found = model.children(k, context[one], place[one], t.ids[at[one]])
-        node = np.full(len(t.ids), -1, np.int64)
-        node[at[order]] = np.repeat(found, np.diff(np.append(starts, len(order))))
-        nodes.append(node)
-    return nodes
+        found, steps = model.children(k, context[one], place[one], t.ids[at[one]])
+        size, to = np.diff(np.append(starts, len(order))), at[order]
+        nodes.append(np.full(len(t.ids), -1, np.int64))
+        values.append(np.zeros(len(t.ids), np.uint16))
+        nodes[-1][to], values[-1][to] = np.repeat(found, size), np.repeat(steps, size)
+        asked.append(has)
+    return nodes, values, asked
 
 
 def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -510,11 +510,11 @@ def _next_level(training: DataFrame, spec: tuple, discount: float, least: int, l
         """context, place, n, word and, from level 3 on, the steps of the shorter n-gram's probability."""
         model, found = _model(spec), []
 
-        def visit(context, place, word, lower, order, starts):
+        def visit(context, place, word, steps, order, starts):
             one = order[starts]
             found.append((context[one], place[one], np.diff(np.append(starts, len(order))), word[one]))
             if k > 2:
-                found[0] += (model.steps(k - 1, lower[one]).astype(np.int64),)
+                found[0] += (steps[one].astype(np.int64),)
 
         climb(model, tokens(texts, model), visit)
         return found[0]
@@ -568,17 +568,16 @@ def train(training: DataFrame, order: int = 3, least: int = 1, discount: float =
 
 def log_probs(model: Model, t: Tokens) -> np.ndarray:
     """log10 probability of each token given those before it in its row."""
-    out, nodes = t.logs[t.codes], climb(model, t)
+    out, (nodes, values, asked) = t.logs[t.codes], climb(model, t)
     for k in range(2, len(nodes) + 1):
+        node, step = nodes[k - 1], -STEP * values[k - 1]
+        out = np.where(node >= 0, step, out + step)
+        # the weight of a context whose look-up could not be asked, as the shorter n-gram is not stored
         context = np.full(len(out), -1, np.int64)
         context[1:] = nodes[k - 2][:-1]
-        context[t.first] = -1
-        back = np.flatnonzero((context >= 0) & (nodes[k - 1] < 0))
+        back = np.flatnonzero((context >= 0) & ~asked[k - 1] & ~t.first)
         if len(back):
-            out[back] += model.weights(k, context[back], t.ids[back])
-        has = np.flatnonzero(nodes[k - 1] >= 0)
-        if len(has):
-            out[has] = -STEP * model.steps(k, nodes[k - 1][has])
+            out[back] -= STEP * model.weights(k, context[back])
     return out
 
 
