@@ -233,6 +233,91 @@ def test_sample_is_top_k_of_its_keys(docs, labels, empty):
     assert resample.sample(empty, labels).count() == 0
 
 
+def plain_scores(rows, labels, held):
+    """Score, threshold and verdict on toxic words of each (doc_id, text), from ``held``: the ids kept out of counts."""
+    whole, mask = hashed.WORDS, (1 << 64) - 1
+
+    def spread(x):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * times) & mask
+        return x ^ (x >> 31)
+
+    def buckets(text):
+        h = [int(common.hashes(pa.array([w]))[0]) for w in split(text.lower() if text and text.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
+        return [x & (whole - 1) for x in h], [whole + (spread((a * 0x9E3779B97F4A7C15 + b) & mask) & (hashed.PAIRS - 1)) for a, b in zip(h, h[1:])]
+
+    marks = {}
+    for i, quality, toxic in labels:
+        marks.setdefault(i, []).append(quality == 1 and not toxic)
+    good = {i for i, m in marks.items() if i is not None and all(m)}
+    poison = {i for i, _, toxic in labels if i is not None and toxic == 1}
+    found = [buckets(t) for _, t in rows]
+    target, raw = ([Counter(), Counter()] for _ in range(2))
+    for (i, _), two in zip(rows, found):
+        for k in (0, 1):
+            raw[k].update(two[k])
+            if i in good - held:
+                target[k].update(two[k])
+    share = [sum(t.values()) / max(1, sum(r.values())) for t, r in zip(target, raw)]
+    ratio = lambda k, b: float(np.float32(np.log(target[k][b] + 1) - np.log(raw[k][b] * share[k] + 1))) if share[k] else 0.0
+    scores = [sum(ratio(k, b) for k in (0, 1) for b in two[k]) / (hashed.PRIOR + len(two[0]) + len(two[1])) for two in found]
+    clean, dirty = ([two[0] for (i, _), two in zip(rows, found) if i in ids - held] for ids in (good, poison))
+    a, b = (Counter(w for words in docs for w in set(words)) for docs in (clean, dirty))
+    weight = {w: np.log(n / (a[w] * len(dirty) / len(clean) + 0.2)) for w, n in b.items() if n >= hashed.LEAST_TOXIC and n >= hashed.MORE_TOXIC * a[w] * len(dirty) / len(clean)} if clean and dirty else {}
+    against = [sum(weight.get(w, 0.0) for w in set(two[0])) / np.sqrt(1 + len(two[0])) for two in found]
+    aside = [j for j, (i, _) in enumerate(rows) if i in good & held]
+    lost = int(0.005 * len(aside))
+    threshold = min(0.0, sorted(scores[j] for j in aside)[lost]) if aside else 0.0
+    most = sorted(against[j] for j in aside)[-1 - lost] if aside else np.inf
+    return [min(x, threshold) - hashed.REJECT if y > most + 1e-9 else x for x, y in zip(scores, against)], threshold
+
+
+def test_weights_and_verdicts_by_brute_force(spark, docs):
+    r = random.Random(4)
+    prose = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, prose("abcdefgh", 60) if i % 3 else prose("stuvwxyz", 60) + (" vile" if i % 2 else "")) for i in range(90)] + [(r_[0], r_[1]) for r_ in make_docs()[:45]] + [(None, None), (5, ""), (5, "")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(70)] + [(i, 1, 1) for i in range(70, 90)] + [(None, 1, 0), (2, None, None)]
+    held = {x[0] for x in spark.range(200).where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(5)) == 0).collect()}
+    wanted, threshold = plain_scores(rows, labels, held)
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    key = lambda x: (str(x[0]), x[1])
+    got = sorted(((x.doc_id, x.score, x.kept, x.base_failed) for x in rules.judge(made, marks).collect()), key=key)
+    for (i, s), (j, score, kept, failed) in zip(sorted(((i, s) for (i, _), s in zip(rows, wanted)), key=key), got, strict=True):
+        assert i == j and abs(s - score) < 1e-6 and (failed or abs(s - threshold) < 1e-6 or kept == (s >= threshold))
+    assert min(wanted) < -hashed.REJECT and threshold < 0
+    drawn = resample.sample(made, marks, k=1000).collect()
+    assert np.allclose(sorted(x.log_weight for x in drawn), sorted(resample.SCALE * w for w in wanted), atol=1e-4)
+
+
+def test_sample_follows_the_weights(spark):
+    """Of texts of two kinds, the chance that one of the first kind has the greatest key is its weight's share."""
+    texts = ["a a a b"] * 4 + ["b b b a"] * 4
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ratio = np.zeros(hashed.BUCKETS)
+    ratio[int(common.hashes(pa.array(["a"]))[0]) & (hashed.WORDS - 1)] = 0.3
+    fitted = hashed.Model(ratio, 0.0, np.zeros(hashed.BUCKETS), float("inf"))
+    many = spark.range(3000).withColumnRenamed("id", "seed").crossJoin(rows).select((F.col("seed") * 8 + F.col("doc_id")).alias("doc_id"), "text", "seed")
+    got = resample.keyed(many, fitted, 1.0, 1).collect()
+    first = {}
+    for x in got:
+        first[x.seed] = max(first.get(x.seed, (-np.inf, "")), (x.gumbel_key, x.text))
+    w = {x.text: np.exp(x.log_weight) for x in got}
+    wanted = w["a a a b"] / (w["a a a b"] + w["b b b a"])
+    assert 0.6 < wanted < 0.95 and abs(np.mean([t == "a a a b" for _, t in first.values()]) - wanted) < 0.03
+    assert all((a._key < b._key) == (a.gumbel_key < b.gumbel_key) for a, b in zip(got, got[1:]))
+
+
+def test_kth_key_of_any_sign_and_size(spark):
+    x = np.array([-np.inf, -1e300, -5.0, -1e-300, -0.0, 0.0, 2.0, 2.0, 7e18, 1e300, np.inf])
+    keys = resample.ordered(x).tolist()
+    assert keys == sorted(keys) and keys[4] == keys[5]
+    table = spark.createDataFrame([(k,) for k in keys], "k long")
+    for k in range(1, len(keys) + 1):
+        assert resample.kth_key(table, "k", k) == keys[-k]
+    assert resample.kth_key(table, "k", 12) is None
+
+
 def test_log_ratio_is_silent_without_evidence():
     target, raw = np.zeros(hashed.BUCKETS, np.int64), np.zeros(hashed.BUCKETS, np.int64)
     target[:2], raw[:3] = (500, 500), (1000, 1000, 800)

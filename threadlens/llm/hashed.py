@@ -1,8 +1,9 @@
 """Hashed word n-gram multinomials: the features and counts that the quality rules and the quality classifier share.
 
 A text's features are its lower-cased (A-Z) words, hashed into ``WORDS`` buckets, and the pairs of neighbouring words,
-hashed into ``PAIRS`` further ones. Words and pairs are two multinomials, each normalised by itself. Counts are summed per task before any shuffle, so what is moved
-is at most one number per bucket, task and model, and what the driver gets is one per bucket and model.
+hashed into ``PAIRS`` further ones. Words and pairs are two multinomials, each normalised by itself. Counts are summed per
+task before any shuffle, so what is moved is at most one number per bucket, task and model, and what the driver gets is one
+per bucket and model, however long the texts are and however many.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ BUCKETS = WORDS + PAIRS
 LEAST_TOXIC = 3
 MORE_TOXIC = 8
 #: How far below the threshold a toxic text's score is put; beyond what Gumbel noise makes up for.
-REJECT = 10.0
+REJECT = 1.0
+#: Features of ratio one that every text is given, so that short texts score near zero.
+PRIOR = 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +72,14 @@ def counts(docs: DataFrame, weights: list[str]) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0, least_z: float = 4.0) -> np.ndarray:
-    """log p_target - log p_raw of each bucket. Both multinomials are smoothed additively, the raw one by ``smooth``
-    times the ratio of the totals, so that a bucket with no evidence has the ratio one. A bucket whose target count is
-    within ``least_z`` standard deviations of what the raw model expects says nothing (zero): invented and rare words
-    are many, and their noise would outweigh the few words that tell."""
+def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """log p_target - log p_raw of each bucket. Both multinomials are smoothed additively, the raw one by ``smooth`` times
+    the ratio of the totals, so that a bucket with no evidence has the ratio one."""
     out = np.zeros(BUCKETS)
     for part in (slice(0, WORDS), slice(WORDS, BUCKETS)):
         t, r = target[part], raw[part]
-        if not t.sum() or not r.sum():
-            continue
-        share = t.sum() / r.sum()
-        expected = r * share
-        sure = np.abs(t - expected) >= least_z * np.sqrt(expected * max(0.0, 1 - share) + 0.25)
-        out[part] = np.where(sure, np.log(t + smooth) - np.log(expected + smooth), 0.0)
+        if t.sum() and r.sum():
+            out[part] = np.log(t + smooth) - np.log(r * (t.sum() / r.sum()) + smooth)
     return out
 
 
@@ -93,10 +90,10 @@ def sums(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def score(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """The log-likelihood ratio of each text, divided by the square root of its number of features: the noise of a sum
-    grows so, hence one threshold serves short and long texts alike. Zero for texts without words."""
+    """The log-likelihood ratio of each text, normalised for length: the mean over its features and ``PRIOR`` neutral ones.
+    Zero for texts without words."""
     offsets, found = features(texts)
-    return sums(offsets, ratio[found].astype(np.float64)) / np.sqrt(np.maximum(1, np.diff(offsets)))
+    return sums(offsets, ratio[found].astype(np.float64)) / (PRIOR + np.diff(offsets))
 
 
 def word_documents(docs: DataFrame, weights: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,25 +1,26 @@
 """Quality classifier by importance resampling: hashed n-gram generative models of target and raw text, Gumbel top-k.
 
 A document's log importance weight is the log ratio of its likelihood under the target and under the raw model
-(``hashed``), normalised for length. Each document gets weight / temperature plus Gumbel noise that a hash of its row
-decides, and the ``k`` documents with the greatest sum are the sample: drawn without replacement in proportion to the
-tempered weights, whatever the partitioning. By default k is the number of documents whose weight reaches the threshold
-that keeps all but ``clean_loss`` of held-out trusted documents, so the sample is as large as the share of target-like
-text in this corpus; the rest is rejected.
+(``hashed``), normalised for length: that of a text of ``SCALE`` features of the same make-up. Each document gets weight /
+temperature (1 by default) plus Gumbel noise that a hash of its row decides, and the ``k`` documents with the greatest sum
+are the sample: drawn without replacement in proportion to the tempered weights, whatever the partitioning. By default k
+is the number of documents whose weight reaches the threshold that keeps all but ``clean_loss`` of held-out trusted
+documents, so the sample is as large as the share of target-like text in this corpus; the rest is rejected.
 
 The k-th greatest sum is found by radix selection over its 64 bits in four rounds; each sends at most 65,536 counts to
 the driver, and no rows are sorted or gathered.
 
-Defined cases: null and word-less texts have weight zero; repeated rows have equal sums, and rows that tie with the k-th
-are all taken; null ids and unlabelled documents take part; k beyond the table takes all. Further columns pass through
-``sample`` unchanged (columns named like the added ones are replaced). An empty table gives no rows; without labels all
-weights and the threshold are zero and every document is taken.
+Defined cases: null and word-less texts have weight zero; texts of any length are weighed whole; repeated rows have equal
+sums, and rows that tie with the k-th are all taken; null ids and unlabelled documents take part; k beyond the table takes
+all. Further columns pass through ``sample`` unchanged (columns named like the added ones are replaced). An empty table
+gives no rows; without labels all weights and the threshold are zero and every document is taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,30 +28,42 @@ from pyspark.sql import functions as F
 from .common import slices, stage
 from .hashed import Model, model
 
-TEMPERATURE = 0.02
+TEMPERATURE = 1.0
+#: Features of the text whose weight a document gets; the unit of the temperature.
+SCALE = 64
+_ADDED = ("log_weight", "gumbel_key", "_key")
 
 
-def weights(docs: DataFrame, fitted: Model) -> DataFrame:
-    """``docs`` with log_weight."""
-    docs = docs.drop("log_weight")
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as longs in the same order."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def keyed(docs: DataFrame, fitted: Model, temperature: float, seed: int) -> DataFrame:
+    """``docs`` with log_weight, gumbel_key and _key, a long in its order."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     through = docs.columns
+    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=4 << 20):
-                yield pa.record_batch([*part.columns, pa.array(shared.value.score(part.column("text")))], names=[*through, "log_weight"])
+                weight = SCALE * shared.value.score(part.column("text"))
+                key = weight / temperature - np.log(-np.log(np.asarray(part.column("_key"))))
+                yield pa.record_batch([*part.columns[:-1], pa.array(weight), pa.array(key), pa.array(ordered(key))], names=[*through, *_ADDED])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{schema}, log_weight double")
+    return docs.withColumn("_key", uniform).mapInArrow(work, f"{schema}, log_weight double, gumbel_key double, _key long")
 
 
 def kth_key(keys: DataFrame, column: str, k: int) -> int | None:
-    """The k-th greatest of a column of non-negative longs, or None if there are fewer than k."""
+    """The k-th greatest of a column of longs, or None if there are fewer than k."""
+    keys = keys.select(F.col(column).bitwiseXOR(F.lit(-(1 << 63))).alias("_u"))  # the order of unsigned numbers
     prefix, left = None, k
     for shift in (48, 32, 16, 0):
-        part = keys if prefix is None else keys.where(F.shiftright(column, shift + 16) == prefix)
-        got = part.groupBy((F.shiftright(column, shift).bitwiseAND(0xFFFF)).alias("digit")).count().collect()  # at most 65,536 rows
+        part = keys if prefix is None else keys.where(F.shiftrightunsigned("_u", shift + 16) == prefix)
+        got = part.groupBy((F.shiftrightunsigned("_u", shift).bitwiseAND(0xFFFF)).alias("digit")).count().collect()  # at most 65,536 rows
         for digit, n in sorted(((r["digit"], r["count"]) for r in got), reverse=True):
             if left <= n:
                 prefix = digit if prefix is None else (prefix << 16) | digit
@@ -58,21 +71,17 @@ def kth_key(keys: DataFrame, column: str, k: int) -> int | None:
             left -= n
         else:
             return None
-    return prefix
+    return prefix - (1 << 63)
 
 
 def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, clean_loss: float = 0.005, seed: int = 1, columns: list[str] | None = None) -> DataFrame:
     """The sampled rows of ``docs`` (of it ``columns``, by default all) with log_weight and gumbel_key."""
-    docs = docs.drop("log_weight", "gumbel_key", "_key")
+    docs = docs.drop(*_ADDED)
     fitted = model(docs, labels, clean_loss=clean_loss)
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-    keyed = weights(docs, fitted).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
-    # a fixed-point form of the key, so that its order is that of non-negative longs
-    keyed = keyed.withColumn("_key", F.least(F.lit(1 << 62), F.greatest(F.lit(0), ((F.col("gumbel_key") + F.lit(float(1 << 21))) * float(1 << 40)).cast("long"))))
-    keyed = stage(keyed.select(*(columns or docs.columns), "log_weight", "gumbel_key", "_key"), "resample")
+    rows = stage(keyed(docs, fitted, temperature, seed).select(*(columns or docs.columns), *_ADDED), "resample")
     if k is None:
-        k = keyed.where(F.col("log_weight") >= fitted.threshold).count()
-    least = kth_key(keyed.select("_key"), "_key", k) if k > 0 else None
+        k = rows.where(F.col("log_weight") >= SCALE * fitted.threshold).count()
+    least = kth_key(rows.select("_key"), "_key", k) if k > 0 else None
     if least is None:
-        return (keyed if k > 0 else keyed.where("false")).drop("_key")
-    return keyed.where(F.col("_key") >= least).drop("_key")
+        return (rows if k > 0 else rows.where("false")).drop("_key")
+    return rows.where(F.col("_key") >= least).drop("_key")
