@@ -407,6 +407,65 @@ def test_substrings(docs, empty):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_removed(make_docs())
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert rlz.remove(empty).count() == 0
+    hot = rlz.remove(docs.select("doc_id", "text"), window=6, seed=3, most=1).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in hot) == plain_removed(make_docs(), 6)
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_substrings_of_few_words(spark, monkeypatch, most):
+    """Many matches of all kinds: a vocabulary of few words, passages that begin and end anywhere, repeated rows."""
+    r = random.Random(11)
+    prose = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    passage = prose(300)
+    rows = [(i, prose(r.randint(0, 60))) for i in range(60)]
+    rows += [(100 + i, prose(9) + " " + " ".join(passage.split()[r.randint(0, 150) : r.randint(150, 300)]) + " " + prose(7)) for i in range(40)]
+    rows += [rows[70]] * 5 + [(None, rows[71][1])] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for window, seed in ((8, 3), (12, 5)):
+        got = rlz.remove(table, window=window, seed=seed, most=most).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_removed(rows, window)
+
+
+def test_substrings_of_repeated_rows_are_linear(spark):
+    r = random.Random(12)
+    text = " ".join(str(r.randint(0, 9999)) for _ in range(400))
+    table = spark.createDataFrame([(1, text)] * 3000 + [(None, text + " x")] * 1000 + [(i, " ".join(str(r.randint(0, 9999)) for _ in range(50)) + " " + text) for i in range(2, 6)], "doc_id long, text string")
+    spans = rlz.duplicate_spans(table).select(F.size("windows").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert spans[0] < 400 and spans[1] == 4004
+    got = rlz.remove(table, texts=False).groupBy("n_words", "n_removed").count().collect()
+    assert {(x.n_words, x.n_removed): x["count"] for x in got} == {(400, 400): 3000, (401, 401): 1000, (450, 400): 4}
+
+
+def test_longest_matches_and_factors():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        size = r.integers(1, 30, 12)
+        offsets, block = np.concatenate([[0], np.cumsum(size)]), np.sort(r.integers(0, 3, 12))
+        h, c = r.integers(0, 2, offsets[-1]).astype(np.uint64), r.integers(1, 3, 12) // 2 + 1
+        pieces = [h[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+        for i in range(12):  # equal pieces of a block do not occur
+            if any(block[i] == block[j] and pieces[i] == pieces[j] for j in range(i)):
+                h[offsets[i] : offsets[i + 1]] = 1000 + i
+                pieces[i] = h[offsets[i] : offsets[i + 1]].tolist()
+        match = rlz.longest_matches(block, offsets, h, c)
+
+        def longest(i, a):
+            if c[i] > 1:
+                return size[i] - a
+            most = 0
+            for j in range(12):
+                for b in range(size[j]):
+                    if block[i] == block[j] and (i, a) != (j, b):
+                        n = 0
+                        while a + n < size[i] and b + n < size[j] and pieces[i][a + n] == pieces[j][b + n]:
+                            n += 1
+                        most = max(most, n)
+            return most
+
+        assert match.tolist() == [longest(i, a) for i in range(12) for a in range(size[i])]
+        piece, first, n = rlz.factors(offsets, match, 4)
+        windows = {(p, w) for p, f, m in zip(piece.tolist(), first.tolist(), n.tolist()) for w in range(f, f + m - 3)}
+        assert windows == {(i, a) for i in range(12) for a in range(size[i]) if match[offsets[i] + a] >= 4}
 
 
 def plain_base(text):
