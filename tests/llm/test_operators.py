@@ -505,10 +505,71 @@ def test_tagger_gradients_and_accuracy():
         v[at] = old
         assert abs((up[0] - down[0]) / 2e-3 - g[k][at]) < 1e-4
     x, y = pii.examples(400, 99)
-    path, _ = pii.trained().decode(x)
+    path, _ = pii.trained().decode(pii.trained().emissions(x))
     assert (path == y).mean() > 0.98 and (path == y)[y > 0].mean() > 0.95
 
 
+def test_decoding_by_brute_force():
+    import itertools
+
+    tagger, r = pii.Tagger(4, 5), np.random.default_rng(1)
+    tagger.p["trans"], tagger.p["start"] = r.normal(size=(pii.LABELS, pii.LABELS)), r.normal(size=pii.LABELS)
+    em = r.normal(size=(2, 4, pii.LABELS)) * 2
+    path, sure = tagger.decode(em)
+    for e, p, q in zip(em, path, sure):
+        every = list(itertools.product(range(pii.LABELS), repeat=4))
+        score = [tagger.p["start"][y[0]] + sum(e[i, y[i]] for i in range(4)) + sum(tagger.p["trans"][a, b] for a, b in zip(y, y[1:])) for y in every]
+        assert tuple(p) == every[int(np.argmax(score))]
+        weight = np.exp(np.array(score))
+        wanted = [sum(w for w, y in zip(weight, every) if y[i] == p[i]) / weight.sum() for i in range(4)]
+        assert np.allclose(q, wanted)
+
+
+def sentence(r, n):
+    plain = "the quick report said that we were going to see what happened when she left town early and nobody could tell him why it was so cold over there last winter after all these years of work".split()
+    out = ""
+    while len(out) < n:
+        out += r.choice(plain) + " "
+    return out
+
+
+def test_spans_of_any_length_at_any_offset():
+    r, tagger, caught, asked = random.Random(3), pii.trained(), Counter(), Counter()
+    name = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    forms = [
+        lambda n: name(max(3, n - 20)) + " [at] " + name(5) + " [dot] com",
+        lambda n: ".".join(name(5) for _ in range(max(1, (n - 20) // 6))) + " [at] " + name(5) + " [dot] com",
+        lambda n: name(6) + " [at] " + " [dot] ".join(name(6) for _ in range(max(1, (n - 15) // 13))) + " [dot] edu",
+        lambda n: name(6) + "(at)" + "(dot)".join(name(6) for _ in range(max(1, (n - 15) // 11))) + "(dot)edu",
+    ]
+    for size in (30, 55, 85, 120, 250, 500):
+        texts, wanted = [], []
+        for offset in range(48):
+            span, before = forms[offset % 4](size), sentence(r, 100 + offset)
+            texts.append(before + span + " " + sentence(r, 150))
+            wanted.append(("email", len(before), len(before) + len(span)))
+        got = pii.added_spans(texts, [pii.base_spans(t) for t in texts], tagger)
+        caught[size], asked[size] = sum(w in g for w, g in zip(wanted, got)), 48
+        # what is found does not depend on the texts around
+        assert pii.added_spans(texts[:5], [pii.base_spans(t) for t in texts[:5]], tagger) == got[:5]
+    assert all(caught[s] >= 0.9 * asked[s] for s in asked) and sum(caught.values()) >= 0.95 * sum(asked.values())
+
+
+def test_loose_spellings_in_plain_sentences():
+    r, tagger = random.Random(5), pii.trained()
+    makers = {"phone": lambda: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}", "ip": lambda: "[.]".join(str(r.randint(0, 255)) for _ in range(4)), "email": lambda: "joan." + "".join(r.choice("abcdefgh") for _ in range(5)) + " (at) mail.org"}
+    for kind, make in makers.items():
+        texts, wanted = [], []
+        for _ in range(60):
+            before, span = sentence(r, r.randint(0, 130)), make()
+            texts.append(before + span + ", " + sentence(r, 40))
+            wanted.append((kind, len(before), len(before) + len(span)))
+        got = pii.added_spans(texts, [pii.base_spans(t) for t in texts], tagger)
+        assert np.mean([w in g for w, g in zip(wanted, got)]) > 0.9
+    clean = [sentence(r, 300) + f"in {r.randint(1900, 2030)} for ${r.randint(10, 99)}.50 or {r.randint(1, 99)}% " + sentence(r, 100) for _ in range(100)]
+    assert sum(map(len, pii.added_spans(clean, [pii.base_spans(t) for t in clean], tagger))) <= 1
+
+
 def test_personal_data_rows(spark):
     texts = ["mail bofmf.71@mail4.example.com now", "ring +1 (389) 555-5010 4866351201689520 then", "", None, "clean prose without any", "x" * 5000 + " 17.252.227.210 " + "y" * 5000, "call +1 (389) 555-5010"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

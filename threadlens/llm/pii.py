@@ -7,12 +7,14 @@ linear in the text.
 kind, and CRF transitions; trained on the driver by Adam on the CRF likelihood of labelled spans. The labelled spans are
 made by a seeded generator (``examples``) of invented prose with personal data in the base's and in looser spellings,
 and with digits that are none (years, versions, prices, keys, hashes). A text is cut into windows of ``WINDOW`` characters
-that overlap by half. Every window is decoded (best path), and the windows are reconciled over the whole text: a span is
-taken from a window in which it does not touch an inner edge, of overlapping ones the more probable first, and it must
-have a mean posterior of at least ``SURE``, satisfy its kind's check and overlap no base span.
+that overlap by half. Overlapping windows are reconciled before any decision: each character takes its emissions from the
+window in which it stands most centrally, and each run of overlapping windows, however long, is decoded once as a whole
+(best path and posteriors). Where a span touches a run's inner end, the run is made longer and decoded again. A span then
+reaches to the ends of the words it cuts, and must have a mean posterior of at least ``SURE``, satisfy its kind's check and
+overlap no base span.
 
-The check of each kind asks for an @ sign (or one spelt out in brackets) or for digits, so a window without any of these
-cannot yield a span: such windows are not decoded, which changes no result.
+The check of each kind asks for an @ sign (or one spelt out in brackets) or for digits, so runs begin with the windows that
+have one of these; text that no run reaches cannot yield a span.
 
 Defined cases: null text is empty and has no spans; texts of any length are worked on whole; repeated rows and ties get
 equal spans; null ids are allowed; further columns pass through ``find`` and ``redact`` unchanged (columns named like the
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -124,8 +127,12 @@ def _personal(r: random.Random, kind: str) -> str:
     if kind == "email":
         host, top = "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(3, 8))) + r.choice(("", "", "8", "24")), r.choice(("com", "org", "net", "example.com", "de", "co.uk"))
         local = name + r.choice(("", ".", "_", "-", "+")) .join(("", r.choice(("", _number(r, 2), name[:3]))))
+        if r.random() < 0.08:  # long ones
+            more = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(r.randint(2, 8))]
+            keep = r.randint(0, len(more))
+            local, host = r.choice((".", "_", "-", "")).join([local, *more[:keep]]), ".".join([*more[keep:], host])
         at, dot = r.choice((("@", "."), ("@", "."), ("@", "."), (" @ ", "."), ("[at]", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", ".")))
-        return (local.strip("._-+") or name) + at + host + dot + top.replace(".", dot)
+        return (local.strip("._-+") or name) + at + (host + "." + top).replace(".", dot)
     if kind == "ip":
         return r.choice((".", ".", ".", "[.]", "(.)")).join(str(r.randint(0, 255)) for _ in range(4))
     if kind == "card":
@@ -304,11 +311,14 @@ class Tagger:
                 losses.append(loss)
         return losses
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best path, its labels' posterior probabilities) of each window."""
-        em, _ = self.run(x)
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        return self.run(x)[0]
+
+    def decode(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best path, its labels' posterior probabilities) of sequences of emissions (B, T, LABELS)."""
+        em = em.astype(np.float64)  # sums over long runs
         size, steps, _ = em.shape
-        best, came = self.p["start"] + em[:, 0], np.zeros(em.shape, np.int64)
+        best, came = self.p["start"] + em[:, 0], np.zeros(em.shape, np.int8)
         for t in range(1, steps):
             s = best[:, :, None] + self.p["trans"]
             came[:, t] = s.argmax(1)
@@ -337,54 +347,140 @@ def trained(n: int = 16_000, epochs: int = 3, seed: int = 7) -> Tagger:
 
 def windows(text: str) -> list[int]:
     """Starts of the windows that can yield a span."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    last = _last(text)
     hit = {k for m in _TRIGGER.finditer(text) for k in range(max(0, (m.start() - WINDOW) // STRIDE + 1), min(last, m.start() // STRIDE) + 1)}
     return [k * STRIDE for k in sorted(hit)]
 
 
-def reconcile(text: str, starts: list[int], paths: np.ndarray, sure: np.ndarray, base: list[Span]) -> list[Span]:
-    """Spans that the decoded windows add to ``base``."""
-    found: dict[Span, float] = {}
-    for s, path, p in zip(starts, paths, sure):
-        size, i = min(WINDOW, len(text) - s), 0
-        while i < size:
-            if not (path[i] and path[i] % 2):
-                i += 1
-                continue
-            j = i + 1
-            while j < size and path[j] == path[i] + 1:
-                j += 1
-            whole = (i > 0 or s == 0) and (j < size or s + size == len(text))
-            kind, mean = KINDS[(path[i] - 1) // 2], float(p[i:j].mean())
-            if whole and mean >= SURE and plausible(kind, text[s + i : s + j]):
-                span = (kind, s + i, s + j)
-                found[span] = max(found.get(span, 0.0), mean)
-            i = j
-    taken, out = [(a, b) for _, a, b in base], []
-    for kind, a, b in sorted(found, key=lambda x: (-found[x], x[1], KINDS.index(x[0]), x[2])):
-        if all(b <= c or a >= d for c, d in taken):
-            taken.append((a, b))
-            out.append((kind, a, b))
+def _last(text: str) -> int:
+    """The number of the text's last window."""
+    return max(0, -(-(len(text) - WINDOW) // STRIDE))
+
+
+def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (first window, last window) in order, those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
+class _Free:
+    """Which places base spans, and spans added so far from left to right, leave free."""
+
+    def __init__(self, base: list[Span]):
+        self.starts, self.ends = [], []
+        for a, b in sorted((a, b) for _, a, b in base):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+        self.last = 0
+
+    def take(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        if a < self.last or (i and self.ends[i - 1] > a):
+            return False
+        self.last = b
+        return True
+
+
+_BEFORE = re.compile(r"[\w.%+-]")
+_AFTER = re.compile(r"\w|[.-](?=\w)")
+_DIGIT = re.compile(r"[0-9]")
+_AT = re.compile(r" ?(?:@|[\[(] ?at ?[\])])", re.I)
+
+
+def grown(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
+    """The span up to the ends of the words or numbers it cuts."""
+    before, after = (_BEFORE, _AFTER) if kind == "email" else (_DIGIT, _DIGIT)
+    while a > 0 and before.match(text, a - 1):
+        a -= 1
+    while b < len(text) and after.match(text, b):
+        b += 1
+    if kind == "email" and (sign := _AT.search(text, a, b)):
+        # what stands before the local part is none of it
+        local = sign.start()
+        while local > a and before.match(text, local - 1):
+            local -= 1
+        a = local if local < sign.start() else a
+    return a, b
+
+
+def spans_of(text: str, begin: int, path: np.ndarray, sure: np.ndarray, free: _Free) -> list[Span]:
+    """Spans that a decoded run from ``begin`` on adds."""
+    out, size = [], min(len(path), len(text) - begin)
+    path = path[:size]
+    starts = np.flatnonzero(path % 2 == 1)  # B labels are odd
+    if not len(starts):
+        return out
+    # a span goes on while the label is the I of its kind
+    change = np.append(np.flatnonzero(path[1:] != path[:-1]) + 1, size)
+    for i in starts.tolist():
+        j = i + 1
+        if j < size and path[j] == path[i] + 1:
+            j = int(change[np.searchsorted(change, j, "right")])
+        kind = KINDS[(path[i] - 1) // 2]
+        if sure[i:j].mean() >= SURE:
+            a, b = grown(text, kind, begin + i, begin + j)
+            if plausible(kind, text[a:b]) and free.take(a, b):
+                out.append((kind, a, b))
+    return out
+
+
+def stitched(em: np.ndarray) -> np.ndarray:
+    """Emissions of a run of windows (n, WINDOW, LABELS) as those of its characters, each from the window where it is most
+    central."""
+    side = (WINDOW - STRIDE) // 2
+    parts = [em[i, side if i else 0 : WINDOW if i == len(em) - 1 else side + STRIDE] for i in range(len(em))]
+    return np.concatenate(parts)
+
+
 def added_spans(texts: list[str], bases: list[list[Span]], tagger: Tagger, most: int = 256) -> list[list[Span]]:
-    asked = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
-    paths, sure = np.zeros((len(asked), WINDOW), np.int64), np.zeros((len(asked), WINDOW), np.float32)
-    for a in range(0, len(asked), most):
-        part = asked[a : a + most]
-        x = np.full((len(part), WINDOW), PAD)
-        for k, (i, s) in enumerate(part):
-            piece = texts[i][s : s + WINDOW]
-            x[k, : len(piece)] = classes(piece)
-        paths[a : a + most], sure[a : a + most] = tagger.decode(x)
-    out, at = [], 0
+    """Spans that the tagger adds to each text's base spans."""
+    runs = [_joined([(s // STRIDE, s // STRIDE) for s in windows(t)]) for t in texts]
+    seen: dict[tuple[int, int], np.ndarray] = {}
+    done: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+    todo = [(i, a, b) for i, own in enumerate(runs) for a, b in own]
+    while todo:
+        new = [(i, k) for i, a, b in todo for k in range(a, b + 1) if (i, k) not in seen]
+        for at in range(0, len(new), most):
+            part = new[at : at + most]
+            x = np.full((len(part), WINDOW), PAD)
+            for row, (i, k) in enumerate(part):
+                piece = texts[i][k * STRIDE : k * STRIDE + WINDOW]
+                x[row, : len(piece)] = classes(piece)
+            seen.update(zip(part, tagger.emissions(x)))
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for run in todo:
+            by_size.setdefault(run[2] - run[1], []).append(run)
+        again: set[int] = set()
+        for size, own in sorted(by_size.items()):
+            together = max(1, most // (size + 1))
+            for at in range(0, len(own), together):
+                part = own[at : at + together]
+                path, sure = tagger.decode(np.stack([stitched(np.stack([seen[i, k] for k in range(a, b + 1)])) for i, a, b in part]))
+                for run, p, q in zip(part, path, sure):
+                    (i, a, b), done[run] = run, (p, q)
+                    # a span that touches an inner end may go on: twice as long a run tells
+                    last = _last(texts[i])
+                    longer = (max(0, a - (b - a + 1)) if p[0] else a, min(last, b + (b - a + 1)) if p[-1] else b)
+                    if longer != (a, b):
+                        runs[i] = [longer if r == (a, b) else r for r in runs[i]]
+                        again.add(i)
+        for i in again:
+            runs[i] = _joined(runs[i])
+        todo = [(i, a, b) for i in sorted(again) for a, b in runs[i] if (i, a, b) not in done]
+    out = []
     for i, text in enumerate(texts):
-        stop = at
-        while stop < len(asked) and asked[stop][0] == i:
-            stop += 1
-        out.append(reconcile(text, [s for _, s in asked[at:stop]], paths[at:stop], sure[at:stop], bases[i]) if stop > at else [])
-        at = stop
+        free, spans = _Free(bases[i]), []
+        for a, b in runs[i]:
+            spans += spans_of(text, a * STRIDE, *done[i, a, b], free)
+        out.append(spans)
     return out
 
 
@@ -394,7 +490,7 @@ def _map(docs: DataFrame, columns: list[str], schema: str, make, tagger: Tagger
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=2 << 20):  # a window's emissions take some 3 kB
                 column = pc.fill_null(part.column("text"), "")
                 hit = np.flatnonzero(np.asarray(pc.match_substring_regex(column, _TRIGGER.pattern, ignore_case=True)))
                 texts = column.take(pa.array(hit)).to_pylist()
