@@ -176,6 +176,92 @@ def test_trie_links_at_the_last_bit(spark):
         assert len(set(got)) == len(set(wanted)) == len(set(zip(got, wanted)))
 
 
+def shingle_set(text, size=5):
+    w = split("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_near_copies(rows, kept):
+    """Each row that went has a kept one that is similar enough, and kept ones are not that similar to each other."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert len(kept) == len(set(kept))
+    for i, s in sets.items():
+        if i not in kept:
+            assert any(jaccard(s, sets[k]) >= 0.8 for k in kept)
+    close = [(i, j) for i in kept for j in kept if i < j and sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    return close
+
+
+def test_near_copies(spark, docs, empty):
+    r = random.Random(21)
+    prose = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randint(0, 400)) for _ in range(n)]
+    rows, planted = [], []
+    for k in range(120):
+        first = prose(r.randint(60, 300))
+        rows.append(first)
+        for _ in range(r.randint(0, 3)):
+            edited = list(first)
+            for _ in range(r.randint(1, max(1, len(first) // 60))):
+                edited[r.randrange(len(edited))] = "edit"
+            rows.append(edited)
+    crowd = prose(200)
+    for _ in range(150):
+        edited = list(crowd)
+        edited[r.randrange(200)] = str(r.random())
+        rows.append(edited)
+    notice = prose(12)
+    rows += [notice + prose(100) for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(9000, ""), (9001, None), (9002, " \n"), (9003, "one Two"), (9004, "ONE  two"), (9005, rows[0][0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.near_copies(table)
+    assert got.columns == ["doc_id", "text"]
+    kept = [x.doc_id for x in got.collect()]
+    sets = {i: shingle_set(t) for i, t in rows}
+    pairs = sum(jaccard(sets[i], sets[j]) >= 0.8 for i in sets for j in sets if i < j and sets[i] & sets[j])
+    assert pairs > 500 and len(check_near_copies(rows, kept)) <= 0.002 * pairs
+    assert 9000 in kept and not {9001, 9002, 9004} & set(kept) and sum(i >= len(rows) - 66 for i in kept if i < 9000) == 60
+    texts = simhash.stage(simhash.sketches(table).groupBy("w").agg(*(F.first(c).alias(c) for c in ("fp", "minima", "sketch"))), "texts")
+    plain = {x.node: x.root for x in components(simhash.near_links(texts, 0.8)).collect()}
+    crowded = {x.node: x.root for x in components(simhash.near_links(texts, 0.8, crowded=5, part=7)).collect()}
+    groups = lambda roots: {frozenset(n for n in roots if roots[n] == g) for g in set(roots.values())}
+    assert groups(plain) == groups(crowded)
+    again = simhash.near_copies(docs.drop("kept")).collect()
+    assert sum(x.doc_id is None for x in again) == 1 and len(again) == len({(x.doc_id, x.text) for x in again})
+    assert simhash.near_copies(empty).count() == 0
+
+
+def test_near_pairs_and_shown_similarity():
+    r = np.random.default_rng(7)
+    size = np.array([1, 5, 40, 2, 30])
+    base = r.integers(0, 1 << 63, 5).astype(np.uint64)
+    keys = np.concatenate([np.sort(np.concatenate([b ^ (np.uint64(1) << r.integers(0, 64, n // 2 + 1).astype(np.uint64)), r.integers(0, 1 << 63, n - n // 2 - 1).astype(np.uint64)])) if n > 1 else np.array([b]) for b, n in zip(base, size)])
+    end = np.cumsum(size)
+    for budget in (0, 3, 18, 30):
+        for frontier in (1 << 20, 16):
+            simhash.FRONTIER = frontier
+            got = set()
+            for i, j in simhash.near_pairs(keys, end - size, end, budget, np.arange(len(keys))):
+                got |= {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+            wanted = {(i, j) for b, e in zip(end - size, end) for i in range(b, e) for j in range(i + 1, e) if bin(int(keys[i] ^ keys[j])).count("1") <= budget}
+            distinct = {(i, j) for i, j in wanted if keys[i] != keys[j]}
+            assert got <= wanted and (len(set(keys.tolist())) < len(keys) or got == distinct)
+    simhash.FRONTIER = 1 << 20
+    pad = (1 << 32) - 1
+
+    def padded(s):
+        return np.array([*sorted(s)[: simhash.SKETCH], *[pad] * max(0, simhash.SKETCH - len(s))], np.uint32)
+
+    for n in (0, 3, 40, 64, 500):
+        a = set(r.integers(0, pad, n).tolist())
+        b = set(list(a)[: int(0.8 * n)]) | set(r.integers(0, pad, n // 10).tolist())
+        shown = simhash.shown_similarity(padded(a)[None], padded(b)[None])[0]
+        assert abs(shown - jaccard(a, b)) < (1e-9 if n < 58 else 0.2)
+
+
 def plain_statistics(text):
     w = split(text)
     lines = [x for x in (text or "").split("\n") if split(x)]

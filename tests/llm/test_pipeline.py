@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 from threadlens.llm import pii
 
-from .test_operators import plain_fingerprint, plain_groups, plain_removed, split
+from .test_operators import check_near_copies, plain_removed, split
 
 
 def write(spark, tmp_path):
@@ -34,8 +34,7 @@ def test_stages(spark, tmp_path):
         before, docs = docs.collect(), spark.read.parquet(f"{tmp_path}/{name}")
         rows[name] = (before, docs.collect())
     before, after = rows["near_duplicates"]
-    group = plain_groups([plain_fingerprint(r.text) for r in before])
-    assert sorted(r.doc_id for r in after) == sorted(min(b.doc_id for b, h in zip(before, group) if h == g) for g in set(group))
+    assert not check_near_copies([(r.doc_id, r.text) for r in before], [r.doc_id for r in after]) and len(after) < len(before)
     before, after = rows["substrings"]
     wanted = {k[0]: k for k in plain_removed([(r.doc_id, r.text) for r in before])}
     assert {r.doc_id for r in after} == {d for d, k in wanted.items() if not k[2] or k[2] < k[1]}
@@ -49,3 +48,26 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in rows["packing"][1]} == set(kept)
     final = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in final) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows["packing"][1])
+
+
+def test_defined_cases(spark, tmp_path):
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    texts = [prose(60) for _ in range(30)]
+    rows = [(i, t, "w", "seed", 1.5, "x") for i, t in enumerate(texts)] + [(3, texts[3], "w", "seed", 1.5, "x")] * 2 + [(None, texts[4], None, None, None, None), (None, prose(50), None, None, None, None), (50, None, "w", None, None, None), (51, "", "w", None, None, None), (52, prose(9000), None, None, None, None)]
+    kind = "doc_id long, text string, kept string, windows string, log_weight double, fp string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.createDataFrame(rows, kind).repartition(3), None
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{tmp_path}/{name}")
+        if name == "near_duplicates":
+            kept = Counter((x.doc_id, x.text) for x in docs.collect())
+    assert kept == Counter({(i, t): 1 for i, t in enumerate(texts)} | {rows[33][:2]: 1, (50, None): 1, (52, rows[-1][1]): 1})
+    assert {x.doc_id for x in docs.collect()} == {*range(30), None, 50, 52}
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

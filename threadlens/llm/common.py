@@ -33,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and the master is local
+    (tests). On more than one machine it must be set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="threadlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,11 +62,15 @@ def scratch_count() -> int:
     return len(_scratch)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(start: int = 0) -> None:
     """Delete the scratch tables made from the ``start``-th on. Call it when the results that read them are stored."""
     for spark, path in _scratch[start:]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
     del _scratch[start:]
 
 
@@ -78,6 +85,33 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         start = end
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], most: int) -> Iterator[pa.Table]:
+    """Consecutive rows, in tables of about ``most`` or of one group: rows that agree in ``columns``, by which the rows are in
+    order, stay together."""
+    held, rows, last = [], 0, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        key = [np.asarray(batch.column(c)) for c in columns]
+        new = np.zeros(n, bool)
+        for i, k in enumerate(key):
+            new[1:] |= k[1:] != k[:-1]
+            new[0] |= last is None or k[0] != last[i]
+        last, cuts, done = [k[-1] for k in key], np.flatnonzero(new), 0
+        while (i := int(np.searchsorted(cuts, done + max(0, most - rows)))) < len(cuts):
+            cut = int(cuts[i])
+            if cut > done:
+                held.append(batch.slice(done, cut - done))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, rows, done = [], 0, cut
+        held.append(batch.slice(done))
+        rows += n - done
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row offsets into the words, a code for each word, and the distinct words by code. Null texts have no words.
     ``lower`` folds A-Z only."""

@@ -8,9 +8,18 @@ the task's fingerprints share), and a pair of subtrees is taken whole once the b
 reports links to a representative of each of its clusters rather than pairs, and components over those links give the
 groups.
 
+*Near copies* (``near_copies``: five-word shingles, a similarity of 0.8) differ in more bits than blocks could bear. There a
+text is dealt by each of ``TURNS`` smallest hashes of its shingles, of which two texts of Jaccard similarity s share one
+with probability s (all but 0.2 % of the pairs at 0.8 meet); each task joins the trie over a bucket's fingerprints with
+itself, closest pairs first, and skips node pairs whose texts are linked already, so that a group of n copies costs far less
+than its pairs. A pair within the budget is linked if the sketches of its shingle sets agree with the similarity. Of each
+group of linked texts the one with the smallest id stays, and those go whose exact similarity with it reaches the bound;
+what is left of the group goes through the same again. So each text that goes is that similar to one that stays.
+
 Defined cases: a null or word-less text has fingerprint zero and links like any other; a text with fewer words than a
-shingle is one shingle; null ids keep their rows and take their component's smallest non-null id (null if there is none).
-Other columns of the input are ignored. An empty table gives no rows.
+shingle is one shingle; texts of any length are read whole; null ids keep their rows and take their component's smallest
+non-null id (null if there is none); of repeated rows ``representatives`` and ``near_copies`` keep one. Other columns of the
+input are ignored, or passed on by the latter two. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,17 +28,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import Rolling, give_back, hashes, mix, rows_of, slices, stage, whole_groups, words
 from .components import components
 
 BUDGET = 3
 BLOCKS = 4
 #: A block value with more fingerprints than this is cut into parts of this size, and each pair of parts is one task's.
 HOT = 1 << 20
+#: Rows that a task joins together, but for those of one block, which it holds whole.
+CHUNK = 1 << 19
+
+#: Near copies: shingle hashes by which a text is dealt, and those by which buckets of more than CROWDED texts are dealt once
+#: more; what is beyond PART then is cut into parts, and each pair of parts is one task's.
+TURNS = 4
+MINIMA = 8
+CROWDED = 20_000
+PART = 1 << 16
+#: Differing bits: 9.7 on average at a similarity of 0.8, and three standard deviations more.
+NEAR_BUDGET = 18
+#: Hashes of a sketch, and how far below the similarity what it shows may be: two standard deviations.
+SKETCH = 64
+SLACK = 0.1
+#: Node pairs that are walked together.
+FRONTIER = 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -139,20 +165,18 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
         raise ValueError(f"a budget of {budget} bits needs more than {BLOCKS} blocks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.asarray(b.column("turn")), np.asarray(b.column("fp")).view(np.uint64)) for b in batches if b.num_rows]
-        if not got:
-            return
-        turn, fp = np.concatenate([t for t, _ in got]), np.concatenate([f for _, f in got])
-        for k in range(BLOCKS):
-            x = fp[turn == k]
-            s = np.uint64(width * k)
-            # a fingerprint of a hot block comes once for each pair of parts
-            keys = np.unique((x << s) | (x >> (np.uint64(64) - s)) if k else x)
-            i, j = trie_links(keys, budget=budget, fixed=width)
-            root = local_roots(len(keys), i, j)
-            back = (keys >> s) | (keys << (np.uint64(64) - s)) if k else keys
-            linked = root != np.arange(len(keys))
-            yield pa.record_batch([pa.array(back[linked].view(np.int64)), pa.array(back[root[linked]].view(np.int64))], names=["a", "b"])
+        # many blocks together: keys that differ in the leading block never meet
+        for some in whole_groups(batches, ["turn", "block", "low", "high"], CHUNK):
+            turn, fp = some["turn"].to_numpy(), some["fp"].to_numpy().view(np.uint64)
+            for k in np.unique(turn).tolist():
+                x, s = fp[turn == k], np.uint64(width * k)
+                # a fingerprint of a hot block comes once for each pair of parts
+                keys = np.unique((x << s) | (x >> (np.uint64(64) - s)) if k else x)
+                i, j = trie_links(keys, budget=budget, fixed=width)
+                root = local_roots(len(keys), i, j)
+                back = (keys >> s) | (keys << (np.uint64(64) - s)) if k else keys
+                linked = root != np.arange(len(keys))
+                yield pa.record_batch([pa.array(back[linked].view(np.int64)), pa.array(back[root[linked]].view(np.int64))], names=["a", "b"])
 
     turns = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     dealt = distinct.select("fp", turns.alias("turn")).withColumn("block", F.expr(f"shiftrightunsigned(fp, 64 - {width} * (turn + 1)) & {(1 << width) - 1}"))
@@ -161,7 +185,9 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
     dealt = dealt.join(F.broadcast(parts), ["turn", "block"], "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.expr("cast(pmod(xxhash64(fp, 7), parts) as int)")))
     pair = F.struct(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).withColumn("pair", pair)
-    return dealt.repartition("turn", "block", "pair").select("turn", "fp").mapInArrow(work, "a long, b long")
+    group = ["turn", "block", "low", "high"]
+    dealt = dealt.select("turn", "block", "pair.low", "pair.high", "fp").repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(work, "a long, b long")
 
 
 def _rooted(docs: DataFrame, shingle: int, budget: int) -> DataFrame:
@@ -169,8 +195,8 @@ def _rooted(docs: DataFrame, shingle: int, budget: int) -> DataFrame:
     fps = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), budget)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = stage(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = stage(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
     return fps.join(named, "fp")
 
@@ -190,3 +216,225 @@ def representatives(docs: DataFrame, shingle: int = 3, budget: int = BUDGET) ->
     keys = ["_id", "_null", "_text"]
     # the join leaves its result dealt and sorted by the keys, so that dropping repeated rows takes no further shuffle
     return docs.withColumns(id_key | {"_text": F.xxhash64("text")}).join(kept, keys).dropDuplicates(keys).select(*docs.columns)
+
+
+# ---- near copies
+
+
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text in order, and a hash of each text's whole sequence of words."""
+    offsets, codes, distinct = words(texts, lower=True)
+    n = np.diff(offsets)
+    whole = mix(Rolling(hashes(distinct, 1)[codes]).of(offsets[:-1], offsets[1:]) ^ n.astype(np.uint64))
+    rolling = Rolling(hashes(distinct)[codes])
+    many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    row = np.repeat(np.arange(len(n)), many)
+    start = offsets[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    h = mix(rolling.of(start, np.minimum(start + size, offsets[row + 1])) + np.uint64(size)) if len(row) else np.zeros(0, np.uint64)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.concatenate([[True], (np.diff(row) != 0) | (h[1:] != h[:-1])])[: len(h)]
+    return row[new], h[new], whole
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, text_hash, w: the words' hash, fp: of the set of shingles, minima: its smallest hashes by MINIMA orders, sketch:
+    the high halves of its SKETCH smallest hashes) for every row of ``docs``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=2 << 20):
+                row, h, whole = shingles(part.column("text"), shingle)
+                n = part.num_rows
+                count = np.bincount(row, minlength=n)
+                begin = np.cumsum(count) - count
+                some = np.flatnonzero(count)
+                fp, minima = np.zeros(n, np.uint64), np.zeros((n, MINIMA), np.uint64)
+                if len(some):
+                    at = begin[some]
+                    for bit in range(64):
+                        ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), at)
+                        fp[some] |= (2 * ones > count[some]).astype(np.uint64) << np.uint64(bit)
+                    for k in range(MINIMA):
+                        minima[some, k] = np.minimum.reduceat(mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & ((1 << 64) - 1))), at)
+                kept = np.minimum(count, SKETCH)
+                take = np.repeat(begin - (np.cumsum(kept) - kept), kept) + np.arange(int(kept.sum()))
+                low = (h[take] >> np.uint64(32)).astype("<u4")
+                ends = np.concatenate([[0], 4 * np.cumsum(kept)]).astype(np.int32)
+                sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(low))])
+                lists = pa.ListArray.from_arrays(np.arange(0, MINIMA * n + 1, MINIMA, dtype=np.int32), pa.array(minima.view(np.int64).ravel()))
+                columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), lists, sketch]
+                yield pa.record_batch(columns, names=["doc_id", "text_hash", "w", "fp", "minima", "sketch"])
+        give_back()
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, "doc_id long, text_hash long, w long, fp long, minima array<long>, sketch binary")
+
+
+def shown_similarity(a: np.ndarray, b: np.ndarray, pad: int = (1 << 32) - 1) -> np.ndarray:
+    """Of pairs of sketches (n, SKETCH), padded by the largest number, the Jaccard similarity that they show: exact where a set
+    is no larger than a sketch."""
+    both = np.sort(np.concatenate([a, b], 1), 1)
+    there = both != pad
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & there[:, 1:]
+    rank = np.cumsum(there & ~twice, 1)
+    full = (a[:, -1] != pad) | (b[:, -1] != pad)
+    size = np.where(full, np.minimum(rank[:, -1], a.shape[1]), rank[:, -1])
+    common = (twice & (rank <= size[:, None])).sum(1)
+    return np.where(size > 0, common / np.maximum(size, 1), 1.0)
+
+
+def _halves(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
+    """Where the keys of each range, which are in order and agree above the bit, begin to have it."""
+    lo, hi = lo.copy(), hi.copy()
+    one = np.uint64(bit)
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) >> 1
+        has = (keys[mid] >> one) & np.uint64(1) == 1
+        hi[open_[has]] = mid[has]
+        lo[open_[~has]] = mid[~has] + 1
+    return lo
+
+
+def near_pairs(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int, label: np.ndarray, bit: int = 63, frontier=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of keys of the same range within ``budget`` bits, in order in each range from ``begin`` to ``end``, but for
+    those that agree in ``label``; of equal keys, only enough to link them. The ranges' tries are walked in pairs of nodes."""
+    change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+    lo1, hi1, lo2, hi2, diff = frontier or (begin, end, begin, end, np.zeros(len(begin), np.int64))
+    while len(diff):
+        alike = (change[hi1 - 1] == change[lo1]) & (change[hi2 - 1] == change[lo2]) & (label[lo1] == label[lo2])
+        single = ~alike & (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
+        if single.any():
+            i, j = lo1[single], lo2[single]
+            near = _popcount(keys[i] ^ keys[j]) <= budget
+            yield i[near], j[near]
+        lo1, hi1, lo2, hi2, diff = (x[~alike & ~single] for x in (lo1, hi1, lo2, hi2, diff))
+        if bit < 0:
+            # equal keys on either side: each one with the first of the other side and with its neighbour
+            same = lo1 == lo2
+            for a, b, c in ((lo1, lo2, hi2), (lo2[~same], lo1[~same], hi1[~same])):
+                each = np.repeat(np.arange(len(a)), c - b)
+                j = b[each] + np.arange(len(each)) - np.repeat(np.cumsum(c - b) - (c - b), c - b)
+                i = a[each]
+                yield i[i != j], j[i != j]
+                yield j[j > b[each]] - 1, j[j > b[each]]
+            return
+        if len(diff) > FRONTIER:
+            for cut in range(0, len(diff), FRONTIER // 4):
+                yield from near_pairs(keys, begin, end, budget, label, bit, tuple(x[cut : cut + FRONTIER // 4] for x in (lo1, hi1, lo2, hi2, diff)))
+            return
+        mid1, mid2 = _halves(keys, lo1, hi1, bit), _halves(keys, lo2, hi2, bit)
+        cross = lo1 != lo2
+        branch = [
+            (lo1, mid1, lo2, mid2, diff),
+            (mid1, hi1, mid2, hi2, diff),
+            (lo1, mid1, mid2, hi2, diff + 1),
+            tuple(x[cross] for x in (mid1, hi1, lo2, mid2, diff + 1)),
+        ]
+        lo1, hi1, lo2, hi2, diff = (np.concatenate(x) for x in zip(*branch))
+        go = (lo1 < hi1) & (lo2 < hi2) & (diff <= budget) & ~((lo1 == lo2) & (hi1 - lo1 == 1))
+        lo1, hi1, lo2, hi2, diff = (x[go] for x in (lo1, hi1, lo2, hi2, diff))
+        bit -= 1
+
+
+def near_roots(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, sketch: np.ndarray, budget: int, least: float) -> np.ndarray:
+    """The smallest place linked to each key, directly or through others, by pairs within ``budget`` bits whose sketches show a
+    similarity of ``least``; closest pairs first."""
+    label = np.arange(len(keys))
+    for most in [b for b in (2, 5, 9, 13) if b < budget] + [budget]:
+        for i, j in near_pairs(keys, begin, end, most, label.copy()):
+            for cut in range(0, len(i), 1 << 15):
+                a, b = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                fits = shown_similarity(sketch[a], sketch[b]) >= least
+                if fits.any():
+                    label = local_roots(len(keys), np.append(np.arange(len(keys)), a[fits]), np.append(label, b[fits]))
+    return label
+
+
+def near_links(texts: DataFrame, similarity: float, budget: int = NEAR_BUDGET, crowded: int = CROWDED, part: int = PART) -> DataFrame:
+    """``texts`` (w once each, fp, minima, sketch) to links (a, b) between words' hashes."""
+    turns = texts.select("w", "fp", "minima", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn")).withColumn("key", F.expr("minima[turn]"))
+    light = texts.select(F.explode(F.slice("minima", 1, TURNS)).alias("key"))
+    # crowded buckets are few: a text is in TURNS of them at most
+    many = stage(light.groupBy("key").count().where(F.col("count") > crowded).select("key"), "crowded")
+    again = F.expr(f"filter(sequence(0, {MINIMA - 1}), k -> k <> turn)")
+    rows = turns.join(many.withColumn("crowded", F.lit(True)), "key", "left").withColumn("sub", F.explode(F.when(F.col("crowded"), again).otherwise(F.array(F.lit(-1)))))
+    rows = rows.withColumn("bucket", F.xxhash64("turn", "key", "sub", F.expr("if(sub < 0, 0L, minima[sub])"))).select("bucket", "w", "fp", "sketch", "crowded")
+    parts = stage(rows.where("crowded").groupBy("bucket").count().where(F.col("count") > part).select("bucket", F.ceil(F.col("count") / part).cast("int").alias("parts")), "parts")
+    rows = rows.join(parts, "bucket", "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.expr("cast(pmod(xxhash64(w, 7), parts) as int)")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = ["bucket", "low", "high"]
+        for some in whole_groups(batches, group, CHUNK // 4):
+            columns = [some[c].to_numpy() for c in group]
+            new = np.concatenate([[True], *([np.any([c[1:] != c[:-1] for c in columns], 0)])])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(new))
+            more = end - begin > 1
+            if not more.any():
+                continue
+            at = np.flatnonzero(np.repeat(more, end - begin))
+            size = (end - begin)[more]
+            w, keys = some["w"].to_numpy()[at], some["fp"].to_numpy().view(np.uint64)[at]
+            held = some["sketch"].take(pa.array(at)).combine_chunks().cast(pa.large_binary())
+            length = np.asarray(pc.binary_length(held)).astype(np.int64) // 4
+            values = np.frombuffer(held.buffers()[2], np.uint32) if held.buffers()[2] is not None else np.zeros(0, np.uint32)
+            offsets = np.frombuffer(held.buffers()[1], np.int64, len(held) + 1, 8 * held.offset) // 4
+            sketch = np.full((len(at), SKETCH), (1 << 32) - 1, np.uint32)
+            row = np.repeat(np.arange(len(at)), length)
+            sketch[row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = values[offsets[0] : offsets[-1]]
+            # each bucket's keys in order, which they are not by their rows
+            order = np.lexsort((keys, np.repeat(np.arange(len(size)), size)))
+            w, keys, sketch = w[order], keys[order], sketch[order]
+            end = np.cumsum(size)
+            root = near_roots(keys, end - size, end, sketch, budget, similarity - SLACK)
+            hit = w != w[root]
+            yield pa.record_batch([pa.array(w[hit]), pa.array(w[root[hit]])], names=["a", "b"])
+        give_back()
+
+    dealt = rows.select("bucket", "low", "high", "w", "fp", "sketch").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``wanted`` (text_hash, id, null, ...) with the set of shingles of that row's text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=2 << 20):
+                row, h, _ = shingles(part.column("text"), shingle)
+                lists = pa.LargeListArray.from_arrays(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.array(h.view(np.int64)))
+                yield pa.record_batch([*(part.column(c) for c in kept), lists.cast(pa.list_(pa.int64()))], names=[*kept, "set"])
+
+    keys = ["_id", "_null", "_text"]
+    kept = [c for c in wanted.columns if c not in keys]
+    rows = _row_keys(docs).select(*keys, "text").join(wanted, keys).select("text", *kept)
+    return rows.mapInArrow(work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in kept) + ", set array<long>")
+
+
+def _row_keys(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_null": F.col("doc_id").isNull(), "_text": F.xxhash64("text")})
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = NEAR_BUDGET) -> DataFrame:
+    """The rows of ``docs`` that stay: each that goes has a Jaccard similarity of ``similarity`` or more to one that stays."""
+    keys, docs = ["_id", "_null", "_text"], docs.drop("_id", "_null", "_text")
+    rows = stage(sketches(docs, shingle), "sketches")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_text"))).alias("own")
+    texts = stage(rows.groupBy("w").agg(own, *(F.first(c).alias(c) for c in ("fp", "minima", "sketch"))), "texts")
+    roots = stage(components(near_links(texts, similarity, budget)), "roots").withColumnsRenamed({"node": "w"})
+    linked = texts.select("w", "own").join(roots, "w", "left")
+    kept = linked.where("root is null").select("own.*")
+    # a large group's texts are joined with one row, which Spark can do in parts as both sides are stored
+    left = stage(_sets(docs, linked.where("root is not null").select("root", "w", "own", "own.*"), shingle).dropDuplicates(["w"]), "sets")
+    while not left.isEmpty():
+        first = left.groupBy("root").agg(F.min(F.struct("own", "w")).alias("first")).select("root", F.col("first.w").alias("w"))
+        stay = stage(left.join(first, ["root", "w"]).select("root", "own", F.col("set").alias("kept")), "stay")
+        kept = kept.union(stay.select("own.*"))
+        shared = F.size(F.array_intersect("set", "kept"))
+        alike = shared >= F.lit(similarity) * (F.size("set") + F.size("kept") - shared)
+        left = stage(left.join(stay.select("root", "kept"), "root").where(~alike).drop("kept"), "sets")
+    return _row_keys(docs).join(kept.select(*keys), keys).dropDuplicates(keys).select(*docs.columns)
