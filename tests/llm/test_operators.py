@@ -185,15 +185,25 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def check_near_copies(rows, kept):
-    """Each row that went has a kept one that is similar enough, and kept ones are not that similar to each other."""
+def near_groups(rows, least=0.8):
+    """The smallest id of each group of rows that are linked by their similarity."""
     sets = {i: shingle_set(t) for i, t in rows}
-    assert len(kept) == len(set(kept))
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    having = {}
     for i, s in sets.items():
-        if i not in kept:
-            assert any(jaccard(s, sets[k]) >= 0.8 for k in kept)
-    close = [(i, j) for i in kept for j in kept if i < j and sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
-    return close
+        for x in s or {()}:
+            having.setdefault(x, []).append(i)
+    for i, j in {(i, j) for own in having.values() for i in own for j in own if i < j}:
+        if top(i) != top(j) and jaccard(sets[i], sets[j]) >= least:
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return {top(i) for i in sets}
 
 
 def test_near_copies(spark, docs, empty):
@@ -219,14 +229,13 @@ def test_near_copies(spark, docs, empty):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = simhash.near_copies(table)
     assert got.columns == ["doc_id", "text"]
-    kept = [x.doc_id for x in got.collect()]
-    sets = {i: shingle_set(t) for i, t in rows}
-    pairs = sum(jaccard(sets[i], sets[j]) >= 0.8 for i in sets for j in sets if i < j and sets[i] & sets[j])
-    assert pairs > 500 and len(check_near_copies(rows, kept)) <= 0.002 * pairs
+    kept, wanted = [x.doc_id for x in got.collect()], near_groups(rows)
+    # by the smallest hashes and sketches, 0.2 % of links and a few of those about 0.8 may be missed, none made up
+    assert len(kept) == len(set(kept)) and wanted <= set(kept) and len(kept) <= len(wanted) * 1.01
     assert 9000 in kept and not {9001, 9002, 9004} & set(kept) and sum(i >= len(rows) - 66 for i in kept if i < 9000) == 60
     texts = simhash.stage(simhash.sketches(table).groupBy("w").agg(*(F.first(c).alias(c) for c in ("fp", "minima", "sketch"))), "texts")
-    plain = {x.node: x.root for x in components(simhash.near_links(texts, 0.8)).collect()}
-    crowded = {x.node: x.root for x in components(simhash.near_links(texts, 0.8, crowded=5, part=7)).collect()}
+    plain = {x.node: x.root for x in components(simhash.candidates(texts, 0.8)).collect()}
+    crowded = {x.node: x.root for x in components(simhash.candidates(texts, 0.8, crowded=5, part=7)).collect()}
     groups = lambda roots: {frozenset(n for n in roots if roots[n] == g) for g in set(roots.values())}
     assert groups(plain) == groups(crowded)
     again = simhash.near_copies(docs.drop("kept")).collect()
@@ -234,6 +243,15 @@ def test_near_copies(spark, docs, empty):
     assert simhash.near_copies(empty).count() == 0
 
 
+def test_forest_joins_without_circles():
+    r = np.random.default_rng(8)
+    for n, m in ((1, 0), (10, 5), (50, 60), (200, 2000)):
+        i, j = r.integers(0, n, (2, m))
+        label, edge = simhash.forest(np.arange(n), i, j)
+        assert (label == simhash.local_roots(n, i, j)).all() and len(edge) == n - len(set(label.tolist()))
+        assert (simhash.local_roots(n, i[edge], j[edge]) == label).all()
+
+
 def test_near_pairs_and_shown_similarity():
     r = np.random.default_rng(7)
     size = np.array([1, 5, 40, 2, 30])

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 from threadlens.llm import pii
 
-from .test_operators import check_near_copies, plain_removed, split
+from .test_operators import near_groups, plain_removed, split
 
 
 def write(spark, tmp_path):
@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
         before, docs = docs.collect(), spark.read.parquet(f"{tmp_path}/{name}")
         rows[name] = (before, docs.collect())
     before, after = rows["near_duplicates"]
-    assert not check_near_copies([(r.doc_id, r.text) for r in before], [r.doc_id for r in after]) and len(after) < len(before)
+    assert {r.doc_id for r in after} == near_groups([(r.doc_id, r.text) for r in before]) and len(after) < len(before)
     before, after = rows["substrings"]
     wanted = {k[0]: k for k in plain_removed([(r.doc_id, r.text) for r in before])}
     assert {r.doc_id for r in after} == {d for d, k in wanted.items() if not k[2] or k[2] < k[1]}

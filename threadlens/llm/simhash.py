@@ -12,9 +12,10 @@ groups.
 text is dealt by each of ``TURNS`` smallest hashes of its shingles, of which two texts of Jaccard similarity s share one
 with probability s (all but 0.2 % of the pairs at 0.8 meet); each task joins the trie over a bucket's fingerprints with
 itself, closest pairs first, and skips node pairs whose texts are linked already, so that a group of n copies costs far less
-than its pairs. A pair within the budget is linked if the sketches of its shingle sets agree with the similarity. Of each
-group of linked texts the one with the smallest id stays, and those go whose exact similarity with it reaches the bound;
-what is left of the group goes through the same again. So each text that goes is that similar to one that stays.
+than its pairs. Pairs within the budget whose sketches agree with the similarity are candidates; of these a bucket gives a
+spanning forest, the most similar first, and another one of those in which the sketches show a little less. Candidates whose
+shingle sets have the similarity, counted exactly, are links; one text of each component of links stays, that of the
+smallest id.
 
 Defined cases: a null or word-less text has fingerprint zero and links like any other; a text with fewer words than a
 shingle is one shingle; texts of any length are read whole; null ids keep their rows and take their component's smallest
@@ -337,24 +338,53 @@ def near_pairs(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, budget: int
         bit -= 1
 
 
-def near_roots(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, sketch: np.ndarray, budget: int, least: float) -> np.ndarray:
-    """The smallest place linked to each key, directly or through others, by pairs within ``budget`` bits whose sketches show a
-    similarity of ``least``; closest pairs first."""
-    label = np.arange(len(keys))
+def forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label, edges): of edges (i, j), best first, which join what ``label`` (each one's smallest fellow) has apart, without
+    circles; and the labels with them."""
+    label, chosen = label.copy(), [np.zeros(0, np.int64)]
+    edge = np.arange(len(i))
+    while True:
+        a, b = label[i[edge]], label[j[edge]]
+        apart = a != b
+        edge, a, b = edge[apart], a[apart], b[apart]
+        if not len(edge):
+            return label, np.concatenate(chosen)
+        # each label takes one edge to a smaller one: no circles
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        chosen.append(edge[first])
+        label[high] = np.minimum(a, b)[first]
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def near_edges(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, sketch: np.ndarray, budget: int, similarity: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (i, j) among the keys of each range: a forest of pairs within ``budget`` bits whose sketches show the
+    similarity, closest first, and one of pairs that show less by no more than ``slack``."""
+    label, out, less = np.arange(len(keys)), [], []
     for most in [b for b in (2, 5, 9, 13) if b < budget] + [budget]:
         for i, j in near_pairs(keys, begin, end, most, label.copy()):
             for cut in range(0, len(i), 1 << 15):
                 a, b = i[cut : cut + (1 << 15)], j[cut : cut + (1 << 15)]
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
-                fits = shown_similarity(sketch[a], sketch[b]) >= least
-                if fits.any():
-                    label = local_roots(len(keys), np.append(np.arange(len(keys)), a[fits]), np.append(label, b[fits]))
-    return label
-
-
-def near_links(texts: DataFrame, similarity: float, budget: int = NEAR_BUDGET, crowded: int = CROWDED, part: int = PART) -> DataFrame:
-    """``texts`` (w once each, fp, minima, sketch) to links (a, b) between words' hashes."""
+                shown = shown_similarity(sketch[a], sketch[b])
+                by = np.argsort(-shown, kind="stable")
+                a, b, shown = a[by], b[by], shown[by]
+                fits = int((shown >= similarity).sum())
+                label, edge = forest(label, a[:fits], b[:fits])
+                out.append((a[edge], b[edge]))
+                maybe = slice(fits, int((shown >= similarity - slack).sum()))
+                _, edge = forest(label, a[maybe], b[maybe])
+                less.append((a[maybe][edge], b[maybe][edge], shown[maybe][edge]))
+    a, b, shown = (np.concatenate([x[k] for x in less]) if less else np.zeros(0, np.int64) for k in range(3))
+    by = np.argsort(-shown, kind="stable")
+    _, edge = forest(label, a[by], b[by])
+    out.append((a[by][edge], b[by][edge]))
+    return tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
+
+
+def candidates(texts: DataFrame, similarity: float, budget: int = NEAR_BUDGET, crowded: int = CROWDED, part: int = PART) -> DataFrame:
+    """``texts`` (w once each, fp, minima, sketch) to candidates (a, b) between words' hashes, the smaller one first."""
     turns = texts.select("w", "fp", "minima", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn")).withColumn("key", F.expr("minima[turn]"))
     light = texts.select(F.explode(F.slice("minima", 1, TURNS)).alias("key"))
     # crowded buckets are few: a text is in TURNS of them at most
@@ -390,9 +420,8 @@ def near_links(texts: DataFrame, similarity: float, budget: int = NEAR_BUDGET, c
             order = np.lexsort((keys, np.repeat(np.arange(len(size)), size)))
             w, keys, sketch = w[order], keys[order], sketch[order]
             end = np.cumsum(size)
-            root = near_roots(keys, end - size, end, sketch, budget, similarity - SLACK)
-            hit = w != w[root]
-            yield pa.record_batch([pa.array(w[hit]), pa.array(w[root[hit]])], names=["a", "b"])
+            i, j = near_edges(keys, end - size, end, sketch, budget, similarity)
+            yield pa.record_batch([pa.array(np.minimum(w[i], w[j])), pa.array(np.maximum(w[i], w[j]))], names=["a", "b"])
         give_back()
 
     dealt = rows.select("bucket", "low", "high", "w", "fp", "sketch").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
@@ -400,19 +429,19 @@ def near_links(texts: DataFrame, similarity: float, budget: int = NEAR_BUDGET, c
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``wanted`` (text_hash, id, null, ...) with the set of shingles of that row's text."""
+    """(w, set) of ``wanted`` (w, own: a row's keys): the set of shingles of that row's text, as 32-bit hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 row, h, _ = shingles(part.column("text"), shingle)
-                lists = pa.LargeListArray.from_arrays(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.array(h.view(np.int64)))
-                yield pa.record_batch([*(part.column(c) for c in kept), lists.cast(pa.list_(pa.int64()))], names=[*kept, "set"])
+                at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.record_batch([part.column("w"), pa.ListArray.from_arrays(pa.array(at), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["w", "set"])
+        give_back()
 
     keys = ["_id", "_null", "_text"]
-    kept = [c for c in wanted.columns if c not in keys]
-    rows = _row_keys(docs).select(*keys, "text").join(wanted, keys).select("text", *kept)
-    return rows.mapInArrow(work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name in kept) + ", set array<long>")
+    rows = _row_keys(docs).select(*keys, "text").join(wanted.select("w", "own.*"), keys).select("w", "text")
+    return rows.mapInArrow(work, "w long, set array<int>")
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:
@@ -420,21 +449,20 @@ def _row_keys(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = NEAR_BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay: each that goes has a Jaccard similarity of ``similarity`` or more to one that stays."""
+    """The rows of ``docs`` that stay: one of each group of texts linked by a Jaccard similarity of ``similarity`` or more."""
     keys, docs = ["_id", "_null", "_text"], docs.drop("_id", "_null", "_text")
     rows = stage(sketches(docs, shingle), "sketches")
     own = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_text"))).alias("own")
     texts = stage(rows.groupBy("w").agg(own, *(F.first(c).alias(c) for c in ("fp", "minima", "sketch"))), "texts")
-    roots = stage(components(near_links(texts, similarity, budget)), "roots").withColumnsRenamed({"node": "w"})
+    pairs = stage(candidates(texts, similarity, budget).distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
+    # stored: joins of plain exchanges, which Spark can split where a text has very many candidates
+    sets = stage(_sets(docs, texts.select("w", "own").join(ends, "w"), shingle).dropDuplicates(["w"]), "sets")
+    left = stage(pairs.join(sets.withColumnsRenamed({"w": "a", "set": "of_a"}), "a"), "left")
+    both = left.join(sets.withColumnsRenamed({"w": "b", "set": "of_b"}), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    alike = shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)
+    roots = components(both.where(alike).select("a", "b")).withColumnsRenamed({"node": "w"})
     linked = texts.select("w", "own").join(roots, "w", "left")
-    kept = linked.where("root is null").select("own.*")
-    # a large group's texts are joined with one row, which Spark can do in parts as both sides are stored
-    left = stage(_sets(docs, linked.where("root is not null").select("root", "w", "own", "own.*"), shingle).dropDuplicates(["w"]), "sets")
-    while not left.isEmpty():
-        first = left.groupBy("root").agg(F.min(F.struct("own", "w")).alias("first")).select("root", F.col("first.w").alias("w"))
-        stay = stage(left.join(first, ["root", "w"]).select("root", "own", F.col("set").alias("kept")), "stay")
-        kept = kept.union(stay.select("own.*"))
-        shared = F.size(F.array_intersect("set", "kept"))
-        alike = shared >= F.lit(similarity) * (F.size("set") + F.size("kept") - shared)
-        left = stage(left.join(stay.select("root", "kept"), "root").where(~alike).drop("kept"), "sets")
+    kept = linked.groupBy(F.coalesce("root", "w").alias("root")).agg(F.min("own").alias("own")).select("own.*")
     return _row_keys(docs).join(kept.select(*keys), keys).dropDuplicates(keys).select(*docs.columns)
