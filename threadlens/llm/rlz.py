@@ -284,10 +284,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, mos
     known = stage(parsed.join(blocks, "seed"), "known")
     distinct = known.where("not alike").groupBy("seed", "piece").agg(F.count("*").alias("c"), F.min(F.struct(*keys, "start", "n")).alias("one"))
     distinct = stage(distinct.select("seed", "piece", "c", "one.*"), "distinct")
-    # pieces that occur twice or more are factors as they are, those of repeated rows once
-    whole = known.where("alike").select(*keys, "start", "n").union(
-        known.where("not alike").join(distinct.where("c > 1").select("seed", "piece"), ["seed", "piece"], "left_semi").select(*keys, "start", "n")
-    )
+    # pieces that occur twice or more are factors as they are: all of a block of one kind, and those counted in the others
+    repeated = distinct.where("c > 1").select("seed", "piece", F.lit(True).alias("again"))
+    whole = known.join(repeated, ["seed", "piece"], "left").where("alike or again").select(*keys, "start", "n")
     hot = distinct.groupBy("seed").agg(F.count("*").alias("b")).where(F.col("b") > most).select("seed")
     hot = stage(hot, "hot")
     one = F.struct("seed", "piece", "start", "n", "c")
