@@ -124,6 +124,31 @@ def test_report(spark, freq, tmp_path):
     spark.catalog.clearCache()
 
 
+def test_report_over_a_database(spark):
+    import json
+
+    freq = spark.createDataFrame([("filter", 4.5), ("reborn", 3.6), ("the", 7.0), ("blue", 5.0), ("lock", 4.6)], "word string, zipf double")
+    work = lambda i, english, romaji=None, synonyms=(): {"id": i, "type": "ANIME", "format": "TV", "countryOfOrigin": "JP", "title": {"english": english, "romaji": romaji}, "synonyms": list(synonyms), "startDate": {"year": 2015}, "popularity": 9, "siteUrl": "u"}
+    works = {
+        "regressor instruction manual": work(1, "How to Use a Returner", synonyms=["Regressor Instruction Manual"]), "blue lock": work(2, "BLUE LOCK"),
+        "one punch man": work(3, "One Punch Man", "Wanpanman", ["OPM"]),
+    }
+    cached = spark.createDataFrame([(k, json.dumps([w]), "anilist") for k, w in works.items()], cache.SCHEMA)
+    said = [("Regressor Instruction Manual", []), ("Blue Lock", []), ("blue lock", []), ("One Punch Man", ["saitama"]), ("One Punch Man", ["saitama", "OPM"]), ("Filter", []), ("Reborn", []), ("Qwertle", []), ("Blue Day", [])]
+    rows = [(str(i), "anime edit", "", 1, 10, 5, {"es": 4, "en/other": 2}, [(t, "high", ["comments:1"], 1 + i, 2, [(a, "x") for a in alts])]) for i, (t, alts) in enumerate(said)]
+    sweep = spark.createDataFrame(rows, readers.SWEEP)
+    ranked, _ = report.build(sweep, freq, cached)
+    got = {r.title: r for r in ranked.collect()}
+    assert {t for t, r in got.items() if r.confirmed} == {"Regressor Instruction Manual", "Blue Lock", "One Punch Man"}
+    assert {t for t, r in got.items() if not r.confirmed} == {"Qwertle", "Blue Day"}
+    assert got["Regressor Instruction Manual"].alternates == ["How to Use a Returner"] and got["One Punch Man"].alternates == ["OPM", "Wanpanman"]
+    assert got["Blue Lock"].videos == 2 and got["Blue Lock"].variants == ["blue lock"]
+    totals = report.totals(sweep, ranked).first()
+    assert totals.distinct_titles == 3 and totals.non_english_comments == 36
+    assert [(r.lang, r.comments, r.reach, r.comments_rank, r.reach_rank) for r in report.languages(sweep).collect()] == [("es", 36, 9, 1, 1), ("en/other", 18, 0, 2, None)]
+    spark.catalog.clearCache()
+
+
 def test_learned(spark, cat, freq):
     a = [("Lily Fever", "high", ["comments:4"], 4, 2, [("Lily Fevr", "aka")]), ("Monster", "high", ["comments:4"], 4, 2, []), ("Dune", "low", ["comments:9"], 9, 0, []), ("Rare Thing", "low", ["comments:1"], 1, 0, [])]
     sweep = spark.createDataFrame([("1", "q", "t", 0, 0, 0, {}, a)], readers.SWEEP)

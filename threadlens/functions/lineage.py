@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as stored rows: written once to the folder in ``spark.checkpoint.dir`` (a temporary one where that is unset),
-    so that later plans neither repeat nor carry what made it, and a lost executor costs no more than a read."""
+    """``df`` as stored rows: written once to the folder in ``spark.checkpoint.dir`` (a temporary one where that is unset and
+    the master is local), so that later plans neither repeat nor carry what made it, and a lost executor costs no more than
+    a read."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="threadlens-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="threadlens-"))
     return df.checkpoint()

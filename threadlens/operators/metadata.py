@@ -37,21 +37,23 @@ def best_split(glued: str, zipf: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-def segment(tags: DataFrame, cat: Catalogue, freq: DataFrame, most_words: int = 2_000_000) -> DataFrame:
-    """(tag, words, known) of distinct lower-case hashtags: as the catalogue spells them, else split by word frequency.
-
-    The split needs the whole frequency table in each task; it is broadcast as a map, of which the ``most_words`` most
-    frequent words are the size bound."""
+def segment(tags: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
+    """(tag, words, known) of distinct lower-case hashtags: as the catalogue spells them, else split by word frequency. Each
+    tag's substrings meet the frequency table in an equi join, so a table of any size is used whole."""
     tags = tags.select("tag").distinct()
     known = tags.join(cat.glued.withColumnRenamed("glued", "tag"), "tag").select("tag", F.split("key", " ").alias("words"), F.lit(True).alias("known"))
-    rows = freq.where("zipf > 0").orderBy(F.desc("zipf"), "word").limit(most_words).toArrow()
-    shared = tags.sparkSession.sparkContext.broadcast(dict(zip(rows["word"].to_pylist(), rows["zipf"].to_pylist())))
+    rest = tags.join(cat.glued.withColumnRenamed("glued", "tag"), "tag", "left_anti")
+    size = F.char_length("tag")
+    begins = rest.where(size > 0).select("tag", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.char_length("tag") - F.col("i") + 1))
+    parts = begins.select("tag", F.explode(F.transform(lengths, lambda n: F.substring(F.col("tag"), F.col("i"), n))).alias("word")).distinct()
+    found = parts.join(freq.where("zipf > 0").select("word", "zipf"), "word").groupBy("tag").agg(F.collect_list("word").alias("_words"), F.collect_list("zipf").alias("_zipf"))
 
     @F.pandas_udf(ArrayType(StringType()))
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: best_split(x, shared.value))
+    def split(tag: pd.Series, word: pd.Series, zipf: pd.Series) -> pd.Series:
+        return pd.Series([best_split(t, {} if w is None else dict(zip(w, z))) for t, w, z in zip(tag, word, zipf)])
 
-    guessed = tags.join(cat.glued.withColumnRenamed("glued", "tag"), "tag", "left_anti").select("tag", split("tag").alias("words"), F.lit(False).alias("known"))
+    guessed = rest.join(found, "tag", "left").select("tag", split("tag", "_words", "_zipf").alias("words"), F.lit(False).alias("known"))
     return known.union(guessed)
 
 

@@ -16,6 +16,8 @@ from .cluster import merge_order
 from .rank import histogram
 
 TYPO, SURE_TYPO, VARIANT = 90.0, 96.0, 85.0
+#: The zipf frequency from which a word is an ordinary one.
+ORDINARY = 3.0
 
 
 def weight(tier: Column) -> Column:
@@ -76,23 +78,82 @@ def rows(answers: DataFrame, freq: DataFrame) -> DataFrame:
     spelled = answers.groupBy("key", F.col("shown").alias("name")).agg(F.count("*").alias("n"))
     display = display_form(spelled, freq)
     ordered = lambda name, at: F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), name))), lambda x: x[at])
-    variants = spelled.join(display, "key").where("name <> title").groupBy("key").agg(ordered("name", "name").alias("variants"))
     alts = answers.select("key", F.explode("top.alternates").alias("a")).withColumn("name", T.title_clean(F.col("a.name"))).where(T.alternate_is_clean(F.col("name")))
-    alts = T.with_group_key(alts, "name", "akey").where("akey <> '' and akey <> key").groupBy("key", "name").agg(F.count("*").alias("n")).join(display, "key")
-    alts = is_variant(alts, "name", "title").where("n >= 2 or variant").groupBy("key").agg(F.slice(ordered("name", "name"), 1, 5).alias("alternates"))
-    chosen = answers.where("entity is not null").groupBy("key", F.col("entity.id").alias("id")).agg(F.count("*").alias("n"), F.first("entity").alias("e"))
-    chosen = chosen.groupBy("key").agg(F.max_by("e", F.struct("n", "id")).alias("e"))
+    alts = T.with_group_key(alts, "name", "akey").where("akey <> '' and akey <> key").groupBy("key", "name", "akey").agg(F.count("*").alias("n"))
+    works = answers.where("entity is not null").groupBy("key", F.col("entity.id").alias("id")).agg(F.count("*").alias("n"), F.first("entity").alias("e"))
+    chosen = works.groupBy("key").agg(F.max_by("e", F.struct("n", "id")).alias("e"))
+    named = database_names(answers, works, spelled)
+    display = display.join(named.select("key", "official"), "key", "left").select("key", F.coalesce("official", "title").alias("title"))
+    variants = spelled.join(display, "key").where("name <> title").groupBy("key").agg(ordered("name", "name").alias("variants"))
+    alts = is_variant(alts.join(display, "key"), "name", "title")
+    alts = database_alternates(alts, works, chosen, display)
     out = base
     for part in (genres, languages, entities, display, variants, alts, chosen):
         out = out.join(part, "key", "left")
     e = F.col("e")
     return out.select(
-        "key", F.coalesce(F.when(F.col("confirmed"), e["name"]), F.col("title")).alias("title"), "videos", "commenters", "likes", "demand", "views", "confidence", "genres", "languages", "entities", "confirmed",
+        "key", "title", "videos", "commenters", "likes", "demand", "views", "confidence", "genres", "languages", "entities", "confirmed",
         F.coalesce("variants", F.array().cast("array<string>")).alias("variants"), F.coalesce("alternates", F.array().cast("array<string>")).alias("alternates"),
         F.when(F.col("confirmed"), titledb.kind_label(e["kind"], e["country"], e["spanish"])).alias("kind"), F.when(F.col("confirmed"), e["year"]).alias("year"), F.when(F.col("confirmed"), e["url"]).alias("url"),
     )
 
 
+def _match(a: Column, b: Column) -> Column:
+    """Whether two group keys name one work: equal, equal without spaces, or long and almost equal."""
+    glued = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    return (a == b) | (glued(a) == glued(b))
+
+
+def _matched(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` whose group keys ``a`` and ``b`` name one work; the ratio is a call into Python, for long ones only."""
+    same = pairs.where(_match(F.col(a), F.col(b)))
+    long = pairs.where(~_match(F.col(a), F.col(b)) & (F.char_length(a) >= titledb.FUZZY_LENGTH) & (F.char_length(b) >= titledb.FUZZY_LENGTH) & S.can_reach(F.col(a), F.col(b), titledb.FUZZY))
+    return same.unionByName(long.where(S.ratio(a, b) >= titledb.FUZZY))
+
+
+def database_names(answers: DataFrame, works: DataFrame, spelled: DataFrame) -> DataFrame:
+    """(key, official) of confirmed rows: the database's most frequent name for the work; where nobody wrote that one, the
+    name of the database's that the most frequent spelling is; capitals taken from a spelling, or one by word."""
+    most = answers.where("entity is not null").groupBy("key", F.col("entity.name").alias("name")).agg(F.count("*").alias("n"))
+    most = settled(most.groupBy("key").agg(F.max_by("name", F.struct("n", "name")).alias("primary")))
+    written = settled(T.with_group_key(spelled.join(most.select("key"), "key", "left_semi"), "name", "said"))
+    as_entity = most.select(F.col("key").alias("title_key"), F.lit("").alias("id"), F.col("primary").alias("name"), F.array().cast("array<string>").alias("names"))
+    own = titledb.name_keys(as_entity).select(F.col("title_key").alias("row"), F.col("key").alias("known"))
+    used = _matched(written.join(own, F.col("row") == F.col("key")), "said", "known").select("key", F.lit(True).alias("used")).distinct()
+    first = written.groupBy("key").agg(F.max_by("said", F.struct("n", "name")).alias("said"))
+    each = works.select("key", "id", "n", F.posexplode("e.names").alias("at", "name")).where(F.col("name").rlike(r"^\p{ASCII}+$"))
+    parts = titledb.name_keys(each.select(F.concat_ws("\x01", "key", "id", F.col("at").cast("string")).alias("title_key"), "id", "name", F.array().cast("array<string>").alias("names"))).select("title_key", F.col("key").alias("known"))
+    each = each.withColumn("title_key", F.concat_ws("\x01", "key", "id", F.col("at").cast("string"))).join(parts, "title_key").join(first, "key")
+    other = _matched(each, "said", "known").groupBy("key").agg(F.min_by(F.trim("name"), F.struct((-F.col("n")).alias("less"), "id", "at")).alias("other"))
+    out = most.join(used, "key", "left").join(other, "key", "left").select("key", F.when(F.col("used"), F.col("primary")).otherwise(F.coalesce("other", "primary")).alias("official"))
+    out = T.with_group_key(out, "official", "okey")
+    mixed = written.where(~T.is_upper(F.col("name")) & (F.col("name") != F.lower("name"))).select("key", F.col("said").alias("okey"), "n", "name")
+    cased = mixed.groupBy("key", "okey").agg(F.max_by("name", F.struct("n", "name")).alias("cased"))
+    loud = T.is_upper(F.col("official")) & (F.char_length("official") > 3)
+    return out.join(cased, ["key", "okey"], "left").select("key", F.when(loud, F.coalesce("cased", F.initcap("official"))).otherwise(F.col("official")).alias("official"))
+
+
+def database_alternates(alts: DataFrame, works: DataFrame, chosen: DataFrame, display: DataFrame) -> DataFrame:
+    """(key, alternates) of ``alts`` (key, name, akey, n, variant): for confirmed rows the chosen work's own name, the names
+    that the database knows or that respell the title, and a romanised one; for others names that recur or respell. One
+    entry a name, in its best-cased spelling."""
+    confirmed = works.select("key").distinct().withColumn("works", F.lit(True))
+    keys = titledb.name_keys(works.select(F.col("key").alias("title_key"), "id", F.col("e.name").alias("name"), F.col("e.names").alias("names"))).select(F.col("title_key").alias("key"), F.col("key").alias("akey"), F.lit(True).alias("known")).distinct()
+    seen = alts.join(keys, ["key", "akey"], "left").join(confirmed, "key", "left")
+    keep = F.when(F.col("works"), F.coalesce("known", F.lit(False)) | F.col("variant")).otherwise((F.col("n") >= 2) | F.col("variant"))
+    seen = seen.where(keep).select("key", "name", "akey", F.lit(1).alias("turn"), "n")
+    own = T.with_group_key(display, "title", "tkey").select("key", "tkey")
+    named = T.with_group_key(chosen.select("key", F.col("e.name").alias("name")), "name", "akey").select("key", "name", "akey", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("n"))
+    roman = works.where("e.source = 'anilist'").select("key", "id", F.col("n").alias("m"), F.get("e.names", F.lit(1)).alias("name")).where(F.col("name").rlike(r"^\p{ASCII}+$") & (F.size(T.words_of(T.collapse(F.col("name")))) <= 6))
+    roman = T.with_group_key(roman, "name", "akey").join(own, "key").where("akey <> tkey").groupBy("key").agg(F.max_by(F.struct("name", "akey"), F.struct("m", "id")).alias("x"))
+    every = seen.unionByName(named).unionByName(roman.select("key", "x.name", "x.akey", F.lit(2).alias("turn"), F.lit(0).cast("long").alias("n")))
+    every = every.join(own, "key").where("akey <> tkey and akey <> ''").withColumn("case", T.case_score(F.col("name")))
+    place = F.struct("turn", (-F.col("n")).alias("less"), "name")
+    one = every.groupBy("key", "akey").agg(F.min(place).alias("place"), F.max_by("name", F.struct("case", (-F.col("turn")).alias("t"), "n", "name")).alias("name"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"])
+    return one.groupBy("key").agg(F.slice(ordered, 1, 5).alias("alternates"))
+
+
 def merge_pairs(table: DataFrame) -> DataFrame:
     """(a, b) keys of rows that may name one work: a shared entity, or a ratio of 90 (96 if both are confirmed), with equal
     numbers in them. Spelling pairs come from equal trigrams: a ratio of 90 over six or more characters leaves at least one
@@ -165,6 +226,10 @@ def build(sweep: DataFrame, freq: DataFrame, cache: DataFrame | None = None, flo
         kept = T.with_group_key(kept.withColumn("_name", F.col("entity.name")), "_name", "_ekey")
         kept = kept.withColumn("key", F.when(F.col("entity.primary"), F.col("_ekey")).otherwise(F.col("key"))).drop("_name", "_ekey")
     table = merged(rows(kept, freq)).where("commenters >= 1")
+    if cache is not None:
+        # an ordinary word that no database knows is no title
+        plain = freq.where(F.col("zipf") >= ORDINARY).select(F.col("word").alias("tkey"), F.lit(True).alias("plain"))
+        table = T.with_group_key(table, "title", "tkey").join(plain, "tkey", "left").where("confirmed or plain is null").drop("tkey", "plain")
     ranked = table.withColumn("rank", F.row_number().over(W.partitionBy("confirmed").orderBy(F.desc("videos"), F.desc("commenters"), F.desc("likes"), "key")))
     return ranked, checked.where(drop).select("vid", "shown", "query")
 
@@ -172,21 +237,31 @@ def build(sweep: DataFrame, freq: DataFrame, cache: DataFrame | None = None, flo
 ENTITY_FIELDS = "source string, id string, name string, names array<string>, kind string, country string, year int, url string, spanish boolean, rank int, searched boolean, popularity bigint, primary boolean".split(", ")
 
 
-def totals(sweep: DataFrame) -> DataFrame:
-    """One row of totals over all videos."""
+def totals(sweep: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+    """One row of totals over all videos; with the report's rows also ``distinct_titles``: the confirmed ones, or all if none
+    could be confirmed."""
     high = F.coalesce(F.get("answers", F.lit(0))["conf"] == "high", F.lit(False))
     asked = F.coalesce("asked", F.lit(0))
-    return sweep.agg(
+    foreign = F.aggregate(F.map_entries(F.coalesce("langs", F.create_map().cast("map<string,bigint>"))), F.lit(0).cast("long"), lambda s, x: s + F.when(x["key"] != "en/other", x["value"]).otherwise(0))
+    out = sweep.agg(
         F.count("*").alias("videos"), F.sum(F.coalesce("n_comments", F.lit(0))).alias("comments"), F.sum(asked).alias("people_asking"), F.count_if(asked > 0).alias("videos_with_demand"),
-        F.count_if(high).alias("videos_answered_high"), F.count_if((asked > 0) & ~high).alias("demand_gap"),
+        F.count_if(high).alias("videos_answered_high"), F.count_if((asked > 0) & ~high).alias("demand_gap"), F.coalesce(F.sum(foreign), F.lit(0)).alias("non_english_comments"),
     )
+    if ranked is None:
+        return out
+    n = F.when(F.count_if("confirmed") > 0, F.count_if("confirmed")).otherwise(F.count("*"))
+    return out.join(ranked.agg(n.alias("distinct_titles")).withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one")
 
 
 def languages(sweep: DataFrame, top: int = 12) -> DataFrame:
-    """(lang, comments, reach): comments by language, and the videos with three or more of a language other than English."""
+    """(lang, comments, reach, comments_rank, reach_rank): comments by language, and the videos with three or more of a language
+    other than English; the ``top`` languages by either, with the ranks (no more than a few languages are ranked)."""
     each = sweep.select("vid", F.explode("langs").alias("lang", "n"))
     reach = F.count_if((F.col("lang") != "en/other") & (F.col("n") >= 3))
-    return each.groupBy("lang").agg(F.sum("n").alias("comments"), reach.alias("reach")).orderBy(F.desc("comments"), "lang").limit(top)
+    counted = each.groupBy("lang").agg(F.sum("n").alias("comments"), reach.alias("reach"))
+    place = lambda c: F.row_number().over(W.orderBy(F.desc(c), "lang"))
+    ranked = counted.withColumns({"comments_rank": place("comments"), "reach_rank": F.when(F.col("reach") > 0, place("reach"))})
+    return ranked.where((F.col("comments_rank") <= top) | (F.col("reach_rank") <= top)).orderBy("comments_rank")
 
 
 def gap(sweep: DataFrame, top: int = 10) -> DataFrame:

@@ -143,18 +143,20 @@ def fold_documents(spark, sf):
     return table(spark, sf, "documents").withColumn("f", T.fold(F.col("text"))).select("doc_id", F.md5(F.col("f").cast("binary")).alias("folded"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, string_split({_FOLD.format(t="text")}, ' ') AS w FROM documents WHERE lang = 'en'), g AS (SELECT n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM w, range(1, 4) r(n))
+@query(f"""WITH w AS (SELECT doc_id, string_split({_FOLD.format(t="text")}, ' ') AS w FROM documents), g AS (SELECT n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM w, range(1, 4) r(n))
     SELECT n, count(*) AS grams, count(DISTINCT gram) AS distinct_grams FROM g GROUP BY n""")
 def ngram_sweep(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").withColumn("f", T.fold(F.col("text")))
-    grams = docs.select(F.inline(T.ngrams(T.words_of(F.col("f")), 3)))
-    return grams.groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("grams"), F.count_distinct("gram").alias("distinct_grams"))
+    docs = table(spark, sf, "documents").withColumn("f", T.fold(F.col("text")))
+    # told apart by two 64-bit hashes, so that no strings are sorted or moved
+    grams = docs.select(F.inline(T.ngrams(T.words_of(F.col("f")), 3))).select(F.col("n").cast("long").alias("n"), F.xxhash64("gram").alias("a"), F.xxhash64("gram", F.lit(7)).alias("b"))
+    each = grams.groupBy("n", "a", "b").agg(F.count("*").alias("c"))
+    return each.groupBy("n").agg(F.sum("c").alias("grams"), F.count("*").alias("distinct_grams"))
 
 
-@query(f"""WITH w AS (SELECT unnest(string_split({_FOLD.format(t="text")}, ' ')) AS word FROM documents WHERE lang = 'en'), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word)
+@query(f"""WITH w AS (SELECT unnest(string_split({_FOLD.format(t="text")}, ' ')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word)
     SELECT word, round(log10(n * 1e9 / (SELECT sum(n) FROM c)), 6) AS zipf FROM c""")
 def zipf_table(spark, sf):
-    return words.frequencies(table(spark, sf, "documents").where("lang = 'en'")).select("word", F.round("zipf", 6).alias("zipf"))
+    return words.frequencies(table(spark, sf, "documents")).select("word", F.round("zipf", 6).alias("zipf"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS span FROM part), w AS (SELECT span, unnest(string_split(span, ' ')) AS word FROM n),
@@ -230,10 +232,10 @@ def quoted_and_caps(spark, sf):
     return table(spark, sf, "documents").select("doc_id", quoted.alias("quoted"), caps.alias("caps"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, string_split({_FOLD.format(t="text")}, ' ') AS w FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before, w[i + 1] AS after FROM w, unnest(range(1, len(w) + 1)) r(i))
+@query(f"""WITH w AS (SELECT doc_id, string_split({_FOLD.format(t="text")}, ' ') AS w FROM documents), p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before, w[i + 1] AS after FROM w, unnest(range(1, len(w) + 1)) r(i))
     SELECT before, after, count(*) AS n FROM p WHERE word = 'the' GROUP BY ALL""")
 def neighbour_words(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").withColumn("f", T.fold(F.col("text")))
+    docs = table(spark, sf, "documents").withColumn("f", T.fold(F.col("text")))
     each = docs.select(F.posexplode(T.words_of(F.col("f"))).alias("i", "word"), T.words_of(F.col("f")).alias("w")).where("word = 'the'")
     return each.groupBy(F.get("w", F.col("i") - 1).alias("before"), F.get("w", F.col("i") + 1).alias("after")).agg(F.count("*").alias("n"))
 
@@ -317,14 +319,14 @@ def report_rollup(spark, sf):
 
 
 @query(f"""WITH {view.SQL} SELECT count(*) AS videos, sum(o_orderkey % 13)::BIGINT AS comments, sum(o_orderkey % 11)::BIGINT AS people_asking, count(*) FILTER (o_orderkey % 11 > 0) AS videos_with_demand,
-    count(*) FILTER (o_orderkey % 3 = 0) AS videos_answered_high, count(*) FILTER (o_orderkey % 11 > 0 AND o_orderkey % 3 <> 0) AS demand_gap FROM titled""")
+    count(*) FILTER (o_orderkey % 3 = 0) AS videos_answered_high, count(*) FILTER (o_orderkey % 11 > 0 AND o_orderkey % 3 <> 0) AS demand_gap, sum(o_orderkey % 4)::BIGINT AS non_english_comments FROM titled""")
 def report_totals(spark, sf):
     return report.totals(_sweep(spark, sf))
 
 
 @query(f"""WITH {view.SQL} SELECT 'en/other' AS lang, sum(o_orderkey % 5)::BIGINT AS comments, 0::BIGINT AS reach FROM titled UNION ALL SELECT 'es', sum(o_orderkey % 4)::BIGINT, count(*) FILTER (o_orderkey % 4 >= 3) FROM titled""")
 def language_reach(spark, sf):
-    return report.languages(_sweep(spark, sf))
+    return report.languages(_sweep(spark, sf)).select("lang", "comments", "reach")
 
 
 @query(f"WITH {view.SQL} SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Korean' ELSE 'Anime' END AS genre, count(*) AS videos FROM titled GROUP BY ALL")
@@ -365,19 +367,19 @@ def _entities(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     kind = F.when(k % 3 == 0, "drama").when(k % 3 == 1, "film").otherwise("manhwa")
     country = F.when(k % 4 == 0, "KR").when(k % 4 == 1, "TR").when(k % 4 == 2, "US")
-    return table(spark, sf, "part").where("p_partkey < 200").select(
+    return table(spark, sf, "part").select(
         F.col("p_name").alias("title_key"), F.lit("anilist").alias("source"), k.cast("string").alias("id"), F.col("p_name").alias("name"), F.array("p_name").alias("names"), kind.alias("kind"), country.alias("country"),
         (F.lit(1990) + F.col("p_size") % 30).cast("int").alias("year"), F.lit("").alias("url"), F.lit(False).alias("spanish"), F.lit(0).alias("rank"), F.lit(False).alias("searched"), k.alias("popularity"),
     )
 
 
-_ENTITY = """e AS (SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'drama' WHEN 1 THEN 'film' ELSE 'manhwa' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'KR' WHEN 1 THEN 'TR' WHEN 2 THEN 'US' END AS country, 1990 + p_size % 30 AS year FROM part WHERE p_partkey < 200)"""
+_ENTITY = """e AS (SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'drama' WHEN 1 THEN 'film' ELSE 'manhwa' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'KR' WHEN 1 THEN 'TR' WHEN 2 THEN 'US' END AS country, 1990 + p_size % 30 AS year FROM part)"""
 
 
 @query(f"""WITH {_ENTITY}, v AS (SELECT DISTINCT p_name AS title FROM part), f AS (SELECT title, e.*, CASE WHEN country = 'KR' THEN 1 ELSE 0 END AS known,
         country = 'KR' OR (country IS NULL AND kind IN ('drama', 'film') AND year >= 1995) AS fit FROM v LEFT JOIN e ON e.name = v.title)
     SELECT title, CASE WHEN bool_or(coalesce(fit, false)) THEN 'confirmed' WHEN count(id) > 0 THEN 'contradicted' ELSE 'unconfirmed' END AS status,
-           arg_max(id, known * 1000000 + (kind IN ('drama', 'film'))::INT * 100000 + id) FILTER (fit)::VARCHAR AS entity FROM f GROUP BY title""")
+           arg_max(id, known * 100000000000000 + (kind IN ('drama', 'film'))::INT * 10000000000000 + id) FILTER (fit)::VARCHAR AS entity FROM f GROUP BY title""")
 def entity_choice(spark, sf):
     titles = table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct()
     videos = titles.select(F.col("title").alias("vid"), "title", F.array(F.lit("Korean")).alias("segments"), F.lit(True).alias("live"))
@@ -396,10 +398,10 @@ def wiki_variants(spark, sf):
     return titledb.wiki_variants(table(spark, sf, "part").select(F.col("p_name").alias("title")).distinct()).select("title", "variant")
 
 
-@query("SELECT DISTINCT p_name AS key FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey < 100)")
+@query("SELECT DISTINCT p_name AS key FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_name < 'm')")
 def cache_missing(spark, sf):
     keys = table(spark, sf, "part").select(F.lit("anilist").alias("source"), F.col("p_name").alias("key"), "p_partkey")
-    return store.missing(keys, keys.where("p_partkey < 100")).select("key")
+    return store.missing(keys, keys.where("key < 'm'")).select("key")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 3 > 0 THEN (o_custkey % 3) || CASE WHEN o_custkey % 3 = 1 THEN ' person' ELSE ' people' END || ' named it in the comments' || CASE WHEN o_custkey % 2 = 0 THEN ', and it matches what the uploader wrote.' ELSE '.' END ELSE 'The uploader wrote it, and it matches a known title.' END
@@ -486,13 +488,13 @@ def greedy_cluster(spark, sf):
 
 @query()
 def segment_hashtags(spark, sf):
-    cat = catalogue.index(view.catalogue_rows(spark, sf).where("prio % 2 = 0"))
+    cat = catalogue.index(view.catalogue_rows(spark, sf).where("canonical < 'm'"))
     tags = table(spark, sf, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("tag")).distinct()
     return metadata.segment(tags, cat, words.frequencies(table(spark, sf, "part"), "p_name")).select("tag", F.array_join("words", " ").alias("phrase"), "known")
 
 
 def _library(spark: SparkSession, sf: str):
-    return catalogue.index(view.catalogue_rows(spark, sf)), words.frequencies(table(spark, sf, "documents").where("lang = 'en'"))
+    return catalogue.index(view.catalogue_rows(spark, sf)), words.frequencies(table(spark, sf, "documents"))
 
 
 @query()
@@ -503,7 +505,7 @@ def extract_mentions(spark, sf):
 
 @query()
 def discover_titles(spark, sf):
-    return discover.discover(view.threads(spark, sf), words.frequencies(table(spark, sf, "documents").where("lang = 'en'"))).select("video_id", "rank", "title", "commenters", "likes", "strength")
+    return discover.discover(view.threads(spark, sf), words.frequencies(table(spark, sf, "documents"))).select("video_id", "rank", "title", "commenters", "likes", "strength")
 
 
 @query()
@@ -524,15 +526,27 @@ def _meta(spark: SparkSession, sf: str) -> DataFrame:
     return t.select((F.col("o_custkey") % 50).cast("string").alias("id"), F.concat(F.lit("Ep 3 | "), name, F.lit(" | MBC #"), F.replace("title", F.lit(" "), F.lit(""))).alias("title"), F.lit("ch").alias("channel"), F.concat(F.lit("Title : "), name, F.lit("\nmore")).alias("description"), F.array(F.lit("some tag")).alias("tags"), F.lit(1).alias("comment_count"))
 
 
+def _works(spark: SparkSession, sf: str) -> DataFrame:
+    """A title-database cache over the part names: those below 'm' are works under their capitalised name, those from 'm' to
+    's' are known to the database as nothing of the kind (of a country and year that fits no video), others not at all."""
+    name = F.col("key")
+    media = F.struct(
+        F.abs(F.xxhash64("key")).alias("id"), F.lit("ANIME").alias("type"), F.lit("TV").alias("format"), F.when(name < "m", "KR").otherwise("US").alias("countryOfOrigin"), F.struct(F.initcap("key").alias("english")).alias("title"),
+        F.array(F.concat(F.lit("The Tale of "), F.initcap("key"))).alias("synonyms"), F.struct(F.lit(2015).alias("year")).alias("startDate"), F.lit(5).alias("popularity"), F.lit("u").alias("siteUrl"),
+    )
+    titles = table(spark, sf, "part").select(F.col("p_name").alias("key")).distinct().where("key < 's'")
+    return titles.select(F.lit("anilist").alias("source"), "key", F.to_json(F.array(media)).alias("payload"))
+
+
 @query()
 def report_titles(spark, sf):
-    ranked, _ = report.build(_sweep(spark, sf), words.frequencies(table(spark, sf, "part"), "p_name"))
-    return ranked.select("rank", "key", "title", "videos", "commenters", "likes", "demand", "confidence")
+    ranked, _ = report.build(_sweep(spark, sf), words.frequencies(table(spark, sf, "part"), "p_name"), _works(spark, sf).select(*[f.split()[0] for f in store.SCHEMA.split(", ")]))
+    return ranked.select("confirmed", "rank", "key", "title", "videos", "commenters", "likes", "demand", "confidence", "kind")
 
 
 @query()
 def learned_titles(spark, sf):
-    cat = catalogue.index(view.catalogue_rows(spark, sf).where("prio % 2 = 0"))
+    cat = catalogue.index(view.catalogue_rows(spark, sf).where("canonical < 'm'"))
     return learn.learned(_sweep(spark, sf), cat, spark.createDataFrame([], "word string, zipf double")).select("canonical", "kind", F.array_join("aliases", ",").alias("aliases"))
 
 
