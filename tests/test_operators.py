@@ -149,6 +149,23 @@ def test_report_over_a_database(spark):
     spark.catalog.clearCache()
 
 
+def test_frames_are_tried_wherever_they_match(spark):
+    from threadlens.functions import patterns as P
+
+    assert len(P.FRAME_WORDS) == len(P.FRAMES)
+    said = [
+        "SE LLAMA Hidden Love", "El título es Alfa", "nombre: Beta", "se CHAMA Gama", "o nome é Delta", "НАЗЫВАЕТСЯ Эпсилон", "название: Дзета", "dizinin adı Eta", "filmin ADI Theta", "ismİ: Iota", "ısmi: Kappa",
+        "naam: Lambda", "Mu naam hai", "naaam Nu hai", "اسم المسلسل: Xi", "judulnya Omicron", "ça s'appelle Pi", "le TITRE est Rho", "das heißt Sigma", "das HEISST Tau", "si chiama Upsilon", "tên phim là Phi", "truyện", "ชื่อเรื่อง Chi",
+        "제목은 Psi", "タイトルは Omega", "片名是 Alef", "pamagat ay Bet", "tytuł: Gimel", "the drama name is Dalet", "TITLE: He", "it's called Vav", "thiſ is called Zayin", 'so "Het" then', "“Tet”", "Yod is on NETFLIX", "Kaf manhwa", "Lamed Drama",
+        "look up Mem", "WATCH Nun", "boo\u212a", "nothing here", "", None,
+    ]
+    comments = spark.createDataFrame([(str(i % 3), i, str(i), "a", t, 1) for i, t in enumerate(said)], readers.COMMENT if hasattr(readers, "COMMENT") else "video_id string, seq long, id string, author string, text string, likes long")
+    body = discover.bodies(comments)
+    rows = lambda held: sorted(map(tuple, discover.frame_slots(body, P.FRAMES, held=held).collect()))
+    every = rows(None)
+    assert rows(P.FRAME_WORDS) == every and len({r[2] for r in every}) >= 20 and len(every) >= 35
+
+
 def test_learned(spark, cat, freq):
     a = [("Lily Fever", "high", ["comments:4"], 4, 2, [("Lily Fevr", "aka")]), ("Monster", "high", ["comments:4"], 4, 2, []), ("Dune", "low", ["comments:9"], 9, 0, []), ("Rare Thing", "low", ["comments:1"], 1, 0, [])]
     sweep = spark.createDataFrame([("1", "q", "t", 0, 0, 0, {}, a)], readers.SWEEP)

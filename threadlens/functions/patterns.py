@@ -75,6 +75,17 @@ ENGLISH_FRAMES = [
     ("watchrec", r"\b(?:watch|read|search|look\s+up)\s+[\"“']?([A-Z][^\n\"“”'.!?]{2,58})", False),
 ]
 FRAMES = [(f"lang:{lang}", rx(p)) for lang, p in LANGUAGE_FRAMES] + [(name, rx(p, any_case)) for name, p, any_case in ENGLISH_FRAMES]
+#: For each of FRAMES, words of which every match holds one, in lower case and with ı for i and ſ for s: a comment without
+#: any of them need not be tried. Follows from the patterns.
+_WORK_WORDS = "drama show movie film series manhwa manhua webtoon manga anime book novel"
+FRAME_WORDS = [
+    tuple(x.split())
+    for x in (
+        "llama", "nombre título titulo", "nombre título titulo", "chama", "nome", "называется", "назван", "adi ismi", "adi ismi", "nam aam", "nam aam", "nam aam", "اسم", "judul",
+        "s'appelle", "nom titre", "heißt heisst", "chiama", "phim truy", "ชื่อเรื่อง", "제목", "タイトルは", "名字 片名", "pamagat", "tytu",
+        "name title", "name title", "called", '" “', "netflix viki disney prime crunchyroll webtoon tapas", _WORK_WORDS, "watch read search look",
+    )
+]
 SLOT_TRAIL = rx(
     r"(?:\s+|\s*\()(?:on\s+)?(?:netflix|viki|disney\+?|prime|crunchyroll|tapas|webtoons?|available|and\s|but\s|its\s|it'?s\s|thanks?\s|you\s+can\s|from\s+\d{4}"
     r"|\(?\d{4}\)?|season\s*\d|ep\s*\d|episode\s*\d|y\s|e\s|et\s|und\s|и\s|ve\s|dan\s|v[àa]\s|و\s|aur\s|por\s+favor|plis|pls|gracias)\b.*$"

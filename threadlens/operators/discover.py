@@ -22,11 +22,17 @@ def bodies(comments: DataFrame) -> DataFrame:
     return comments.withColumns({"text": F.coalesce("text", F.lit("")), "likes": F.coalesce("likes", F.lit(0)), "author": F.coalesce("author", F.lit(""))}).withColumn("body", T.clean(F.col("text")))
 
 
-def frame_slots(body: DataFrame, frames: list[tuple[str, str]], column: str = "body") -> DataFrame:
-    """(video_id, seq, frame, frame_no, match_no, raw): the first group of every match of every frame."""
-    each = F.array(*(F.struct(F.lit(name).alias("frame"), F.lit(i).alias("frame_no"), F.regexp_extract_all(F.col(column), F.lit(p), F.lit(1)).alias("found")) for i, (name, p) in enumerate(frames)))
-    open_ = body.select(*COMMENT, F.inline(F.filter(each, lambda x: F.size(x["found"]) > 0)))
-    return open_.select(*COMMENT, "frame", "frame_no", F.posexplode("found").alias("match_no", "raw"))
+def frame_slots(body: DataFrame, frames: list[tuple[str, str]], column: str = "body", held: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """(video_id, seq, frame, frame_no, match_no, raw): the first group of every match of every frame. ``held``: words of which
+    each match of a frame holds one; a frame is only tried on comments that do, and as a row of its own, so that the
+    generated code has one pattern match in place of one for each frame."""
+    # what a match in any case takes for i, s and k is these letters here
+    plain = F.translate(F.lower(F.translate(column, "İı", "ii")), "ſ", "s")
+    some = lambda words_: F.greatest(*(F.contains("_plain", F.lit(w)) for w in words_)) if len(words_) > 1 else F.contains("_plain", F.lit(words_[0]))
+    row = lambda i, name, p: F.struct(F.lit(name).alias("frame"), F.lit(i).alias("frame_no"), F.lit(p).alias("_pattern"))
+    each = F.array(*(F.when(some(held[i]), row(i, name, p)) if held else row(i, name, p) for i, (name, p) in enumerate(frames)))
+    tried = body.select(*COMMENT, column, plain.alias("_plain")).select(*COMMENT, column, F.inline(F.array_compact(each)))
+    return tried.select(*COMMENT, "frame", "frame_no", F.posexplode(F.regexp_extract_all(column, F.col("_pattern"), F.lit(1))).alias("match_no", "raw"))
 
 
 def slots(hits: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def thread_answers(body: DataFrame, freq: DataFrame) -> DataFrame:
 
 def hits(body: DataFrame, freq: DataFrame) -> DataFrame:
     """(video_id, seq, frame, ord, slot, folded): every stated slot; thread answers come after all frames of a video."""
-    stated = slots(frame_slots(body.where("body <> ''"), P.FRAMES)).where((F.col("frame") != "premedia") | T.is_title_case(F.col("slot")))
+    stated = slots(frame_slots(body.where("body <> ''"), P.FRAMES, held=P.FRAME_WORDS)).where((F.col("frame") != "premedia") | T.is_title_case(F.col("slot")))
     columns = [*COMMENT, "frame", "frame_no", "match_no", "slot", "folded"]
     every = stated.select(*columns).union(thread_answers(body, freq).select(*columns))
     return every.withColumn("late", (F.col("frame") == "replyto").cast("int"))

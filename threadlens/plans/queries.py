@@ -248,13 +248,13 @@ _SHAPES = """SELECT video_id, comment_id, author, likes, title AS slot, CASE com
 @query(f"WITH {view.SQL} SELECT comment_id, frame, slot FROM ({_SHAPES})")
 def frame_extract(spark, sf):
     body = discover.bodies(view.threads(spark, sf))
-    return discover.slots(discover.frame_slots(body, P.FRAMES)).select(F.col("seq").alias("comment_id"), "frame", "slot")
+    return discover.slots(discover.frame_slots(body, P.FRAMES, held=P.FRAME_WORDS)).select(F.col("seq").alias("comment_id"), "frame", "slot")
 
 
 @query(f"WITH {view.SQL} SELECT video_id::VARCHAR AS video_id, frame, count(*) AS n FROM ({_SHAPES}) GROUP BY ALL")
 def frame_histogram(spark, sf):
     body = discover.bodies(view.threads(spark, sf))
-    hits = discover.slots(discover.frame_slots(body, P.FRAMES))
+    hits = discover.slots(discover.frame_slots(body, P.FRAMES, held=P.FRAME_WORDS))
     return rank.histogram(hits, ["video_id"], "frame", "frames").select("video_id", F.explode("frames").alias("frame", "n"))
 
 
