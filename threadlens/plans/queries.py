@@ -467,26 +467,35 @@ def hourly_windows(spark, sf):
     return state.windowed(table(spark, sf, "events"), "event_type").select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
 
 
-# ---- without SQL: order-dependent, iterative or model-based; tests hold them against plain versions
+# ---- order-dependent: SQL goes through each key's events one by one
 
+_GATE = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    g AS (SELECT user_id, event_id, n, true AS accepted, t AS last, NULL::BIGINT AS earlier FROM e WHERE n = 1
+        UNION ALL SELECT user_id, event_id, n, ok, CASE WHEN ok THEN t ELSE last END, CASE WHEN ok THEN last ELSE earlier END
+        FROM (SELECT e.*, g.last, g.earlier, coalesce(e.t - g.{held} >= {us}, true) AS ok FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1))
+    SELECT user_id, event_id, {out} FROM g"""
 
-@query()
+
+@query(_GATE.format(held="earlier", us=3_600_000_000, out="accepted"))
 def rate_limit(spark, sf):
     return state.gate(table(spark, sf, "events"), "user_id", 2, 3600.0)
 
 
-@query()
+@query(_GATE.format(held="last", us=21_600_000_000, out="NOT accepted AS hit"))
 def answer_cache(spark, sf):
     return state.cached(table(spark, sf, "events"), "user_id", 6 * 3600.0)
 
 
+# ---- clusters and what follows from them have no SQL; the others' rows follow from the comment view
+
+
 @query()
 def greedy_cluster(spark, sf):
     named = _perturbed(spark, sf).select((F.col("p_partkey") % 20).alias("video_id"), F.col("p_partkey").alias("seq"), "name")
     return cluster.with_leader(named, "video_id", "name", ["seq"])
 
 
-@query()
+@query("SELECT DISTINCT replace(p_name, ' ', '') AS tag, p_name AS phrase, p_name < 'm' AS known FROM part")
 def segment_hashtags(spark, sf):
     cat = catalogue.index(view.catalogue_rows(spark, sf).where("canonical < 'm'"))
     tags = table(spark, sf, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("tag")).distinct()
@@ -497,10 +506,12 @@ def _library(spark: SparkSession, sf: str):
     return catalogue.index(view.catalogue_rows(spark, sf)), words.frequencies(table(spark, sf, "documents"))
 
 
-@query()
+@query(f"""WITH {view.SQL}, w AS (SELECT unnest(string_split({_FOLD.format(t="text")}, ' ')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word), z AS (SELECT word, log10(n * 1e9 / (SELECT sum(n) FROM n)) AS zipf FROM n),
+    a AS (SELECT title, min(coalesce(zipf, 0)) - 1.2 * (count(*) - 1) AS ambiguity FROM (SELECT title, unnest(string_split(title, ' ')) AS word FROM (SELECT DISTINCT title FROM c)) LEFT JOIN z USING (word) GROUP BY title)
+    SELECT video_id::VARCHAR AS video_id, comment_id AS seq, title AS canonical, 'exact' AS method, 100.0::DOUBLE AS score, round(ambiguity, 6)::DOUBLE AS ambiguity, CASE comment_id % 6 WHEN 0 THEN 6 WHEN 2 THEN 5 ELSE 2 END AS evidence FROM c JOIN a USING (title) WHERE comment_id % 6 < 4""")
 def extract_mentions(spark, sf):
     cat, freq = _library(spark, sf)
-    return extract.mentions(view.threads(spark, sf), cat, freq).select("video_id", "seq", "canonical", "method", "score", "ambiguity", "evidence")
+    return extract.mentions(view.threads(spark, sf), cat, freq).select("video_id", "seq", "canonical", "method", "score", F.round("ambiguity", 6).alias("ambiguity"), "evidence")
 
 
 @query()
@@ -514,7 +525,9 @@ def analyze_videos(spark, sf):
     return fusion.analyze(view.threads(spark, sf), cat, freq).select("video_id", "rank", "title", "confidence", "commenters", "likes")
 
 
-@query()
+@query(f"""WITH {view.SQL}, m AS (SELECT o_custkey % 50 AS v, title, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS n FROM titled),
+    t AS (SELECT v::VARCHAR AS video_id, array_to_string(list_transform(string_split(title, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM m WHERE n = 1)
+    SELECT video_id, unnest([name, 'Title : ' || name, 'some tag']) AS text, unnest(['title', 'description', 'tag']) AS source, unnest([0.85, 0.68, 0.4])::DOUBLE AS confidence, unnest([1, 2, 3]) AS ord FROM t""")
 def metadata_candidates(spark, sf):
     cat, freq = _library(spark, sf)
     return metadata.candidates(_meta(spark, sf), cat, freq).select("video_id", "text", "source", "confidence", "ord")
