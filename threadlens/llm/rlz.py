@@ -44,7 +44,7 @@ from .common import Rolling, give_back, hashes, mix, rows_of, slices, stage, wor
 WINDOW = 35
 SEED = 8
 #: Distinct pieces of a block that are indexed together, and words that a task indexes at once.
-MOST = 4_096
+MOST = 20_000
 INDEXED = 1_000_000
 
 
