@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import similarity as S
 from ..functions import text as T
 from ..functions.lineage import settled
-from ..functions.similarity import indel
 from . import report, words
 from .catalogue import Catalogue
+from .cluster import led
 
 
 def learned(sweep: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
@@ -24,21 +24,11 @@ def learned(sweep: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
     a = words.with_ambiguity(a.join(common, "key", "left_anti"), freq, "name").where("ambiguity < 5.0").transform(settled)
     names = a.groupBy("key", "name").agg(F.count("*").alias("n"))
     total = names.groupBy("key").agg(F.sum("n").alias("videos"), F.sum("n").alias("commenters"), F.lit(False).alias("confirmed"), F.lit(None).cast("map<string,bigint>").alias("entities"))
-    pairs = report.merge_pairs(settled(total)).join(total.select(F.col("key").alias("a"), "videos"), "a")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        videos = dict(zip(pdf["a"], pdf["videos"]))
-        order = sorted(videos, key=lambda k: (-videos[k], k))
-        into: dict[str, str] = {}
-        near: dict[str, set[str]] = {}
-        for x, y in zip(pdf["a"], pdf["b"]):
-            near.setdefault(x, set()).add(y)
-        for i, k in enumerate(order):
-            if k not in into:
-                into |= {o: k for o in order[i + 1 :] if o not in into and len(o) >= 6 and o in near.get(k, ()) and indel(k, o) >= 90}
-        return pd.DataFrame(list(into.items()), columns=["key", "into"])
-
-    into = pairs.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(work, "key string, into string")
+    total = settled(total)
+    # the more often named of two leads, then the one earlier in the alphabet
+    place = lambda c: total.select(F.col("key").alias(c), F.struct((-F.col("videos")).alias("less"), "key").alias(f"{c}_at"))
+    pairs = report.merge_pairs(total).join(place("a"), "a").join(place("b"), "b").where("a_at < b_at").where(S.can_reach(F.col("a"), F.col("b"), 90.0))
+    into = settled(led(pairs.where(S.ratio("a", "b") >= 90).select("a", F.col("a_at").alias("at"), "b"), []).select(F.col("b").alias("key"), F.col("leader").alias("into")))
     joined = lambda df: df.join(into, "key", "left").withColumn("key", F.coalesce("into", "key")).drop("into")
     names = joined(names).groupBy("key", "name").agg(F.sum("n").alias("n"))
     new = names.join(cat.alias.select("key"), "key", "left_anti")

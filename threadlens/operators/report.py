@@ -12,7 +12,8 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..functions.lineage import settled
 from . import titledb, words
-from .cluster import merge_order
+from .cluster import merge_order, similar
+from .components import components
 from .rank import histogram
 
 TYPO, SURE_TYPO, VARIANT = 90.0, 96.0, 85.0
@@ -156,14 +157,11 @@ def database_alternates(alts: DataFrame, works: DataFrame, chosen: DataFrame, di
 
 def merge_pairs(table: DataFrame) -> DataFrame:
     """(a, b) keys of rows that may name one work: a shared entity, or a ratio of 90 (96 if both are confirmed), with equal
-    numbers in them. Spelling pairs come from equal trigrams: a ratio of 90 over six or more characters leaves at least one
-    run of three, so no such pair is missed."""
+    numbers in them."""
     r = table.select("key", "confirmed", F.map_keys(F.coalesce("entities", F.create_map().cast("map<string,bigint>"))).alias("ids"), F.regexp_extract_all("key", F.lit(r"\d+"), F.lit(0)).alias("digits"))
     ids = r.select("key", F.explode("ids").alias("id"))
     shared = ids.join(ids.select(F.col("key").alias("other"), "id"), "id").where("key <> other").select("key", "other", F.lit(True).alias("work")).distinct()
-    tri = r.select("key", F.explode(T.trigrams(F.col("key"))).alias("tri"))
-    near = tri.join(tri.select(F.col("key").alias("other"), "tri"), "tri").where("key < other").select("key", "other").distinct()
-    near = near.where(S.can_reach(F.col("key"), F.col("other"), TYPO)).withColumn("ratio", S.ratio("key", "other")).where(F.col("ratio") >= TYPO)
+    near = settled(similar(r, [], "key", TYPO).select(F.col("a").alias("key"), F.col("b").alias("other"), "ratio"))
     near = near.unionByName(near.select(F.col("other").alias("key"), F.col("key").alias("other"), "ratio"))
     every = near.join(shared, ["key", "other"], "full").join(r, "key").join(r.select(F.col("key").alias("other"), F.col("confirmed").alias("other_confirmed"), F.col("digits").alias("other_digits")), "other")
     ok = F.coalesce("work", F.lit(False)) | (F.coalesce("ratio", F.lit(0.0)) >= SURE_TYPO) | (~(F.col("confirmed") & F.col("other_confirmed")) & F.col("ratio").isNotNull())
@@ -172,22 +170,19 @@ def merge_pairs(table: DataFrame) -> DataFrame:
 
 def merged(table: DataFrame) -> DataFrame:
     """``table`` with rows of one work merged into the strongest. Only rows that pair with another go through the ordered
-    step; the rest of the table is untouched by it."""
+    step, each connected component of them by itself; the rest of the table is untouched by it."""
     table = settled(table)
     pairs = settled(merge_pairs(table))
-    some = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).join(table.select("key", "videos", "commenters"), "key")
+    own = components(pairs)
+    some = own.join(table.select(F.col("key").alias("node"), "videos", "commenters"), "node")
+    linked = some.select("root", F.col("node").alias("key"), "videos", "commenters").join(pairs.groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("others")), "key", "left")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = set(zip(pdf["key"], pdf["other"]))
-        rows_ = pdf[["key", "videos", "commenters"]].drop_duplicates("key").sort_values(["videos", "commenters", "key"], ascending=[False, False, True])
-        known = set(rows_["key"])
-        to = merge_order(rows_, {(a, b) for a, b in links if b in known})
-        return pd.DataFrame(list(to.items()), columns=["key", "into"])
-
-    back = some.select(F.col("other").alias("key"), F.col("key").alias("other")).join(table.select("key", "videos", "commenters"), "key").join(some.select("key", "other"), ["key", "other"], "left_anti")
-    # the ranks of both sides of a pair are needed: keys that only appear as a second get a pair with themselves
-    both = some.unionByName(back.withColumn("other", F.col("key")))
-    into = both.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(work, "key string, into string")
+        pdf = pdf.sort_values(["videos", "commenters", "key"], ascending=[False, False, True])
+        links = {(key, other) for key, others in zip(pdf["key"], pdf["others"]) if others is not None for other in others}
+        return pd.DataFrame(list(merge_order(pdf, links).items()), columns=["key", "into"])
+
+    into = linked.groupBy("root").applyInPandas(work, "key string, into string")
     return _combine(table.join(into, "key", "left").withColumn("into", F.coalesce("into", "key")))
 
 
