@@ -376,6 +376,25 @@ def plain_scores(rows, labels, held):
     return [min(x, threshold) - hashed.REJECT if y > most + 1e-9 else x for x, y in zip(scores, against)], threshold
 
 
+def test_model_counts_every_label(spark, monkeypatch):
+    n, seen = 150_000, []
+    text = F.expr(f"concat('w', id % 97, ' x', pmod(xxhash64(id), if(id < {n}, 4001, 97)), ' y', pmod(xxhash64(id, 5), 7))")
+    made = spark.range(n + 31_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    marks = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic").union(spark.range(n + 30_000, n + 31_000).selectExpr("id", "1", "1"))
+    ratio, evidence = hashed.log_ratio, hashed.evidence
+    monkeypatch.setattr(hashed, "log_ratio", lambda target, raw: seen.append(target[: hashed.WORDS].sum()) or ratio(target, raw))
+    monkeypatch.setattr(hashed, "evidence", lambda size, documents: seen.append(size.tolist()) or evidence(size, documents))
+    fitted = hashed.model(made, marks)
+    out = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0
+    clean, toxic = (made.where(~out).where(c).count() for c in (f"doc_id < {n}", f"doc_id >= {n + 30_000}"))
+    assert clean > 100_000 and seen == [3 * clean, [clean, toxic]]
+    aside = pa.array([r.text for r in made.where(out).where(f"doc_id < {n}").collect()])
+    lost = int(0.005 * len(aside))
+    scores, against = np.sort(hashed.score(aside, fitted.ratio)), np.sort(hashed.against(aside, fitted.toxic))
+    assert len(aside) > 20_000 and abs(fitted.threshold - min(0.0, scores[lost])) < 1e-12 and abs(fitted.most - against[-1 - lost]) < 1e-12
+    assert scores[lost] < 0 and len(np.unique(np.round(scores[: 4 * lost], 9))) > lost
+
+
 def test_weights_and_verdicts_by_brute_force(spark, docs):
     r = random.Random(4)
     prose = lambda words, n: " ".join(r.choice(words) for _ in range(n))

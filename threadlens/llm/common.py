@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes, however many rows Spark puts in a batch.
 SLICE_BYTES = 8 << 20
@@ -206,6 +207,34 @@ def rows_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as longs in the same order."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def unordered(x: int) -> float:
+    """The double of which ``ordered`` makes this long."""
+    return float(np.array([x if x >= 0 else x ^ ((1 << 63) - 1)], np.int64).view(np.float64)[0])
+
+
+def kth_key(keys: DataFrame, column: str, k: int) -> int | None:
+    """The k-th greatest of a column of longs, or None if there are fewer than k."""
+    keys = keys.select(F.col(column).bitwiseXOR(F.lit(-(1 << 63))).alias("_u"))  # the order of unsigned numbers
+    prefix, left = None, k
+    for shift in (48, 32, 16, 0):
+        part = keys if prefix is None else keys.where(F.shiftrightunsigned("_u", shift + 16) == prefix)
+        got = part.groupBy((F.shiftrightunsigned("_u", shift).bitwiseAND(0xFFFF)).alias("digit")).count().collect()  # at most 65,536 rows
+        for digit, n in sorted(((r["digit"], r["count"]) for r in got), reverse=True):
+            if left <= n:
+                prefix = digit if prefix is None else (prefix << 16) | digit
+                break
+            left -= n
+        else:
+            return None
+    return prefix - (1 << 63)
+
+
 class IdCache:
     """Token ids of strings, learned from ``learn`` (strings to lists of ids) once and then found by a 128-bit hash in
     sorted arrays, some 50 bytes a string. The arrays are emptied when they would hold more than ``most`` strings."""

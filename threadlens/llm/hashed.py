@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, hashes, mix, rows_of, slices, words
+from .common import give_back, hashes, kth_key, mix, ordered, rows_of, slices, stage, unordered, words
 
 WORDS = 1 << 20
 PAIRS = 1 << 18
@@ -28,6 +28,8 @@ MORE_TOXIC = 8
 REJECT = 1.0
 #: Features of ratio one that every text is given, so that short texts score near zero.
 PRIOR = 20
+#: Longs of the filter of labelled ids, which is broadcast.
+FILTER_WORDS = 1 << 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,43 +161,49 @@ class Model:
         return np.where(against(texts, self.toxic) > self.most, np.minimum(value, self.threshold) - REJECT, value)
 
 
-def bounded_sample(ids: DataFrame, most: int, salt: int) -> DataFrame:
-    """About ``most`` rows of ``ids`` (doc_id) by hash, and surely no more than twice as many, or all of fewer."""
-    n = ids.count()
-    if n > most:
-        ids = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return ids.limit(2 * most)
-
-
-def model(docs: DataFrame, labels: DataFrame, held: int = 5, most_target: int = 100_000, most_held: int = 20_000, clean_loss: float = 0.005) -> Model:
-    """The model from all of ``docs`` as the raw corpus and, as the trusted target, those labelled quality 1 and toxic 0: a
-    sample of about ``most_target`` ids, whose size bound lets it be broadcast, as does that of the ids labelled toxic,
-    whose words are compared with the target's. One labelled document in ``held`` (by hash of its id) is kept out of all
-    counts; of about ``most_held`` trusted ones of these, the threshold is the ``clean_loss`` quantile of the scores, and at
-    most zero, and the same share may have more evidence of toxic text than is allowed. Without labels every ratio and the
-    threshold are zero."""
-    known = labels.where("doc_id is not null")
-    good = known.groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_good")).where("_good").select("doc_id")
-    out = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(held)) == 0
-    chosen, aside = bounded_sample(good.where(~out), most_target, 13), bounded_sample(good.where(out), most_held, 12)
-    bad = bounded_sample(known.where("toxic = 1").select("doc_id").distinct().where(~out), most_target, 14)
-    marked = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("_target", F.lit(True))), "doc_id", "left").withColumn("_raw", F.lit(True))
-    target, raw = counts(marked, ["_target", "_raw"])
-    ratio = log_ratio(target, raw).astype(np.float32)
-    labelled = chosen.withColumns({"_clean": F.lit(True), "_toxic": F.lit(False)}).union(bad.withColumns({"_clean": F.lit(False), "_toxic": F.lit(True)}))
-    toxic = evidence(*word_documents(docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id"), ["_clean", "_toxic"])).astype(np.float32)
-    sample = docs.select("doc_id", "text").join(F.broadcast(aside), "doc_id").select("text")
-    shared = docs.sparkSession.sparkContext.broadcast((ratio, toxic))
+def quantiles(texts: DataFrame, ratio: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, float] | None:
+    """Of the scores of ``texts`` and of the evidence against them, those that ``share`` of the texts are below, or above; None
+    without texts. Found by radix selection over stored numbers, of which none are gathered."""
+    shared = texts.sparkSession.sparkContext.broadcast((ratio, toxic))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=4 << 20):
-                texts = part.column("text")
-                yield pa.record_batch([pa.array(score(texts, shared.value[0])), pa.array(against(texts, shared.value[1]))], names=["score", "toxic"])
-
-    got = sample.mapInArrow(work, "score double, toxic double").toArrow()  # about most_held numbers
-    if not len(got):
-        return Model(ratio, 0.0, toxic, float("inf"))
-    low, high = np.sort(got["score"].to_numpy()), np.sort(got["toxic"].to_numpy())
-    lost = int(clean_loss * len(got))
-    return Model(ratio, min(0.0, float(low[lost])), toxic, float(high[-1 - lost]))
+                column = part.column("text")
+                yield pa.record_batch([pa.array(ordered(score(column, shared.value[0]))), pa.array(ordered(against(column, shared.value[1])))], names=["score", "toxic"])
+
+    got = stage(texts.select("text").mapInArrow(work, "score long, toxic long"), "scores")
+    n = got.count()
+    if not n:
+        return None
+    lost = int(share * n)
+    return unordered(kth_key(got, "score", n - lost)), unordered(kth_key(got, "toxic", lost + 1))
+
+
+def labelled_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) joined with ``known`` (doc_id once each, flags) by a shuffle, of tables of any size. Before that
+    a bit for each hash of a known id, of which there are at most 64 * FILTER_WORDS, sorts out most other texts: those moved
+    are the known ones and some by chance, which the join drops."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(15))
+    place = {"_word": F.pmod(key, F.lit(FILTER_WORDS)).cast("int"), "_bit": F.shiftrightunsigned(key, 58).cast("int")}
+    bits = known.select("doc_id").withColumns(place).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    some = docs.withColumns(place).join(F.broadcast(bits), "_word").where("shiftright(_bits, _bit) & 1 = 1").select(*docs.columns)
+    return some.join(known.hint("merge"), "doc_id")
+
+
+def model(docs: DataFrame, labels: DataFrame, held: int = 5, clean_loss: float = 0.005) -> Model:
+    """The model from all of ``docs`` as the raw corpus and, as the trusted target, all those labelled quality 1 and toxic 0;
+    their words are compared with those of all that are labelled toxic. One labelled document in ``held`` (by hash of its id)
+    is kept out of all counts of labelled ones; of all trusted ones of these, the threshold is the ``clean_loss`` quantile of
+    the scores, and at most zero, and the same share may have more evidence of toxic text than is allowed. Without labels
+    every ratio and the threshold are zero."""
+    good = F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_clean")
+    bad = F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("_toxic")
+    out = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(held)) == 0
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(good, bad).withColumn("_out", out).where("_clean or (_toxic and not _out)")
+    labelled = stage(labelled_rows(docs.select("doc_id", "text"), known).drop("doc_id"), "labelled")
+    counted = labelled.where("not _out")
+    ratio = log_ratio(counts(counted, ["_clean"])[0], counts(docs.withColumn("_raw", F.lit(True)), ["_raw"])[0]).astype(np.float32)
+    toxic = evidence(*word_documents(counted, ["_clean", "_toxic"])).astype(np.float32)
+    found = quantiles(labelled.where("_out"), ratio, toxic, clean_loss)
+    return Model(ratio, min(0.0, found[0]), toxic, found[1]) if found else Model(ratio, 0.0, toxic, float("inf"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import kth_key, ordered, slices, stage
 from .hashed import Model, model
 
 TEMPERATURE = 1.0
@@ -34,12 +34,6 @@ SCALE = 64
 _ADDED = ("log_weight", "gumbel_key", "_key")
 
 
-def ordered(x: np.ndarray) -> np.ndarray:
-    """Doubles as longs in the same order."""
-    bits = (x + 0.0).view(np.int64)
-    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
-
-
 def keyed(docs: DataFrame, fitted: Model, temperature: float, seed: int) -> DataFrame:
     """``docs`` with log_weight, gumbel_key and _key, a long in its order."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
@@ -57,23 +51,6 @@ def keyed(docs: DataFrame, fitted: Model, temperature: float, seed: int) -> Data
     return docs.withColumn("_key", uniform).mapInArrow(work, f"{schema}, log_weight double, gumbel_key double, _key long")
 
 
-def kth_key(keys: DataFrame, column: str, k: int) -> int | None:
-    """The k-th greatest of a column of longs, or None if there are fewer than k."""
-    keys = keys.select(F.col(column).bitwiseXOR(F.lit(-(1 << 63))).alias("_u"))  # the order of unsigned numbers
-    prefix, left = None, k
-    for shift in (48, 32, 16, 0):
-        part = keys if prefix is None else keys.where(F.shiftrightunsigned("_u", shift + 16) == prefix)
-        got = part.groupBy((F.shiftrightunsigned("_u", shift).bitwiseAND(0xFFFF)).alias("digit")).count().collect()  # at most 65,536 rows
-        for digit, n in sorted(((r["digit"], r["count"]) for r in got), reverse=True):
-            if left <= n:
-                prefix = digit if prefix is None else (prefix << 16) | digit
-                break
-            left -= n
-        else:
-            return None
-    return prefix - (1 << 63)
-
-
 def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, clean_loss: float = 0.005, seed: int = 1, columns: list[str] | None = None) -> DataFrame:
     """The sampled rows of ``docs`` (of it ``columns``, by default all) with log_weight and gumbel_key."""
     docs = docs.drop(*_ADDED)
