@@ -243,6 +243,28 @@ def test_near_copies(spark, docs, empty):
     assert simhash.near_copies(empty).count() == 0
 
 
+def test_near_copies_lose_no_link(spark):
+    r = random.Random(31)
+    rows = []
+    for k in range(400):
+        first = [f"w{r.randint(0, 50_000)}" for _ in range(r.randint(100, 160))]
+        edited, other = list(first), shingle_set(" ".join(first))
+        while jaccard(other, shingle_set(" ".join(edited))) >= 0.8:
+            last, at = list(edited), r.randrange(len(edited))
+            edited[at] = f"e{r.randint(0, 50_000)}"
+        rows += [" ".join(first), " ".join(last), " ".join(edited)]
+    rows = list(enumerate(rows))
+    wanted = near_groups(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.near_copies(table).collect()} == wanted and 400 <= len(wanted) < 1200
+    # the lossless join finds every link by itself, also of ranges that are cut
+    texts = simhash.stage(simhash.sketches(table, often=simhash.frequent(table, 5)).withColumn("root", F.col("w")), "texts")
+    for share in (simhash.SHARE, 2):
+        found = {frozenset((x.a, x.b)) for x in simhash.apart(texts, 0.8, share).collect()}
+        w = {x.doc_id: x.w for x in texts.collect()}
+        assert all(frozenset((w[i], w[i + 1])) in found for i in range(0, 1200, 3))
+
+
 def test_forest_joins_without_circles():
     r = np.random.default_rng(8)
     for n, m in ((1, 0), (10, 5), (50, 60), (200, 2000)):

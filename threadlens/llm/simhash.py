@@ -14,8 +14,11 @@ with probability s (all but 0.2 % of the pairs at 0.8 meet); each task joins the
 itself, closest pairs first, and skips node pairs whose texts are linked already, so that a group of n copies costs far less
 than its pairs. Pairs within the budget whose sketches agree with the similarity are candidates; of these a bucket gives a
 spanning forest, the most similar first, and another one of those in which the sketches show a little less. Candidates whose
-shingle sets have the similarity, counted exactly, are links; one text of each component of links stays, that of the
-smallest id.
+shingle sets have the similarity, counted exactly, are links. Hashes, bits and sketches may miss links, so a lossless join
+follows over what they left apart (``apart``): in any one order of all shingles, two sets of Jaccard similarity s share one
+of their first n - ceil(s * n) + 1, so texts are dealt by each of these; sizes, places in the order and parity maps rule out
+only pairs that cannot have the similarity, and the rest are counted exactly. One text of each component of links stays,
+that of the smallest id.
 
 Defined cases: a null or word-less text has fingerprint zero and links like any other; a text with fewer words than a
 shingle is one shingle; texts of any length are read whole; null ids keep their rows and take their component's smallest
@@ -55,6 +58,14 @@ NEAR_BUDGET = 18
 #: Hashes of a sketch, and how far below the similarity what it shows may be: two standard deviations.
 SKETCH = 64
 SLACK = 0.1
+#: Texts of which shingles are counted to put frequent ones last, how often such a one occurs in them, and how many there may be.
+#: Any order is right; this one keeps groups small.
+ORDER_TEXTS = 20_000
+ORDER_LEAST = 4
+ORDER_MOST = 1 << 18
+#: Bits of a parity map, and texts of one shingle that a task compares with each other or with as many.
+PARITY = 1024
+SHARE = 4096
 #: Node pairs that are walked together.
 FRONTIER = 1 << 20
 
@@ -238,9 +249,50 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return row[new], h[new], whole
 
 
-def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def frequent(docs: DataFrame, shingle: int, texts: int = ORDER_TEXTS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and counts, of shingles that occur in several of about ``texts`` texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=2 << 20):
+                yield pa.record_batch([pa.array(shingles(part.column("text"), shingle)[1].view(np.int64))], names=["h"])
+        give_back()
+
+    n, some = docs.count(), docs.select("text")
+    if n > texts:
+        some = some.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * texts / n))
+    got = some.dropDuplicates(["text"]).mapInArrow(work, "h long").groupBy("h").count().where(F.col("count") >= ORDER_LEAST)
+    got = got.orderBy(F.desc("count"), "h").limit(ORDER_MOST).toArrow()
+    h, count = got["h"].to_numpy().view(np.uint64), got["count"].to_numpy()
+    by = np.argsort(h)
+    return h[by], count[by]
+
+
+def prefixes(row: np.ndarray, h: np.ndarray, count: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets of ``count`` hashes each, how many come first and which: no two sets of the similarity lack a common one."""
+    known, times = often
+    rank = np.zeros(len(h), np.int64)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        rank = np.where(known[at] == h, times[at], 0)
+    h = h[np.lexsort((h, rank, row))]
+    first = np.where(count > 0, count - np.ceil(similarity * count - 1e-6).astype(np.int64) + 1, 0)
+    begin = np.cumsum(count) - count
+    return first, h[np.repeat(begin - (np.cumsum(first) - first), first) + np.arange(int(first.sum()))]
+
+
+def parities(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n sets, a map of PARITY bits: whether the number of its hashes at the bit is odd. Two maps differ in no more
+    bits than the sets have hashes that the other lacks."""
+    odd = np.bincount(row * PARITY + (h & np.uint64(PARITY - 1)).astype(np.int64), minlength=n * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITY), axis=1)
+
+
+def sketches(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, often: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, text_hash, w: the words' hash, fp: of the set of shingles, minima: its smallest hashes by MINIMA orders, sketch:
-    the high halves of its SKETCH smallest hashes) for every row of ``docs``."""
+    the high halves of its SKETCH smallest hashes, size: of the set, first: its ``prefixes``, parity: its map) for every row
+    of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(often or (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,11 +316,16 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 ends = np.concatenate([[0], 4 * np.cumsum(kept)]).astype(np.int32)
                 sketch = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(low))])
                 lists = pa.ListArray.from_arrays(np.arange(0, MINIMA * n + 1, MINIMA, dtype=np.int32), pa.array(minima.view(np.int64).ravel()))
-                columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), lists, sketch]
-                yield pa.record_batch(columns, names=["doc_id", "text_hash", "w", "fp", "minima", "sketch"])
+                many, first = prefixes(row, h, count, similarity, shared.value)
+                firsts = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.array(first.view(np.int64)))
+                maps = np.arange(0, PARITY // 8 * n + 1, PARITY // 8, dtype=np.int32)
+                parity = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(maps), pa.py_buffer(parities(row, h, n))])
+                columns = [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), lists, sketch, pa.array(count), firsts, parity]
+                yield pa.record_batch(columns, names=["doc_id", "text_hash", "w", "fp", "minima", "sketch", "size", "first", "parity"])
         give_back()
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, "doc_id long, text_hash long, w long, fp long, minima array<long>, sketch binary")
+    schema = "doc_id long, text_hash long, w long, fp long, minima array<long>, sketch binary, size long, first array<long>, parity binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(work, schema)
 
 
 def shown_similarity(a: np.ndarray, b: np.ndarray, pad: int = (1 << 32) - 1) -> np.ndarray:
@@ -448,21 +505,111 @@ def _row_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_null": F.col("doc_id").isNull(), "_text": F.xxhash64("text")})
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = NEAR_BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of texts linked by a Jaccard similarity of ``similarity`` or more."""
-    keys, docs = ["_id", "_null", "_text"], docs.drop("_id", "_null", "_text")
-    rows = stage(sketches(docs, shingle), "sketches")
-    own = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_text"))).alias("own")
-    texts = stage(rows.groupBy("w").agg(own, *(F.first(c).alias(c) for c in ("fp", "minima", "sketch"))), "texts")
-    pairs = stage(candidates(texts, similarity, budget).distinct(), "candidates")
+def possible(begin: np.ndarray, end: np.ndarray, root: np.ndarray, own: np.ndarray, size: np.ndarray, place: np.ndarray, parity: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of the same range and of different roots and parts that may have the similarity, and how far their maps
+    differ, by their sizes. ``place``: that of the range's shingle in each one's order; pairs whose first common shingle it is
+    are found."""
+    group = np.repeat(np.arange(len(begin)), end - begin)
+    # those of the root that is most frequent in a range come last there, and need not be paired with each other
+    by = np.lexsort((root, group))
+    new = np.concatenate([[True], (np.diff(group[by]) != 0) | (np.diff(root[by]) != 0)])
+    run = np.cumsum(new) - 1
+    length = np.bincount(run)
+    most = np.zeros(len(begin), np.int64)
+    np.maximum.at(most, group[by][new], length)
+    chief = np.flatnonzero(length == most[group[by][new]])
+    _, one = np.unique(group[by][new][chief], return_index=True)
+    last = np.zeros(len(by), bool)
+    last[by] = np.isin(run, chief[one])
+    order = np.lexsort((last, group))
+    many = np.where(last[order], 0, end[group] - np.arange(len(order)) - 1)
+    total, k = np.concatenate([[0], np.cumsum(many)]), 0
+    while k < len(order):
+        to = max(k + 1, int(np.searchsorted(total, total[k] + FRONTIER, "right")) - 1)
+        each = np.repeat(np.arange(k, to), many[k:to])
+        j = order[each + 1 + np.arange(len(each)) - (total[each] - total[k])]
+        i, k = order[each], to
+        apart = (root[i] != root[j]) & (own[i] != own[j])
+        i, j = i[apart], j[apart]
+        least = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6)
+        enough = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
+        i, j, least = i[enough], j[enough], least[enough]
+        for cut in range(0, len(i), 1 << 16):
+            a, b = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
+            differ = _popcount(parity[a] ^ parity[b]).sum(1, dtype=np.int64)
+            both = size[a] + size[b]
+            near = differ <= both - 2 * least[cut : cut + (1 << 16)]
+            yield a[near], b[near], differ[near] / both[near]
+
+
+def apart(texts: DataFrame, similarity: float, share: int = SHARE) -> DataFrame:
+    """``texts`` (w once each, root, size, first, parity) to all pairs (a, b) of different roots that may have the similarity,
+    with their roots (low, high) and how far they differ."""
+    group = ["token", "part", "with"]
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in whole_groups(batches, ["token"], CHUNK):
+            token, root = some["token"].to_numpy(), some["root"].to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            more = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+            yield from some.filter(pa.array(np.repeat(more, np.diff(np.append(begin, len(token)))))).combine_chunks().to_batches()
+        give_back()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in whole_groups(batches, group, CHUNK // 4):
+            columns = [some[c].to_numpy() for c in group]
+            begin = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], 0)]))
+            end = np.append(begin[1:], len(columns[0]))
+            # rows of a pair of parts meet those of the other; those of one part, each other
+            own = np.where(columns[1] == columns[2], np.arange(len(columns[0])), -1 - some["own"].to_numpy().astype(np.int64))
+            w, root = some["w"].to_numpy(), some["root"].to_numpy()
+            parity = np.frombuffer(b"".join(some["parity"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+            for i, j, differ in possible(begin, end, root, own, some["size"].to_numpy(), some["place"].to_numpy(), parity, similarity):
+                low, high = (f(x[i], x[j]) for x in (root,) for f in (np.minimum, np.maximum))
+                yield pa.record_batch([pa.array(np.minimum(w[i], w[j])), pa.array(np.maximum(w[i], w[j])), pa.array(low), pa.array(high), pa.array(differ)], names=["a", "b", "low", "high", "differ"])
+        give_back()
+
+    dealt = texts.select("w", "root", "size", F.posexplode("first").alias("place", "token")).repartition("token").sortWithinPartitions("token")
+    rows = stage(dealt.mapInArrow(several, dealt.schema), "shared")
+    rows = rows.join(texts.select("w", "parity"), "w")
+    parts = stage(rows.groupBy("token").count().where(F.col("count") > share).select("token", F.ceil(F.col("count") / share).cast("int").alias("parts")), "parts")
+    rows = rows.join(parts, "token", "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(F.expr("cast(pmod(xxhash64(w, 7), parts) as int)")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumns({"part": F.least("own", "other"), "with": F.greatest("own", "other")})
+    rows = rows.select(*group, "w", "root", "own", "size", "place", "parity").repartition(*group).sortWithinPartitions(*group)
+    return rows.mapInArrow(work, "a long, b long, low long, high long, differ double").groupBy("a", "b", "low", "high").agg(F.min("differ").alias("differ"))
+
+
+def _sets_of(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(w, set) of the texts of ``pairs``."""
     ends = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
+    return stage(_sets(docs, texts.select("w", "own").join(ends, "w"), shingle).dropDuplicates(["w"]), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) whose sets have the similarity."""
     # stored: joins of plain exchanges, which Spark can split where a text has very many candidates
-    sets = stage(_sets(docs, texts.select("w", "own").join(ends, "w"), shingle).dropDuplicates(["w"]), "sets")
     left = stage(pairs.join(sets.withColumnsRenamed({"w": "a", "set": "of_a"}), "a"), "left")
     both = left.join(sets.withColumnsRenamed({"w": "b", "set": "of_b"}), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    alike = shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)
-    roots = components(both.where(alike).select("a", "b")).withColumnsRenamed({"node": "w"})
-    linked = texts.select("w", "own").join(roots, "w", "left")
-    kept = linked.groupBy(F.coalesce("root", "w").alias("root")).agg(F.min("own").alias("own")).select("own.*")
+    return both.where(shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)).drop("of_a", "of_b")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = NEAR_BUDGET) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of texts linked by a Jaccard similarity of ``similarity`` or more."""
+    keys, docs = ["_id", "_null", "_text"], docs.drop("_id", "_null", "_text")
+    rows = stage(sketches(docs, shingle, similarity, frequent(docs, shingle)), "sketches")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_text"))).alias("own")
+    texts = stage(rows.groupBy("w").agg(own, *(F.first(c).alias(c) for c in ("fp", "minima", "sketch", "size", "first", "parity"))), "texts")
+    pairs = stage(candidates(texts, similarity, budget).distinct(), "candidates")
+    found = components(_alike(pairs, _sets_of(docs, texts, pairs, shingle), similarity).select("a", "b")).withColumnsRenamed({"node": "w"})
+    linked = stage(texts.drop("fp", "minima", "sketch").join(found, "w", "left").withColumn("root", F.coalesce("root", "w")), "linked")
+    # what is left apart: of two groups the closest pair first, and the others only if that is no link
+    missed = stage(apart(linked, similarity), "apart")
+    sets = _sets_of(docs, texts, missed, shingle)
+    best = missed.groupBy("low", "high").agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("low", "high", "best.a", "best.b")
+    links = stage(_alike(best, sets, similarity).select("low", "high"), "links")
+    rest = missed.join(links, ["low", "high"], "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti").select("low", "high", "a", "b")
+    links = links.union(_alike(rest, sets, similarity).select("low", "high"))
+    joined = components(links.select(F.col("low").alias("a"), F.col("high").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("all"))
+    kept = linked.select("own", "root").join(joined, "root", "left").groupBy(F.coalesce("all", "root").alias("root")).agg(F.min("own").alias("own")).select("own.*")
     return _row_keys(docs).join(kept.select(*keys), keys).dropDuplicates(keys).select(*docs.columns)
