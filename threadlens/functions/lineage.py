@@ -6,6 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes of text up to which a stored table is sent to every executor.
+SENT = 8_000_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -19,3 +23,17 @@ def settled(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="threadlens-"))
     return df.checkpoint()
+
+
+def sent(stored: DataFrame) -> DataFrame:
+    """``stored``, a table from ``settled``, for a join with a larger one: marked for broadcast if it is measured to be small.
+    A large one is left to the join's own exchange."""
+    size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in stored.columns))))).alias("n")).first()[0] or 0
+    return F.broadcast(stored) if size <= SENT else stored
+
+
+def texts_of(comments: DataFrame) -> DataFrame:
+    """(video_id, seq, text) of the distinct texts that are not null, each as a comment of its own: what depends on a text
+    alone is found once for it, however often it is written."""
+    each = comments.select("text").where("text is not null").distinct()
+    return settled(each.select(F.lit("").alias("video_id"), F.monotonically_increasing_id().alias("seq"), "text"))

@@ -1,5 +1,5 @@
 """Text functions: Column to Column. All are native expressions but the first half of ``fold``, which needs Unicode
-decomposition and case folding and is an Arrow-batched UDF over the text's distinct values in a batch."""
+decomposition and case folding and is an Arrow UDF that goes through a batch in small slices."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,9 +28,18 @@ def _fold_one(text: str | None) -> str | None:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
 
 
-@F.pandas_udf(StringType())
-def _decomposed(texts: pd.Series) -> pd.Series:
-    return texts.map(_fold_one)
+#: Texts that are Python's strings at one time, of a batch of any size.
+SLICE = 64
+
+
+@F.arrow_udf(StringType())
+def _decomposed(texts: pa.Array) -> pa.Array:
+    done = []
+    for at in range(0, len(texts), SLICE):
+        some = texts.slice(at, SLICE)
+        odd = pc.invert(pc.string_is_ascii(some)).fill_null(False)
+        done.append(pc.replace_with_mask(pc.ascii_lower(some), odd, pa.array(map(_fold_one, some.filter(odd).to_pylist()), some.type)))
+    return pa.concat_arrays(done) if done else texts
 
 
 def collapse(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Catalogue mentions in comments: candidate spans, resolution to a title, contextual evidence, one mention a comment.
 
-Every step is a join or an expression over all comments at once. Spans are resolved once for each distinct key, and
-evidence is weighed once for each distinct (comment, key).
+Every step is a join or an expression over all comments at once. What a text mentions depends on it alone, so it is found
+once for each distinct text; spans are resolved once for each distinct key.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..functions import lexicon as L
 from ..functions import patterns as P
 from ..functions import similarity as S
 from ..functions import text as T
-from ..functions.lineage import settled
+from ..functions.lineage import sent, settled, texts_of
 from . import words
 from .catalogue import Catalogue
 
@@ -109,7 +109,8 @@ def evidence(pairs: DataFrame, freq: DataFrame) -> DataFrame:
     quotes = follows.select("_quotes").distinct().where("_quotes <> ''").withColumn("_folded_quotes", T.fold(F.col("_quotes")))
     follows = follows.join(quotes, "_quotes", "left")
     known = tuple(dict.fromkeys(L.FUNCTION_WORDS + L.VERB_WORDS + L.MEDIA_WORDS + L.CUE_WORDS + L.SERIAL_WORDS + L.DOMAIN_WORDS))
-    follows = follows.join(freq.select(F.col("word").alias("_next"), F.col("zipf").alias("_zipf")), "_next", "left")
+    follows = settled(follows)
+    follows = follows.join(words.known(follows, freq, "_next").select(F.col("word").alias("_next"), F.col("zipf").alias("_zipf")), "_next", "left")
     compound = F.col("_next").isNotNull() & ~T.is_in(F.col("_next"), known) & ~F.col("_next").rlike(r"^\p{Nd}+$") & (F.coalesce("_zipf", F.lit(0.0)) >= 1.5)
     signs = [
         (caps, 3, F.lit("acronym-form")), (~caps & capitalised, 3, F.lit("capitalised")), (_any_word(words_, L.MEDIA_WORDS), 2, F.lit("media-word")),
@@ -136,13 +137,20 @@ def accepted(df: DataFrame) -> DataFrame:
 def mentions(comments: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
     """(video_id, seq, id, author, text, raw, canonical, kind, method, score, ambiguity, evidence, reasons): one a comment
     and title, the first candidate that passes."""
-    body = cleaned(comments)
+    texts = texts_of(comments)
+    each = settled(_mentions(texts, cat, freq).join(texts.select("seq", F.col("text").alias("said")), "seq").drop("seq", "video_id"))
+    said = comments.select(*COMMENT, "id", "author", F.col("text").alias("said")).join(sent(each), "said")
+    return said.select(*COMMENT, "id", "author", *each.drop("said").columns)
+
+
+def _mentions(texts: DataFrame, cat: Catalogue, freq: DataFrame) -> DataFrame:
+    body = cleaned(texts)
     spans = T.with_span_key(candidates(body, cat)).cache()
     found = settled(spans.join(resolve(spans, cat, freq), "key"))
-    context = body.select(*COMMENT, "id", "author", "body", "words")
+    context = body.select(*COMMENT, "body", "words")
     pairs = found.select(*COMMENT, "key").distinct().join(context, COMMENT)
     weighed = settled(words.with_ambiguity(evidence(pairs, freq), freq, "key"))
     ready = found.select(*COMMENT, "key", "branch", "pos", "canonical", "method", "score").join(weighed, [*COMMENT, "key"])
     one = W.partitionBy(*COMMENT, "canonical").orderBy("branch", "pos", "key")
     out = accepted(ready).withColumn("_n", F.row_number().over(one)).where("_n = 1").join(cat.titles.select("canonical", "kind"), "canonical")
-    return out.select(*COMMENT, "id", "author", F.col("body").alias("text"), F.col("key").alias("raw"), "canonical", "kind", "method", "score", F.round("ambiguity", 2).alias("ambiguity"), "evidence", "reasons")
+    return out.select(*COMMENT, F.col("body").alias("text"), F.col("key").alias("raw"), "canonical", "kind", "method", "score", F.round("ambiguity", 2).alias("ambiguity"), "evidence", "reasons")
