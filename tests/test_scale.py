@@ -36,3 +36,11 @@ def test_mentions_look_at_a_text_once(spark, monkeypatch):
     assert seen == [2]
     assert {(r.seq, r.author, r.canonical) for r in found.collect()} == {(i, f"u{i}", "Weak Hero") for i in range(0, 60, 3)}
     assert found.where(F.col("text") != "movie name: Weak Hero").isEmpty()
+
+
+def test_ngram_sweep_moves_two_numbers_a_gram(spark):
+    from threadlens.plans import queries
+
+    plan = queries.QUERIES["ngram_sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and "hashpartitioning(n#" in plan
+    assert not any("partial_count" in line and "a#" in line for line in plan.split("\n"))

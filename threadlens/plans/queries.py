@@ -147,10 +147,13 @@ def fold_documents(spark, sf):
     SELECT n, count(*) AS grams, count(DISTINCT gram) AS distinct_grams FROM g GROUP BY n""")
 def ngram_sweep(spark, sf):
     docs = table(spark, sf, "documents").withColumn("f", T.fold(F.col("text")))
-    # told apart by two 64-bit hashes, so that no strings are sorted or moved
-    grams = docs.select(F.inline(T.ngrams(T.words_of(F.col("f")), 3))).select(F.col("n").cast("long").alias("n"), F.xxhash64("gram").alias("a"), F.xxhash64("gram", F.lit(7)).alias("b"))
-    each = grams.groupBy("n", "a", "b").agg(F.count("*").alias("c"))
-    return each.groupBy("n").agg(F.sum("c").alias("grams"), F.count("*").alias("distinct_grams"))
+    # told apart by 94 bits of hashes, with n in two more: as numbers they move in few bytes, and without counts beside them
+    grams = docs.select(F.inline(T.ngrams(T.words_of(F.col("f")), 3))).select(F.col("n").cast("long").alias("n"), "gram")
+    tail = F.shiftleft(F.xxhash64("gram", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1)), 2).bitwiseOR(F.col("n"))
+    each = grams.select(F.xxhash64("gram").alias("a"), tail.alias("b")).distinct()
+    counted = docs.select(T.words_of(F.col("f")).alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.struct(n.cast("long").alias("n"), F.greatest(F.size("w") - n + 1, F.lit(0)).cast("long").alias("c")))).alias("x"))
+    total = counted.groupBy("x.n").agg(F.sum("x.c").alias("grams")).where("grams > 0")
+    return total.join(each.groupBy(F.col("b").bitwiseAND(F.lit(3)).alias("n")).agg(F.count("*").alias("distinct_grams")), "n")
 
 
 @query(f"""WITH w AS (SELECT unnest(string_split({_FOLD.format(t="text")}, ' ')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word)
